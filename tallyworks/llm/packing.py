@@ -50,30 +50,49 @@ class WordIds:
         self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and spec["model"].get("end_of_word_suffix") == "</w>" and spec["post_processor"] is None
         self.plain = re.compile(r"[\n\r\t -~À-ÖØ-öø-ÿ]*").fullmatch
         self.words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\s0-9a-zß-öø-ÿ]+").findall
+        vocab = self.t.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.most = most
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > self.most:
-            self.known.clear()
-        for w, e in zip(words, self.t.encode_batch(words, add_special_tokens=False), strict=True):
-            self.known[w] = np.asarray(e.ids, "<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        if not self.by_word or "<|" in text or self.plain(text) is None:
-            return self.whole(text)
-        found = self.words(text.lower())
-        try:
-            return b"".join(map(self.known.__getitem__, found))
-        except KeyError:
-            self.learn([w for w in dict.fromkeys(found) if w not in self.known])
-            if self.known.keys() >= set(found):
-                return b"".join(map(self.known.__getitem__, found))
-            self.learn(list(dict.fromkeys(found)))
-            return b"".join(map(self.known.__getitem__, found))
+    def learn(self, words: list[str], step: int = 1000) -> None:
+        """Encode words, many in one text: white space parts them, and a word's last id is marked as such."""
+        lots = [words[i : i + step] for i in range(0, len(words), step)]
+        for lot, e in zip(lots, self.t.encode_batch([" ".join(x) for x in lots], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, "<u4")
+            cuts = 4 * (np.flatnonzero(self.last[ids]) + 1)
+            if len(cuts) != len(lot):
+                self.known.update((w, self.whole(w)) for w in lot)
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, to in zip(lot, cuts.tolist(), strict=True):
+                self.known[w] = raw[at:to]
+                at = to
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        found = [self.words(x.lower()) if self.by_word and "<|" not in x and self.plain(x) else None for x in texts]
+        here = set().union(*(x for x in found if x))
+        new = here - self.known.keys()
+        if len(self.known) + len(new) > self.most:
+            self.known = {w: x for w in here if (x := self.known.get(w)) is not None}
+        self.learn(list(new))
+        get = self.known.__getitem__
+        return [self.whole(x) if f is None else b"".join(map(get, f)) for x, f in zip(texts, found, strict=True)]
+
+
+def lots(keys: list, texts: list[str], step: int = 2_000_000) -> Iterator[tuple[list, list[str]]]:
+    """Rows in lots of at most ``step`` characters, or one text."""
+    at = size = 0
+    for i, x in enumerate(texts):
+        if size and size + len(x) > step:
+            yield keys[at:i], texts[at:i]
+            at, size = i, 0
+        size += len(x)
+    yield keys[at:], texts[at:]
 
 
 _CODERS: dict[str, WordIds] = {}
@@ -93,11 +112,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
         encode, end = coder(tokenizer), np.asarray([end_id], "<u4").tobytes()
         for b in batches:
             rows: list[tuple] = []
-            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encode(text) + end
-                for p, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((k, p, at // 4, len(part) // 4, zlib.crc32(part)))
+            for keys, texts in lots(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for k, ids in zip(keys, encode(texts), strict=True):
+                    ids += end
+                    for p, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        rows.append((k, p, at // 4, len(part) // 4, zlib.crc32(part)))
             cols = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
