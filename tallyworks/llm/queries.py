@@ -23,6 +23,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources mixed to 0.9 of the largest entropy, at most 4 passes; one row for each emitted document."""
+    from .mixing import mix, positions
+
+    mixed = mix(table(spark, sf_dir, "documents"), target_entropy=0.9, most_repeats=4.0)
+    return positions(mixed, ["doc_id", "source", "mix_tokens"]).withColumnRenamed("mix_tokens", "n_tokens")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every text; whether the tokens exceed 4096."""
     from .tokencount import count_tokens
@@ -31,9 +39,35 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every text by a bigram automaton learnt from six of seven folds."""
+    from .ngram_lm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"), folds=7, fold=2)
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and how like they are."""
+    from .fingerprint import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents resharded from 8 hash shards to 8 of near equal bytes."""
+    from .sharding import reshard
+
+    out = reshard(table(spark, sf_dir, "documents"), shards=8)
+    return out.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_mixing": op2_mixing,
     "op7_token_counts": op7_token_counts,
+    "op8_lm_scores": op8_lm_scores,
+    "op9_fingerprints": op9_fingerprints,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLES: dict[str, str] = {}
