@@ -31,6 +31,13 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions(mixed, ["doc_id", "source", "mix_tokens"]).withColumnRenamed("mix_tokens", "n_tokens")
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents with at least 80 of 100 two-word shingles in common."""
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80).drop("text_key")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every text; whether the tokens exceed 4096."""
     from .tokencount import count_tokens
@@ -64,6 +71,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
+    "op5_near_duplicates": op5_near_duplicates,
     "op7_token_counts": op7_token_counts,
     "op8_lm_scores": op8_lm_scores,
     "op9_fingerprints": op9_fingerprints,
