@@ -31,6 +31,22 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions(mixed, ["doc_id", "source", "mix_tokens"]).withColumnRenamed("mix_tokens", "n_tokens")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade (0 junk, 1 toxic, 2 clean) of every text, and whether it is selected."""
+    from .quality import classify, fit, grade_of_labels
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"), grade_of_labels(), 3)
+    return classify(docs.select("doc_id", "text"), model, tail_from=2).drop("text")
+
+
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors by cosine of every vector whose id is divisible by 50."""
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents with at least 80 of 100 two-word shingles in common."""
     from .neardup import near_duplicates
@@ -38,6 +54,13 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80).drop("text_key")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents, with matched share and place."""
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every text; whether the tokens exceed 4096."""
     from .tokencount import count_tokens
@@ -71,7 +94,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
+    "op3_quality": op3_quality,
+    "op4_nearest": op4_nearest,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_licenses": op6_licenses,
     "op7_token_counts": op7_token_counts,
     "op8_lm_scores": op8_lm_scores,
     "op9_fingerprints": op9_fingerprints,
