@@ -49,7 +49,8 @@ def with_fingerprint(df: DataFrame, text: str, out: str, size: int = 5) -> DataF
     low = lambda h, j: F.xxhash64(h, j).bitwiseAND(F.lit((1 << BITS) - 1))
     d = d.withColumn("_full", F.transform("_bins", lambda v, j: low(F.coalesce(v, *[probe(j, t) for t in range(PROBES)], rest(j)), j)))
     pack = lambda k: F.aggregate(F.slice("_full", k * PER_LONG + 1, PER_LONG), F.lit(0).cast("long"), lambda a, v: F.shiftleft(a, BITS).bitwiseOR(v))
-    d = d.withColumn(out, F.transform(F.sequence(F.lit(0), F.lit(BINS // PER_LONG - 1)), pack))
+    # the size is asked of the array itself: used twice, it is not computed anew for each number
+    d = d.withColumn(out, F.transform(F.sequence(F.lit(0), F.floor(F.size("_full") / PER_LONG).cast("int") - 1), pack))
     return d.drop("_w", "_h", "_least", "_bins", "_full")
 
 
