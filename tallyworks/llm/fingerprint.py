@@ -72,7 +72,7 @@ def as_hex(a: Column) -> Column:
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """key, next_key, prev_key, want (code points the previous document takes), n_chars of each distinct row.
+    """key, doc_id, next_key, prev_key, want (code points the previous document takes), n_chars of each distinct row.
 
     Order: descending doc_id (null last), then the row's hash; after the last comes the first. Rows are
     range-sorted and numbered within partitions; the partitions' counts give their offsets.
@@ -86,10 +86,10 @@ def neighbours(docs: DataFrame) -> DataFrame:
     counts = at.groupBy("pid").agg(F.count("*").alias("n"))
     w = Window.partitionBy(F.lit(0))  # a row for each partition
     offsets = counts.select("pid", F.sum("n").over(w.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)).alias("off"), F.sum("n").over(w).alias("total"))
-    ranked = stored(at.join(offsets, "pid").select("key", "n_chars", (F.coalesce("off", F.lit(0)) + F.col("place")).alias("rank"), "total"), "fp-ranks")
+    ranked = stored(at.join(offsets, "pid").select("key", "doc_id", "n_chars", (F.coalesce("off", F.lit(0)) + F.col("place")).alias("rank"), "total"), "fp-ranks")
     after = ranked.select(F.pmod(F.col("rank") - 1, F.col("total")).alias("rank"), F.col("key").alias("next_key"))
     before = ranked.select(F.pmod(F.col("rank") + 1, F.col("total")).alias("rank"), F.col("key").alias("prev_key"), F.floor(F.col("n_chars") / 3).cast("int").alias("want"))
-    return ranked.join(after, "rank").join(before, "rank").select("key", "next_key", "prev_key", "want")
+    return ranked.join(after, "rank").join(before, "rank").select("key", "doc_id", "next_key", "prev_key", "want")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -106,11 +106,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     d = d.withColumn("key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))
     links = stored(neighbours(d.select("key", "doc_id", F.length("text").cast("long").alias("n_chars"))), "fp-links")
-    own = d.select("key", "doc_id", "text")
+    own = d.select("key", "text")
     # the shuffle of ``own`` by key serves both joins; what is shipped on is only the part that the previous document takes
     given = own.join(links.select("key", "prev_key", "want"), "key").select(F.col("prev_key").alias("key"), F.substring(F.col("text"), F.lit(1), F.col("want")).alias("taken")).groupBy("key").agg(F.first("taken").alias("taken"))
     n, cut = F.length("text"), F.floor(F.length("text") / 3).cast("int")
-    both = own.join(links.select("key", "next_key"), "key").join(given, "key").withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - cut), "taken"))
+    both = own.join(links.select("key", "doc_id", "next_key"), "key").join(given, "key").withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - cut), "taken"))
     both = with_fingerprint(with_fingerprint(both, "text", "own_fp"), "edited", "edited_fp")
     made = stored(both.select("key", "next_key", "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own_fp", "edited_fp"), "fp-made")
     following = made.select(F.col("key").alias("next_key"), F.col("own_fp").alias("next_fp")).dropDuplicates(["next_key"])
