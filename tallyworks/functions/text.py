@@ -56,7 +56,7 @@ def safe_model(x: Column) -> Column:
 
 def safe_models(xs: Column, most: int = 8) -> Column:
     """Distinct plain identifiers of an array, trimmed, the first ``most``."""
-    return F.slice(F.array_distinct(F.filter(F.transform(xs, F.trim), lambda m: m.rlike(MODEL))), 1, most)
+    return F.slice(F.array_distinct(F.filter(F.transform(xs, lambda m: F.trim(m)), lambda m: m.rlike(MODEL))), 1, most)
 
 
 def handle(x: Column) -> Column:
