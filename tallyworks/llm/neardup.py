@@ -4,13 +4,15 @@ Signatures. The distinct shingles of a document are hashed once; the range of th
 a bin keeps its least hash, and empty bins are filled by optimal densification. Bands of bins become
 bucket keys. Documents of equal sets are one node from here on, however many they are.
 
-Links. In a bucket, a star of candidate pairs joins one node, its centre, to all others; pairs whose
-signatures agree far too little are dropped; the rest are confirmed on the full sets of shingles. Linked
-nodes form components. A bucket whose nodes are in one component by then is done; in any other, the
-centres are finished (they have met all other nodes) and nodes outside the largest component become the
-next centres, against the nodes of other components only. So each pair of a bucket that could still join
-two components is tried, while a bucket of n copies of one text costs about n pairs. What remains is the
-chance that a linked pair shares no bucket: (1 - 0.8^6)^44 = 1.6e-6 at a similarity of exactly 0.8.
+Links. Each bucket first makes a star: the node that shares most buckets with others, which in a group of
+copies is the one nearest to all, is paired with every other node. Pairs whose signatures agree far too
+little are dropped, the rest are confirmed on the full sets of shingles, and linked nodes form components.
+Most buckets lie within one component then. In any other, the nodes outside the bucket's largest
+component are held against all its nodes of other components, block by block and inside tasks; again only
+pairs whose signatures agree come out, each from the first bucket it shares, and are confirmed. So every
+pair of a bucket that could still join two components is looked at, while a group of n copies costs about
+n pairs. What remains is the chance that a linked pair shares no bucket, (1 - 0.8^6)^44 = 1.6e-6 at a
+likeness of exactly 0.8, or that its signatures agree too little, 3e-5 there.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, text_col
@@ -27,8 +29,10 @@ from .common import stored, text_col
 BANDS, ROWS = 44, 6
 BINS = BANDS * ROWS
 PROBES = 16
-#: Pairs whose signatures agree in less than this share of bins are not confirmed: at a similarity of 0.8 it is eight standard deviations off.
-LEAST = 0.6
+#: Pairs whose signatures agree in less than this share of bins are not confirmed: at a likeness of 0.8 it is four standard deviations off.
+LEAST = 0.7
+#: Nodes of a bucket that meet in one block.
+BLOCK = 4096
 U = np.uint64
 
 
@@ -122,6 +126,56 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.select(["a", "b"]).filter(pa.array(share >= LEAST))
 
 
+def _agreeing(rows: dict[str, np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Pairs of one block: outliers (role 0) against nodes (role 1) of other components."""
+    role = rows["role"]
+    out, all_ = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+    if not len(out) or not len(all_):
+        return
+    y, band = rows["sig"][all_], int(rows["band"][0])
+    for i in out:
+        x, node = rows["sig"][i], rows["node"][i]
+        able = (rows["comp"][all_] != rows["comp"][i]) & (~rows["outlier"][all_] | (rows["node"][all_] > node))
+        if not able.any():
+            continue
+        some = all_[able]
+        same = y[able] == x
+        near = (same.mean(1) - 1 / 256) / (1 - 1 / 256) >= LEAST
+        if near.any():
+            shared = same[near].reshape(-1, BANDS, ROWS).all(2)
+            for j in some[near][shared.argmax(1) == band]:  # a pair comes from the first bucket it shares
+                yield int(node), int(rows["node"][j])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block -> pairs of each block; a block may go over several batches."""
+    names = ("role", "node", "comp", "outlier", "band")
+    kept: list[dict[str, np.ndarray]] = []
+    last = None
+
+    def emit() -> list[tuple[int, int]]:
+        return list(_agreeing({k: np.concatenate([r[k] for r in kept]) for k in kept[0]})) if kept else []
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("bucket", "salt", "part")], 1)
+        cols = {c: b.column(c).to_numpy(zero_copy_only=False) for c in names} | {"sig": np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(b.num_rows, BINS)}
+        starts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, b.num_rows]
+        found: list[tuple[int, int]] = []
+        for i, j in zip(starts[:-1], starts[1:], strict=True):
+            if last is not None and last != tuple(key[i]):
+                found += emit()
+                kept.clear()
+            last = tuple(key[i])
+            kept.append({k: v[i:j] for k, v in cols.items()})
+        x, y = zip(*found, strict=True) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y).tolist(), pa.int64()), pa.array(np.maximum(x, y).tolist(), pa.int64())], ["a", "b"])
+    found = emit()
+    x, y = zip(*found, strict=True) if found else ((), ())
+    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y).tolist(), pa.int64()), pa.array(np.maximum(x, y).tolist(), pa.int64())], ["a", "b"])
+
+
 def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,59 +217,64 @@ def connect(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(labels.join(parent, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "nd-labels")
 
 
-def components(docs: DataFrame, size: int, percent: int, later_centres: int) -> tuple[DataFrame, DataFrame]:
+def confirm(likely: DataFrame, texts: DataFrame, sigs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) those that the full sets of shingles confirm. texts: at, text; sigs: node, place."""
+    wanted = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
+    where = wanted.join(sigs.select("node", "place"), "node").select("node", F.xxhash64("place").alias("at"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x, size).tobytes() for x in b.column(1).to_pylist()], pa.binary())], ["node", "set"])
+
+    sets = stored(texts.join(where, "at").select("node", "text").mapInArrow(pack, "node long, set binary"), "nd-sets")
+    full = likely.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+    return stored(full.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long"), "nd-edges")
+
+
+def components(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, text_key, n_shingles, node), (labels: node, comp) with labels for nodes that share a bucket."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col().alias("text"), F.xxhash64(text_col()).alias("text_key"))
+    texts = d.select(F.xxhash64(F.struct("doc_id", "text_key")).alias("at"), "text")
     rows = stored(d.mapInArrow(sketch(size), SKETCH), "nd-rows")
     light = rows.select("doc_id", "text_key", "n_shingles", "node")
     # one row for a node: of its documents, the first by (doc_id, text)
-    place = F.struct("doc_id", "text_key")
-    first = rows.filter("node is not null").groupBy("node").agg(F.min(place).alias("place"))
-    shared = rows.filter("node is not null").select("node", F.explode("keys").alias("bucket")).groupBy("bucket", "node").agg(F.lit(1).alias("one")).select("bucket", "node")
-    full = shared.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    pending = stored(shared.join(full, "bucket"), "nd-buckets")
-    labels = stored(pending.select("node").distinct().withColumn("comp", F.col("node")), "nd-labels")
+    first = rows.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("place"))
+    shared = rows.filter("node is not null").select("node", F.posexplode("keys").alias("band", "bucket")).groupBy("bucket", "node").agg(F.min("band").alias("band"))
+    counts = shared.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    buckets = stored(shared.join(counts, "bucket"), "nd-buckets")
+    weights = stored(buckets.groupBy("node").agg(F.sum("n").alias("weight")), "nd-nodes")
+    labels = weights.select("node", F.col("node").alias("comp"))
     # signatures of the nodes that share a bucket; equal sets have equal signatures
-    sigs = stored(rows.join(labels.select("node"), "node").join(first, "node").filter(F.col("doc_id").eqNullSafe(F.col("place.doc_id")) & (F.col("text_key") == F.col("place.text_key"))).select("node", "sig", "place").dropDuplicates(["node"]), "nd-sigs")
-    sets = None
-    centres_each = 1
-    while not pending.isEmpty():
-        named = pending.join(labels, "node")
-        sums = named.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-        large = sums.groupBy("bucket").agg(F.max(F.struct("n", "comp"))["comp"].alias("large"), F.count("*").alias("comps")).filter("comps > 1").select("bucket", "large")
-        open_ = stored(named.join(large, "bucket").select("bucket", "node", "comp", (F.col("comp") == F.col("large")).alias("in_large")), "nd-open")
-        by = Window.partitionBy("bucket").orderBy("node")
-        centres = stored(open_.filter("not in_large").withColumn("k", F.row_number().over(by)).filter(F.col("k") <= centres_each).select("bucket", F.col("node").alias("centre"), F.col("comp").alias("centre_comp")), "nd-centres")
-        pairs = open_.join(centres, "bucket").filter("comp <> centre_comp").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        with_sigs = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-        likely = stored(with_sigs.select("a", "b", "sig_a", "sig_b").mapInArrow(_likely, "a long, b long"), "nd-likely")
-        if not likely.isEmpty():
-            wanted = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
-            if sets is not None:
-                wanted = wanted.join(sets.select("node"), "node", "left_anti")
-            where = wanted.join(sigs.select("node", "place"), "node").select("node", F.xxhash64("place").alias("at"))
-            texts = d.select(F.xxhash64(F.struct("doc_id", "text_key")).alias("at"), "text").join(where, "at").select("node", "text")
-
-            def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for b in batches:
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x, size).tobytes() for x in b.column(1).to_pylist()], pa.binary())], ["node", "set"])
-
-            more = stored(texts.mapInArrow(pack, "node long, set binary"), "nd-sets")
-            sets = more if sets is None else sets.union(more)
-            full_sets = likely.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-            edges = stored(full_sets.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long"), "nd-edges")
-            labels = connect(edges, labels)
-        done = centres.select("bucket", F.col("centre").alias("node"))
-        pending = stored(open_.select("bucket", "node").join(done, ["bucket", "node"], "left_anti"), "nd-pending")
-        centres_each = later_centres
+    sigs = stored(rows.join(weights.select("node"), "node").join(first, "node").filter(F.col("doc_id").eqNullSafe(F.col("place.doc_id")) & (F.col("text_key") == F.col("place.text_key"))).select("node", "sig", "place").dropDuplicates(["node"]), "nd-sigs")
+    # stars
+    centres = buckets.join(weights, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("centre"))
+    starred = stored(buckets.join(centres, "bucket"), "nd-stars")
+    pairs = starred.filter("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    with_sigs = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
+    likely = stored(with_sigs.select("a", "b", "sig_a", "sig_b").mapInArrow(_likely, "a long, b long"), "nd-likely")
+    labels = connect(confirm(likely, texts, sigs, size, percent), labels)
+    # what stars have left open: centres have met all others, nodes of one component need not meet
+    named = starred.filter("node <> centre").select("bucket", "band", "node").join(labels, "node")
+    sums = named.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    large = sums.groupBy("bucket").agg(F.max(F.struct("n", "comp"))["comp"].alias("large"), F.sum("n").alias("nodes"), F.max("n").alias("most"), F.count("*").alias("comps")).filter("comps > 1").select("bucket", "large", F.ceil(F.col("nodes") / BLOCK).cast("int").alias("salts"), F.ceil((F.col("nodes") - F.col("most")) / BLOCK).cast("int").alias("parts"))
+    opened = named.join(large, "bucket").join(sigs.select("node", "sig"), "node").withColumn("outlier", F.col("comp") != F.col("large"))
+    salt, part = (F.pmod(F.xxhash64("node"), F.col(c)).cast("int") for c in ("salts", "parts"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    keep = ["bucket", "band", "node", "comp", "outlier", "sig"]
+    nodes = opened.withColumn("salt", salt).withColumn("part", every("parts")).select(*keep, "salt", "part", F.lit(1).alias("role"))
+    outliers = opened.filter("outlier").withColumn("part", part).withColumn("salt", every("salts")).select(*keep, "salt", "part", F.lit(0).alias("role"))
+    key = ["bucket", "salt", "part"]
+    met = nodes.union(outliers).repartition(*key).sortWithinPartitions(*key, "role")
+    more = stored(met.select(*key, "band", "node", "comp", "outlier", "sig", "role").mapInArrow(_blocks, "a long, b long").distinct(), "nd-likely")
+    if not more.isEmpty():
+        labels = connect(confirm(more, texts, sigs, size, percent), labels)
     return light, labels
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, later_centres: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Components of documents whose sets of word shingles have a Jaccard likeness of at least percent / 100.
 
     :param size: words in a shingle.
-    :param later_centres: centres a bucket tries at once after the first round; all are tried in the end.
 
     Returns doc_id, n_shingles, component_id, kept (and text_key, the text's 64-bit hash), a row for each
     input row. A text without words, or null, has no shingles and is linked with nothing: it is its own
@@ -224,7 +283,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, later_cen
     one doc_id are in one component and are all kept or not. An empty table gives no rows. Other columns are not read. Sets
     are compared as 64-bit hashes of shingles.
     """
-    rows, labels = components(docs, size, percent, later_centres)
+    rows, labels = components(docs, size, percent)
     # nodes that share no bucket are components of their own
     firsts = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
     named = firsts.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))

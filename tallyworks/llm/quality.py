@@ -58,20 +58,23 @@ def fit_arrays(places: list[np.ndarray], grades: np.ndarray, n_grades: int, bits
     Most marks are rare words that say nothing. A mark gets a weight only if, for some threshold, the share
     of its texts above it is ``signif`` standard deviations off the share of all texts.
     """
-    size = 1 << bits
-    flat = np.concatenate(places) if places else np.zeros(0, np.int64)
-    rows = np.repeat(np.arange(len(places)), [len(p) for p in places])
-    texts = np.bincount(flat, minlength=size)
+    size, n = 1 << bits, len(places)
+    above = [(grades > k).astype(np.float32) for k in range(n_grades - 1)]
+    texts, hits = np.zeros(size), [np.zeros(size) for _ in above]
+    for p in range(0, n, 1000):  # a thousand texts at a time: the marks of all are not held in one array
+        lot = places[p : p + 1000]
+        flat, rows = np.concatenate(lot), np.repeat(np.arange(p, p + len(lot)), [len(x) for x in lot])
+        texts += np.bincount(flat, minlength=size)
+        for h, y in zip(hits, above, strict=True):
+            h += np.bincount(flat, weights=y[rows], minlength=size)
     telling = np.zeros(size, bool)
-    for k in range(n_grades - 1):
-        above = (grades > k).astype(float)
-        share = np.clip(above.mean(), 1e-6, 1 - 1e-6)
-        off = np.bincount(flat, weights=above[rows], minlength=size) - texts * share
-        telling |= np.abs(off) >= signif * np.sqrt(np.maximum(texts, 1) * share * (1 - share))
-    keep = telling[flat]
-    flat, rows = flat[keep], rows[keep]
+    for h, y in zip(hits, above, strict=True):
+        share = np.clip(float(y.mean()), 1e-6, 1 - 1e-6)
+        telling |= np.abs(h - texts * share) >= signif * np.sqrt(np.maximum(texts, 1) * share * (1 - share))
+    del texts, hits
+    places = [x[telling[x]] for x in places]
+    flat, rows = np.concatenate(places).astype(np.int32), np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in places])
     used, at = np.unique(flat, return_inverse=True)
-    n = len(places)
     w = np.zeros(len(used))
     share = np.clip(np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / n, 1e-3, 1 - 1e-3)
     start = np.log(share / (1 - share))
@@ -100,7 +103,7 @@ def fit_arrays(places: list[np.ndarray], grades: np.ndarray, n_grades: int, bits
     return Model(weights, np.cumsum(np.r_[t[0], np.exp(t[1:])]))
 
 
-def fit(docs: DataFrame, ratings: DataFrame, grade: Column, n_grades: int, most: int = 20_000, bits: int = 20) -> Model | None:
+def fit(docs: DataFrame, ratings: DataFrame, grade: Column, n_grades: int, most: int = 12_000, bits: int = 20) -> Model | None:
     """Fit on rated documents.
 
     :param ratings: doc_id and what ``grade`` reads; ``grade`` gives whole numbers from 0 to n_grades - 1.
@@ -122,7 +125,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: Column, n_grades: int, most:
     if len({r["grade"] for r in got}) < 2:
         return None
     got.sort(key=lambda r: (r["grade"], bytes(r["places"])))  # the same fit however rows arrive
-    return fit_arrays([np.frombuffer(r["places"], "<i4").astype(np.int64) for r in got], np.array([r["grade"] for r in got]), n_grades, bits)
+    return fit_arrays([np.frombuffer(r["places"], "<i4") for r in got], np.array([r["grade"] for r in got]), n_grades, bits)
 
 
 def grade_of_labels() -> Column:
