@@ -18,6 +18,7 @@ likeness of exactly 0.8, or that its signatures agree too little, 3e-5 there.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ BINS = BANDS * ROWS
 PROBES = 16
 #: Pairs whose signatures agree in less than this share of bins are not confirmed: at a likeness of 0.8 it is four standard deviations off.
 LEAST = 0.7
-#: Nodes of a bucket that meet in one block.
-BLOCK = 4096
+#: Nodes of a bucket that meet in one block, and the bytes of their sets.
+BLOCK, BLOCK_BYTES = 4096, 32 << 20
 U = np.uint64
 
 
@@ -95,7 +96,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketch(size: int):
-    """mapInArrow function: doc_id, text, text_key -> doc_id, text_key, n_shingles, node, keys, sig."""
+    """mapInArrow function: doc_id, text, text_key -> doc_id, text_key, n_shingles, node, keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest as h
@@ -106,16 +107,40 @@ def sketch(size: int):
                 sets = [shingles(x, size) for x in b.column(1).to_pylist()]
                 some = [i for i, s in enumerate(sets) if len(s)]
                 sig = np.array([signature(sets[i]) for i in some], U).reshape(-1, BINS)
-                keys, low = band_keys(sig).view(np.int64), (mix(sig ^ SALT) & U(255)).astype(np.uint8)
-                node, key_col, sig_col = ([None] * len(sets) for _ in range(3))
+                keys = band_keys(sig).view(np.int64)
+                node, key_col = ([None] * len(sets) for _ in range(2))
                 for j, i in enumerate(some):
-                    node[i], key_col[i], sig_col[i] = np.array(h(sets[i].tobytes()), U).view(np.int64).item(), keys[j], low[j].tobytes()
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(key_col, pa.list_(pa.int64())), pa.array(sig_col, pa.binary())], ["doc_id", "text_key", "n_shingles", "node", "keys", "sig"])
+                    node[i], key_col[i] = np.array(h(sets[i].tobytes()), U).view(np.int64).item(), keys[j]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(key_col, pa.list_(pa.int64()))], ["doc_id", "text_key", "n_shingles", "node", "keys"])
 
     return run
 
 
-SKETCH = "doc_id long, text_key long, n_shingles long, node long, keys array<long>, sig binary"
+SKETCH = "doc_id long, text_key long, n_shingles long, node long, keys array<long>"
+
+
+def describe(size: int):
+    """mapInArrow function: node, text -> node, sig (low bits of the signature), set, n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                sets = [shingles(x, size) for x in b.column(1).to_pylist()]
+                sig = (mix(np.array([signature(x) for x in sets], U).reshape(-1, BINS) ^ SALT) & U(255)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64())], ["node", "sig", "set", "n"])
+
+    return run
+
+
+DESCRIBE = "node long, sig binary, set binary, n long"
+
+
+def alike(a: bytes, b: bytes, percent: int) -> bool:
+    """Whether two sets of hashes have the wished likeness."""
+    p, q = np.frombuffer(a, U), np.frombuffer(b, U)
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= percent * (len(p) + len(q) - both)
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,13 +151,13 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.select(["a", "b"]).filter(pa.array(share >= LEAST))
 
 
-def _agreeing(rows: dict[str, np.ndarray]) -> Iterator[tuple[int, int]]:
-    """Pairs of one block: outliers (role 0) against nodes (role 1) of other components."""
+def _agreeing(rows: dict[str, np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Linked pairs of one block, outliers (role 0) with nodes (role 1) of other components: one for each outlier and component."""
     role = rows["role"]
     out, all_ = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
     if not len(out) or not len(all_):
         return
-    y, band = rows["sig"][all_], int(rows["band"][0])
+    y, band, sets = rows["sig"][all_], int(rows["band"][0]), rows["set"]
     for i in out:
         x, node = rows["sig"][i], rows["node"][i]
         able = (rows["comp"][all_] != rows["comp"][i]) & (~rows["outlier"][all_] | (rows["node"][all_] > node))
@@ -140,27 +165,35 @@ def _agreeing(rows: dict[str, np.ndarray]) -> Iterator[tuple[int, int]]:
             continue
         some = all_[able]
         same = y[able] == x
-        near = (same.mean(1) - 1 / 256) / (1 - 1 / 256) >= LEAST
-        if near.any():
-            shared = same[near].reshape(-1, BANDS, ROWS).all(2)
-            for j in some[near][shared.argmax(1) == band]:  # a pair comes from the first bucket it shares
+        share = (same.mean(1) - 1 / 256) / (1 - 1 / 256)
+        near = np.flatnonzero(share >= LEAST)
+        if not len(near):
+            continue
+        # a pair is looked at in the first two of its buckets: low bits may show one that is none
+        before = same[near].reshape(-1, BANDS, ROWS).all(2)[:, :band].sum(1)
+        near = near[before < 2]
+        linked: set[int] = set()
+        for j in some[near[np.argsort(-share[near], kind="stable")]]:
+            comp = int(rows["comp"][j])
+            if comp not in linked and alike(sets[i], sets[j], percent):
+                linked.add(comp)
                 yield int(node), int(rows["node"][j])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by block -> pairs of each block; a block may go over several batches."""
     names = ("role", "node", "comp", "outlier", "band")
     kept: list[dict[str, np.ndarray]] = []
     last = None
 
     def emit() -> list[tuple[int, int]]:
-        return list(_agreeing({k: np.concatenate([r[k] for r in kept]) for k in kept[0]})) if kept else []
+        return list(_agreeing({k: np.concatenate([r[k] for r in kept]) for k in kept[0]}, percent)) if kept else []
 
     for b in batches:
         if not b.num_rows:
             continue
         key = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("bucket", "salt", "part")], 1)
-        cols = {c: b.column(c).to_numpy(zero_copy_only=False) for c in names} | {"sig": np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(b.num_rows, BINS)}
+        cols = {c: b.column(c).to_numpy(zero_copy_only=False) for c in names} | {"sig": np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(b.num_rows, BINS), "set": np.array(b.column("set").to_pylist(), object)}
         starts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, b.num_rows]
         found: list[tuple[int, int]] = []
         for i, j in zip(starts[:-1], starts[1:], strict=True):
@@ -179,11 +212,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
-            for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, U), np.frombuffer(y, U)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * both >= percent * (len(p) + len(q) - both))
+            ok = [alike(x, y, percent) for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
@@ -217,16 +246,9 @@ def connect(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(labels.join(parent, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "nd-labels")
 
 
-def confirm(likely: DataFrame, texts: DataFrame, sigs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) those that the full sets of shingles confirm. texts: at, text; sigs: node, place."""
-    wanted = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
-    where = wanted.join(sigs.select("node", "place"), "node").select("node", F.xxhash64("place").alias("at"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x, size).tobytes() for x in b.column(1).to_pylist()], pa.binary())], ["node", "set"])
-
-    sets = stored(texts.join(where, "at").select("node", "text").mapInArrow(pack, "node long, set binary"), "nd-sets")
+def confirm(likely: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) those that the full sets of shingles confirm. nodes: node, set."""
+    sets = nodes.select("node", "set")
     full = likely.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     return stored(full.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long"), "nd-edges")
 
@@ -244,30 +266,35 @@ def components(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Dat
     buckets = stored(shared.join(counts, "bucket"), "nd-buckets")
     weights = stored(buckets.groupBy("node").agg(F.sum("n").alias("weight")), "nd-nodes")
     labels = weights.select("node", F.col("node").alias("comp"))
-    # signatures of the nodes that share a bucket; equal sets have equal signatures
-    sigs = stored(rows.join(weights.select("node"), "node").join(first, "node").filter(F.col("doc_id").eqNullSafe(F.col("place.doc_id")) & (F.col("text_key") == F.col("place.text_key"))).select("node", "sig", "place").dropDuplicates(["node"]), "nd-sigs")
+    # signatures and sets of the nodes that share a bucket, each from one of its texts; the one shuffle of whole texts
+    where = weights.select("node").join(first, "node").select("node", F.xxhash64("place").alias("at"))
+    found = texts.join(where.hint("merge"), "at").dropDuplicates(["at"]).select("node", "text")
+    nodes = stored(found.mapInArrow(describe(size), DESCRIBE), "nd-sets")
+    sigs = nodes.select("node", "sig")
     # stars
     centres = buckets.join(weights, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("centre"))
     starred = stored(buckets.join(centres, "bucket"), "nd-stars")
     pairs = starred.filter("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     with_sigs = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
     likely = stored(with_sigs.select("a", "b", "sig_a", "sig_b").mapInArrow(_likely, "a long, b long"), "nd-likely")
-    labels = connect(confirm(likely, texts, sigs, size, percent), labels)
+    labels = connect(confirm(likely, nodes, percent), labels)
     # what stars have left open: centres have met all others, nodes of one component need not meet
-    named = starred.filter("node <> centre").select("bucket", "band", "node").join(labels, "node")
-    sums = named.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    large = sums.groupBy("bucket").agg(F.max(F.struct("n", "comp"))["comp"].alias("large"), F.sum("n").alias("nodes"), F.max("n").alias("most"), F.count("*").alias("comps")).filter("comps > 1").select("bucket", "large", F.ceil(F.col("nodes") / BLOCK).cast("int").alias("salts"), F.ceil((F.col("nodes") - F.col("most")) / BLOCK).cast("int").alias("parts"))
-    opened = named.join(large, "bucket").join(sigs.select("node", "sig"), "node").withColumn("outlier", F.col("comp") != F.col("large"))
+    named = starred.filter("node <> centre").select("bucket", "band", "node").join(labels, "node").join(nodes.select("node", "n"), "node")
+    sums = named.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.sum("n").alias("size"))
+    large = sums.groupBy("bucket").agg(F.max(F.struct("n", "comp", "size")).alias("large"), F.sum("n").alias("nodes"), F.sum("size").alias("size"), F.count("*").alias("comps")).filter("comps > 1")
+    cuts = lambda n, size: F.ceil(F.greatest(n / BLOCK, size * 8 / BLOCK_BYTES)).cast("int")
+    large = large.select("bucket", F.col("large.comp").alias("large"), cuts(F.col("nodes"), F.col("size")).alias("salts"), cuts(F.col("nodes") - F.col("large.n"), F.col("size") - F.col("large.size")).alias("parts"))
+    opened = named.drop("n").join(large, "bucket").join(nodes.select("node", "sig", "set"), "node").withColumn("outlier", F.col("comp") != F.col("large"))
     salt, part = (F.pmod(F.xxhash64("node"), F.col(c)).cast("int") for c in ("salts", "parts"))
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    keep = ["bucket", "band", "node", "comp", "outlier", "sig"]
-    nodes = opened.withColumn("salt", salt).withColumn("part", every("parts")).select(*keep, "salt", "part", F.lit(1).alias("role"))
+    keep = ["bucket", "band", "node", "comp", "outlier", "sig", "set"]
+    every_node = opened.withColumn("salt", salt).withColumn("part", every("parts")).select(*keep, "salt", "part", F.lit(1).alias("role"))
     outliers = opened.filter("outlier").withColumn("part", part).withColumn("salt", every("salts")).select(*keep, "salt", "part", F.lit(0).alias("role"))
     key = ["bucket", "salt", "part"]
-    met = nodes.union(outliers).repartition(*key).sortWithinPartitions(*key, "role")
-    more = stored(met.select(*key, "band", "node", "comp", "outlier", "sig", "role").mapInArrow(_blocks, "a long, b long").distinct(), "nd-likely")
+    met = every_node.union(outliers).repartition(*key).sortWithinPartitions(*key, "role")
+    more = stored(met.select(*key, "band", "node", "comp", "outlier", "sig", "set", "role").mapInArrow(partial(_blocks, percent=percent), "a long, b long").distinct(), "nd-more")
     if not more.isEmpty():
-        labels = connect(confirm(more, texts, sigs, size, percent), labels)
+        labels = connect(more, labels)
     return light, labels
 
 
