@@ -310,15 +310,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     one doc_id are in one component and are all kept or not. An empty table gives no rows. Other columns are not read. Sets
     are compared as 64-bit hashes of shingles.
     """
+    return _grouped(docs, size, percent).drop("comp")
+
+
+def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     rows, labels = components(docs, size, percent)
     # nodes that share no bucket are components of their own
     firsts = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
     named = firsts.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("first").alias("component_id"))
-    of_node = stored(named.select("node", "comp").join(least, "comp").select("node", "component_id"), "nd-components")
+    of_node = stored(named.select("node", "comp").join(least, "comp").select("node", "comp", "component_id"), "nd-components")
     out = rows.join(of_node, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "text_key")
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "text_key", "comp")
 
 
 def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -327,8 +331,9 @@ def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     Rows that repeat doc_id and text are one document, whatever their other columns. Of a group without
     any doc_id one text stays.
     """
-    found = near_duplicates(docs, size, percent).filter("kept")
-    least = found.groupBy("component_id", "doc_id", F.when(F.col("n_shingles") > 0, F.lit(0)).otherwise(F.col("text_key")).alias("alone")).agg(F.min("text_key").alias("text_key"))
+    found = _grouped(docs, size, percent).filter("kept")
+    # comp is null for texts without words
+    least = found.groupBy("comp", "doc_id", F.when(F.col("comp").isNull(), F.col("text_key")).alias("alone")).agg(F.min("text_key").alias("text_key"))
     keep = stored(least.select(F.xxhash64(F.struct("doc_id", "text_key")).alias("_at")).distinct(), "nd-kept")
     at = docs.withColumn("_at", F.xxhash64(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_col()).alias("text_key"))))
     return at.join(keep, "_at", "left_semi").dropDuplicates(["_at"]).drop("_at")
