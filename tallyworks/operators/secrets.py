@@ -7,7 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Patterns without look-around, so that other engines read them alike.
+# Patterns without look-around, so that other engines read them alike; none starts with an open run, which
+# would take time with the square of a long word.
 RULES = {
     "local path": r"(?i)(/Users/|/home/|/private/tmp/|[A-Z]:\\+Users\\|/\.ssh/|/etc/passwd)",
     "provider key": r"\bsk-[A-Za-z0-9_-]{16,}",
@@ -19,13 +20,13 @@ RULES = {
     "private key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
     "key variable": r"\b[A-Z][A-Z0-9_]*(API_KEY|SECRET|ACCESS_KEY|TOKEN|PASSWORD)[A-Z0-9_]*\b",
     "environment file": r"(^|[\s/\x22'])\.env(\.[a-z]+)?\b",
-    "email address": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email address": r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "bearer token": r"(?i)\bbearer\s+[A-Za-z0-9._~+/-]{12,}",
-    "credential in address": r"[a-z][a-z0-9+.-]*://[^/\s:@]+(:[^/\s@]+)?@",
+    "credential in address": r"[a-z][a-z0-9+.-]{0,30}://[^/\s:@]+(:[^/\s@]+)?@",
     "credential in query": r"(?i)[?&](access_token|api_?key|token|secret|password)=[^&\s]{6,}",
     "session id": r"(?i)\bsession_?id\s*[=:]\s*\S{8,}",
     "unique id": r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b",
-    "local host": r"(?i)\b[a-z0-9-]+\.local\b",
+    "local host": r"(?i)[a-z0-9]-*\.local\b",
     "conversation": r"(^|\n)\s*(Human|Assistant|User|System):\s",
     "chat message": r"\x22role\x22\s*:\s*\x22(user|assistant|system)\x22",
 }

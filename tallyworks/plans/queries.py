@@ -46,7 +46,7 @@ def daily_by_local_zone(spark, d):
 
 @query
 def daily_utc_models(spark, d):
-    return rollup.daily_utc(usage(spark, d)).withColumn("models", F.array_join("models", ","))
+    return rollup.daily_utc(usage(spark, d)).withColumn("models", F.when(F.size("models") > 0, F.array_join("models", ",")))
 
 
 @query
@@ -169,7 +169,7 @@ def keep_max_dedup(spark, d):
 
 @query
 def keep_max_across_sources(spark, d):
-    return merge.keep_max(doubled(spark, d), join_models=False).select("date", "provider", "total_tokens", F.array_join("models", ",").alias("models"))
+    return merge.keep_max(doubled(spark, d), join_models=False).select("date", "provider", "total_tokens", F.when(F.size("models") > 0, F.array_join("models", ",")).alias("models"))
 
 
 @query
