@@ -160,7 +160,7 @@ def observed_artifacts(artifacts: DataFrame, projects: DataFrame) -> DataFrame:
     found = projects.filter("found").select(F.lower("name").alias("_p")).distinct()
     j = artifacts.join(found, F.lower("linked_project") == F.col("_p"), "left")
     backing = F.when(F.col("_p").isNotNull(), "collector_observed").when(F.col("url").rlike("(?i)^https://"), "link_provided").otherwise("self_reported")
-    j = j.drop("_p").withColumn("verification", backing)
+    j = j.withColumn("verification", backing).drop("_p")
     return j.withColumn("rank", F.when(F.col("verification") == "collector_observed", 0).when(F.col("verification") == "link_provided", 1).otherwise(2)).orderBy("rank", "ord")
 
 
