@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,11 +86,14 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents resharded from 8 hash shards to 8 of near equal bytes."""
-    from .sharding import reshard
-
-    out = reshard(table(spark, sf_dir, "documents"), shards=8)
-    return out.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+    """Documents resharded from 8 hash shards to 8 of near equal bytes; digests of the rewritten files."""
+    from .common import shared_dir, text_col
+    from .sharding import reshard_files
+
+    text = text_col()
+    out = reshard_files(table(spark, sf_dir, "documents"), f"{shared_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}", shards=8)
+    digests = out.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.pmod(F.xxhash64(text), F.lit(8)).cast("int").alias("old_shard"), "shard", "slot")
+    return digests.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
 QUERIES = {

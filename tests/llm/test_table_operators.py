@@ -242,6 +242,49 @@ def test_reshard_fewer_shards_and_files(spark, tmp_path):
     assert sharding.reshard(docs.limit(0), shards=4).collect() == []
 
 
+def test_reshard_files_keep_what_is_not_affected(spark, tmp_path):
+    """Shards 0 to 2 change, 3 does not: its files stay; null and repeated doc_ids keep a row each."""
+    rows = [(i, f"t{i:04}" + "x" * 94, 0) for i in range(30)] + [(100 + i, f"u{i:04}" + "x" * 94, 1) for i in range(10)]
+    rows += [(200, "again" + "x" * 94, 2)] * 3 + [(None, f"n{i:04}" + "x" * 94, 2) for i in range(7)]
+    rows += [(300 + i, f"v{i:04}" + "x" * 94, 3) for i in range(20)] + [(400, "w0000" + "x" * 94, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int")
+    out = str(tmp_path / "out")
+    docs.withColumn("slot", F.lit(0).cast("long")).select("doc_id", "text", "slot", "shard").write.partitionBy("shard").parquet(out)
+    kept = {p.name for p in (tmp_path / "out" / "shard=3").iterdir()}
+    got = sharding.reshard_files(docs, out, shards=4, old_shard=F.col("shard"), capacities=[1700, 1700, 1700, 2000]).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((i, x) for i, x, _ in rows)
+    assert {p.name for p in (tmp_path / "out" / "shard=3").iterdir()} == kept
+    lying = spark.read.parquet(out).collect()
+    assert Counter((r.doc_id, r.text) for r in lying) == Counter((i, x) for i, x, _ in rows)
+    assert Counter(r.shard for r in lying) == Counter({0: 17, 1: 17, 2: 17, 3: 20})  # 4 is given up
+    for i in range(3):
+        assert sorted(r.slot for r in lying if r.shard == i) == list(range(17))
+
+
+def test_rewrite_affected_with_null_and_repeated_ids(spark, tmp_path):
+    rows = shard_rows() + [(9000, None, "a")] * 4
+    docs = make(spark, rows)
+    placed = sharding.reshard(docs, shards=4).cache()
+    out = str(tmp_path / "out")
+    spark.createDataFrame([(77, 7)], "doc_id long, shard int").write.partitionBy("shard").parquet(out)
+    made = {r.shard: r.rewritten for r in sharding.rewrite_affected(docs, placed, out).collect()}
+    assert all(made[i] for i in range(4))
+    assert Counter((r.doc_id, r.text) for r in spark.read.schema("doc_id long, text string, shard int").parquet(out).collect()) == Counter((i, x) for i, x, _ in rows) + Counter([(77, None)])
+
+
+@with_tables
+def test_sharding_query_writes_the_texts(spark):
+    from tallyworks.llm.common import shared_dir
+
+    there = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    got = QUERIES["op10_sharding"](spark, SF).collect()
+    (made,) = (x for x in set(os.listdir(shared_dir(spark).removeprefix("file:"))) - there if x.startswith("shards-"))
+    texts = spark.read.parquet(f"{shared_dir(spark)}/{made}")
+    affected = {x for r in got for x in (r.old_shard, r.shard) if r.old_shard != r.shard}
+    lying = texts.select("doc_id", "shard", "slot", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc")).collect()
+    assert affected and Counter(tuple(r) for r in lying) == Counter((r.doc_id, r.shard, r.slot, r.text_crc32) for r in got if r.shard in affected)
+
+
 # queries and pipeline
 
 
