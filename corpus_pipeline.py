@@ -8,6 +8,7 @@ can be run again by itself and lost executors cost no more than tasks of one sta
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyworks.llm import mixing, neardup, packing, quality
 from tallyworks.llm.common import stored
@@ -34,8 +35,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 4096 tokens."""
-    return packing.pack(docs, tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1)
+    """Pieces of documents in sequences of at most 4096 tokens, with their ids and a digest of them."""
+    packed = packing.pack(docs, tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1)
+    return packed.withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import running, stored, text_col
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+OWN = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
 class WordIds:
@@ -106,22 +107,25 @@ def coder(path: str) -> WordIds:
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
-    """Cut every document's ids, then ``end_id``, into pieces of at most ``capacity`` ids."""
+    """Cut every document's ids, then ``end_id``, into pieces of at most ``capacity`` ids.
+
+    ``ids`` has the ids of a piece as packed little-endian 32-bit numbers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = coder(tokenizer), np.asarray([end_id], "<u4").tobytes()
         for b in batches:
-            rows: list[tuple] = []
             for keys, texts in lots(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                rows: list[tuple] = []
                 for k, ids in zip(keys, encode(texts), strict=True):
                     ids += end
                     for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
-                        rows.append((k, p, at // 4, len(part) // 4, zlib.crc32(part)))
-            cols = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                        rows.append((k, p, at // 4, len(part) // 4, zlib.crc32(part), part))
+                cols = zip(*rows, strict=True) if rows else [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], [*OWN, "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_col()).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), text_col()).mapInArrow(run, PIECES + ", ids binary")
 
 
 def best_fit_runs(counts: dict[int, int], capacity: int) -> np.ndarray:
@@ -171,13 +175,16 @@ def best_fit_runs(counts: dict[int, int], capacity: int) -> np.ndarray:
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """Pack all documents into as few sequences of at most ``capacity`` ids as best-fit decreasing finds.
 
-    Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece. Null text
-    counts as empty and gives one piece with the end id alone. Null and repeated doc_ids are kept, a row
-    each. Documents longer than the capacity are cut, others never. An empty table gives no rows. Other
-    columns are not read.
+    Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids: one row for each piece. The ids
+    of a piece, packed little-endian 32-bit numbers, fill its sequence from offset on. Null text counts as
+    empty and gives one piece with the end id alone. Null and repeated doc_ids are kept, a row each.
+    Documents longer than the capacity are cut, others never. An empty table gives no rows. Other columns are
+    not read.
     """
-    cut = stored(pieces(docs, tokenizer, capacity, end_id), "pieces")
-    ranked = running(cut.withColumn("one", F.lit(1).cast("long")).withColumn("descending", -F.col("length")), ["descending"], ["doc_id", "piece", "ids_crc32"], "one", "rank")
+    # the pieces are ranked and placed without their ids, which join them by the row's number at the end
+    whole = stored(pieces(docs, tokenizer, capacity, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    cut = whole.drop("ids")
+    ranked = running(cut.withColumn("one", F.lit(1).cast("long")).withColumn("descending", -F.col("length")), ["descending"], ["doc_id", "piece", "ids_crc32", "row"], "one", "rank")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     runs = best_fit_runs(counts, capacity)
     # (length, rank) as one sortable number: rank below 2^48
@@ -193,7 +200,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1)
             length, rank = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank_before"))
             r = p[np.searchsorted(starts, (length << 48) + rank, "right") - 1]
             k = rank - r[:, 1]
-            own = [b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(r[:, 3] + k // r[:, 5], pa.int64()), pa.array(r[:, 4] + k % r[:, 5] * length, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            own = [b.column(c) for c in (*OWN, "row")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(r[:, 3] + k // r[:, 5], pa.int64()), pa.array(r[:, 4] + k % r[:, 5] * length, pa.int64())], [*OWN, "row", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    placed = ranked.mapInArrow(place, PIECES + ", row long, sequence_id long, offset long")
+    # hashing the light side spares a sort of the ids
+    return whole.select("row", "ids").join(placed.hint("shuffle_hash"), "row").select(*OWN, "sequence_id", "offset", "ids")

@@ -19,10 +19,11 @@ def tokenizer(name: str) -> str:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as pieces in sequences of at most 4096 tokens."""
+    """All documents as pieces in sequences of at most 4096 tokens; a digest of the packed ids."""
     from .packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1)
+    packed = pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1)
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

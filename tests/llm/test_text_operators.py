@@ -123,6 +123,21 @@ def test_packing(docs, rows):
     assert len(by) == best_fit_decreasing([r.length for r in got], 256)
 
 
+def test_packed_sequences_hold_the_ids(docs, rows):
+    """Every sequence, put together by offset, is the ids of its documents' pieces; none is lost."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    whole = defaultdict(list)
+    for r in packing.pack(docs, path, capacity=256, end_id=1).collect():
+        assert (len(r.ids), zlib.crc32(r.ids)) == (4 * r.length, r.ids_crc32)
+        whole[r.sequence_id].append((r.offset, [int.from_bytes(r.ids[k : k + 4], "little") for k in range(0, len(r.ids), 4)]))
+    sequences = [[v for at, ids in sorted(x) for v in ids] for x in whole.values()]
+    assert all(at == sum(len(ids) for other, ids in x if other < at) for x in whole.values() for at, _ in x)
+    assert Counter(v for x in sequences for v in x) == Counter(v for _, x in rows for v in [*t.encode(x or "", add_special_tokens=False).ids, 1])
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_best_fit_runs(seed):
     rng = random.Random(seed)
