@@ -12,6 +12,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -109,39 +110,63 @@ def align(template: list[str], words: list[str], band: int) -> tuple[int, int, i
     return max(row.values(), key=lambda x: (x[0], x[1] - x[2]), default=none)
 
 
+def places(template: list[str], words: list[str], known: np.ndarray, found: list[tuple[int, int]], k: int, band: int, least: float, lo: int = 0, hi: int | None = None) -> Iterator[tuple[int, int, int]]:
+    """(matched words, first, last + 1 place) of a template's matches in words[lo:hi]; none share a word.
+
+    found has sorted (start, place): where the template would start, by the gram at a place. known: how many of
+    the words before each place are words of the template, which bounds what an alignment can match.
+    """
+    need, size = least * len(template), len(template)
+    hi = len(words) if hi is None else hi
+    failed = None
+    for i, (start, place) in enumerate(found):
+        if place < lo or start == failed:
+            continue  # the gram lies in the last match, or its diagonal was aligned
+        a, b = max(lo, start - band), min(hi, start + size + band)
+        shift = start - band
+        n = first = end = 0
+        if a < b and known[b] - known[a] >= need:
+            # the band's diagonal starts where the window would have, had it not been cut
+            n, first, end = align(template, [""] * (a - shift) + words[a:b], band)
+        if not n or n < need:
+            failed = start
+            continue
+        first, end, failed = first + shift, end + shift, None
+        before = []
+        for x in islice(found, i, None):
+            if x[0] > first:
+                break
+            if x[1] >= lo and x[1] + k <= first:
+                before.append(x)
+        yield from places(template, words, known, before, k, band, least, lo, first)
+        yield n, first, end
+        lo = end
+
+
 def matches(text: str, index: Index, band: int, least: float) -> Iterator[tuple[str, float, int, int, int]]:
     """(template, coverage, matched words, start, end) of a text; start and end count characters."""
     low = text.lower()
     words = _word.findall(low)
-    g = grams(hashes(words), index.k)
+    h = hashes(words)
+    g = grams(h, index.k)
     if not len(g) or not len(index.keys):
         return
     at = np.minimum(np.searchsorted(index.keys, g), len(index.keys) - 1)
-    starts: dict[int, list[int]] = defaultdict(list)
+    starts: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for place in np.flatnonzero(index.keys[at] == g).tolist():
         for t, offset in index.places[int(g[place])]:
-            starts[t].append(place - offset)
+            starts[t].append((place - offset, place))
     if not starts:
         return
     spans = [m.span() for m in _word.finditer(low)] if len(low) == len(text) else [m.span() for m in _word.finditer(text)]
     if len(spans) != len(words):  # lower-casing changed where words end
         spans = None
     for t, found in sorted(starts.items()):
-        template, done = index.words[t], -1
-        last = None
-        for start in sorted(found):
-            if last is not None and start - last <= band:
-                continue  # within the band of the window just aligned
-            last = start
-            lo = max(0, start - band, done)
-            part = words[lo : start + len(template) + band]
-            # the band's diagonal starts where the window would have, had it not been cut
-            n, first, end = align(template, [""] * (lo - (start - band)) + part, band)
-            shift = start - band
-            if n >= least * len(template):
-                done = end + shift
-                a, b = (spans[first + shift][0], spans[done - 1][1]) if spans else (-1, -1)
-                yield index.names[t], n / len(template), n, a, b
+        template = index.words[t]
+        known = np.r_[0, np.cumsum(np.isin(h, hashes(template)))]
+        for n, first, end in places(template, words, known, sorted(found), index.k, band, least):
+            a, b = (spans[first][0], spans[end - 1][1]) if spans else (-1, -1)
+            yield index.names[t], n / len(template), n, a, b
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, band: int = 8, least: float = 0.8, most_words: int = 1_000_000) -> DataFrame:

@@ -241,6 +241,19 @@ def test_license_scan(spark):
             assert r.coverage == pytest.approx(1 - 3 / len(re.findall(r"[^\W_]+", mit)), abs=0.02)
 
 
+@pytest.mark.parametrize("name", [x for x, t in licenses.TEMPLATES.items() if len(t.split()) <= 14])
+def test_licenses_back_to_back(name):
+    """Each of adjacent copies is a match, also where a word of one is missing."""
+    line, index = licenses.TEMPLATES[name], licenses.build(licenses.TEMPLATES)
+    for n in (1, 2, 3, 7):
+        text = "Code. " + " ".join([line] * n) + " More."
+        got = [m for m in licenses.matches(text, index, 8, 0.8) if m[0] == name]
+        assert [(m[1], m[3], m[4]) for m in got] == [(1.0, at, at + len(line.rstrip("."))) for at in range(6, len(text) - 6, len(line) + 1)]
+    if len(re.findall(r"[^\W_]+", line)) >= 5:
+        text = f"{line} {line.split(maxsplit=1)[1]} {line}"
+        assert len([m for m in licenses.matches(text, index, 8, 0.8) if m[0] == name]) == 3
+
+
 def test_license_scan_of_nothing(none):
     assert licenses.scan(none).collect() == []
 
