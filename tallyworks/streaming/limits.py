@@ -28,14 +28,28 @@ def _decide(rows: pd.DataFrame, start: float | None, count: int, most: int, wind
 
 
 def limit(events: DataFrame, most: int, window_seconds: float) -> DataFrame:
-    """allowed for each event (bucket, at, id) of a table, in the order of time and id."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "id"], kind="stable")
-        allowed, _, _ = _decide(pdf, None, 0, most, window_seconds)
-        return pdf.assign(allowed=allowed)[["bucket", "at", "id", "allowed"]]
+    """allowed for each event (bucket, at, id) of a table, in the order of time and id.
+
+    Spark sorts the events; of a bucket only the window's start and count pass from batch to batch.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, start, count = None, None, 0
+        for pdf in batches:
+            allowed: list[bool] = []
+            names = pdf["bucket"].astype(object).where(pdf["bucket"].notna(), None).tolist()
+            cuts = [i for i in range(len(names)) if not i or names[i] != names[i - 1]]
+            for a, b in zip(cuts, [*cuts[1:], len(names)], strict=True):
+                key = (names[a],)
+                if key != last:
+                    last, start, count = key, None, 0
+                ok, start, count = _decide(pdf.iloc[a:b], start, count, most, window_seconds)
+                allowed += ok
+            yield pdf.assign(allowed=allowed)[["bucket", "at", "id", "allowed"]]
 
-    return events.select("bucket", F.col("at").cast("timestamp").alias("at"), F.col("id").cast("string").alias("id")).groupBy("bucket").applyInPandas(run, RESULT)
+    rows = events.select("bucket", F.col("at").cast("timestamp").alias("at"), F.col("id").cast("string").alias("id"))
+    ordered = rows.repartition("bucket").sortWithinPartitions("bucket", F.col("at").asc_nulls_last(), F.col("id").asc_nulls_last())
+    return ordered.mapInPandas(run, RESULT)
 
 
 def limit_stream(events: DataFrame, most: int, window_seconds: float) -> DataFrame:

@@ -62,3 +62,17 @@ def test_rate_limit_stream_keeps_its_state(spark, tmp_path):
         q = limits.limit_stream(stream, 2, 3600).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(out)
         q.awaitTermination(120)
     assert {r["id"]: r["allowed"] for r in spark.read.parquet(out).collect()} == {"1": True, "2": True, "3": False}
+
+
+def test_rate_limit_of_a_bucket_in_many_batches(spark):
+    """A window goes on from batch to batch, and no group is gathered whole."""
+    t = dt.datetime(2026, 1, 1)
+    rows = [(None if b == 2 else f"b{b}", t + dt.timedelta(seconds=i), f"{i:03}") for b in range(3) for i in range(50)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = limits.limit(spark.createDataFrame(rows, "bucket string, at timestamp, id string"), 3, 19.5)
+        got = {(r.bucket, r.id): r.allowed for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(b, f"{i:03}"): i % 20 < 3 for b in ("b0", "b1", None) for i in range(50)}
+    assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().toString()
