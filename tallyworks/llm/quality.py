@@ -107,8 +107,9 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: Column, n_grades: int, most:
     """Fit on rated documents.
 
     :param ratings: doc_id and what ``grade`` reads; ``grade`` gives whole numbers from 0 to n_grades - 1.
-    :param most: bound on the rated documents used: those first by the hash of their doc_id. The sample is
-        gathered on the driver as hashed marks.
+    :param most: bound on the rated documents used: those first by the hash of their doc_id, and of the
+        rows of a repeated doc_id the one of the least text hash. The sample is gathered on the driver as hashed
+        marks.
 
     None if fewer than two grades occur. Null ids, null texts and null grades are not used.
     """
@@ -121,7 +122,8 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: Column, n_grades: int, most:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(features(x, mask), "<i4").tobytes() for x in b.column(1).to_pylist()], pa.binary())], ["grade", "places"])
 
     known = docs.filter(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")  # at most ``most`` ids
-    got = known.select("grade", "text").mapInArrow(run, "grade int, places binary").collect()
+    known = known.groupBy("doc_id", "grade").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))  # one row an id
+    got = known.select("grade", "least.text").mapInArrow(run, "grade int, places binary").collect()
     if len({r["grade"] for r in got}) < 2:
         return None
     got.sort(key=lambda r: (r["grade"], bytes(r["places"])))  # the same fit however rows arrive

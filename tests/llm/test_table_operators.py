@@ -122,6 +122,15 @@ def test_classifier_edges(spark):
     assert quality.classify(docs.limit(0), model, tail_from=2).collect() == []
 
 
+def test_classifier_takes_one_row_of_a_repeated_id(spark, monkeypatch):
+    docs = make(spark, [(1, f"good words {i}", "a") for i in range(50)] + [(2, "bad junk there", "a")])
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "fit_arrays", lambda places, grades, *_: seen.append(sorted(grades.tolist())))
+    quality.fit(docs, labels, quality.grade_of_labels(), 3)
+    assert seen == [[0, 2]]
+
+
 # nearest neighbours
 
 
