@@ -299,32 +299,52 @@ def test_token_counts_of_nothing(none):
 
 
 def brute_scores(rows, backoff, power):
-    single, both, state = Counter(), Counter(), Counter()
+    """The recursive definition, on words."""
+    grams = Counter()
     texts = [(i, [*ascii_words(x), None], zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2) for i, x in rows]
+    order = 1 + len(backoff)
     for _, w, held in texts:
         if not held:
-            single.update(w)
-            pairs = list(zip(["\0start", *w], w, strict=False))
-            both.update(pairs)
-            state.update(v for v, _ in pairs)
+            line = ["\0start", *w]
+            grams.update(tuple(line[i : i + m]) for m in range(1, order + 1) for i in range(len(line) - m + 1))
+    single = {g[0]: c for g, c in grams.items() if len(g) == 1 and g != ("\0start",)}
     n, v = sum(single.values()), len(single)
+
+    def p(context, word):
+        if not context:
+            return (single.get(word, 0) + 1) / (n + v + 1)
+        c = grams[context]
+        if not c:
+            return p(context[1:], word)
+        b = backoff[len(context) - 1] * c ** -power[len(context) - 1]
+        return (1 - b) * grams[(*context, word)] / c + b * p(context[1:], word)
+
     out = Counter()
     for i, w, held in texts:
-        base = score = 0.0
-        for a, b in zip(["\0start", *w], w, strict=False):
-            p = (single[b] + 1) / (n + v + 1)
-            fall = backoff * state[a] ** -power if state[a] else 1.0
-            base += math.log10(p)
-            score += math.log10((1 - fall) * both[a, b] / state[a] + fall * p) if both[a, b] else math.log10(fall * p)
-        out[i, held, len(w), sum(single[x] > 0 for x in w), n, round(base, 6), round(score, 6)] += 1
+        line = ["\0start", *w]
+        base = sum(math.log10(p((), b)) for b in w)
+        score = sum(math.log10(p(tuple(line[max(0, j + 2 - order) : j + 1]), b)) for j, b in enumerate(w))
+        out[i, held, len(w), sum(single.get(x, 0) > 0 for x in w), n, round(base, 6), round(score, 6)] += 1
     return out
 
 
-@pytest.mark.parametrize("block", [2_000_000, 500])
-def test_lm_scores(docs, rows, block):
-    got = ngram_lm.score_texts(docs, block_tokens=block).collect()
+@pytest.mark.parametrize(("block", "backoff", "power"), [(2_000_000, (0.95, 0.75), (0.06, 0.1)), (500, (0.95, 0.75), (0.06, 0.1)), (500, (0.9,), (0.2,)), (3000, (0.9, 0.8, 0.5), (0.1, 0.0, 0.3))])
+def test_lm_scores(docs, rows, block, backoff, power):
+    got = ngram_lm.score_texts(docs, backoff=backoff, power=power, block_tokens=block, bucket_tokens=2000).collect()
     found = Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got)
-    assert found == brute_scores(rows, 0.95, 0.06)
+    assert found == brute_scores(rows, backoff, power)
+
+
+def test_lm_longer_contexts_help(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = [ngram_lm.score_texts(docs, backoff=b, power=p).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first() for b, p in (((0.95,), (0.06,)), ((0.95, 0.75), (0.06, 0.1)))]
+    assert held[1][0] > held[0][0] > held[0][1]
+
+
+def test_lm_without_training_texts(spark):
+    rows = [(i, "a b a") for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]
+    for r in ngram_lm.score_texts(make(spark, rows)).collect():
+        assert (r.n_known, r.train_tokens, r.score) == (0, 0, 0.0)
 
 
 def test_lm_scores_of_nothing(none):
