@@ -145,13 +145,15 @@ def brute_nearest(rows, ask, k):
 
 
 @with_tables
-def test_nearest_recall(spark):
-    table = spark.read.parquet(f"{SF}/embeddings.parquet")
+@pytest.mark.parametrize("options", [{}, {"cell_rows": 400, "part_queries": 7, "sample_rows": 900}])
+def test_nearest_recall(spark, options):
+    """Over one cell, and over many of them; at 64 dimensions."""
+    table = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet" if options else f"{SF}/embeddings.parquet")
     rows = [(r.vec_id, np.asarray(r.embedding, float)) for r in table.collect()]
     x = np.array([v / np.linalg.norm(v) for _, v in rows])
     ids = np.array([i for i, _ in rows])
     got = defaultdict(list)
-    for r in ann.nearest(table, F.col("vec_id") % 50 == 0, k=5).collect():
+    for r in ann.nearest(table, F.col("vec_id") % 50 == 0, k=5, **options).collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     hit = n = 0
     for at in np.flatnonzero(ids % 50 == 0):
@@ -171,11 +173,12 @@ def test_nearest_edges(spark, block):
     rng = np.random.default_rng(4)
     rows = [(i, rng.standard_normal(4).round(3).tolist()) for i in range(300)]
     rows += [(1000 + i, rows[50][1]) for i in range(30)]  # ties
+    rows += [(5000 + i, (np.array(rows[100][1]) * 2.0 ** (i - 100)).tolist()) for i in range(200)]  # one direction, lengths of many kinds
     odd = [(None, [1.0, 0.0, 0.0, 0.0]), (2000, None), (2050, []), (2100, [0.0, 0.0, 0.0, 0.0]), (2150, [1.0, None, 0.0, 0.0]), (2200, [float("nan"), 1.0, 0.0, 0.0]), (2250, [float("inf"), 1.0, 0.0, 0.0])]
     other = [(3000, [1.0, 2.0]), (3001, [2.0, 1.0])]
     table = spark.createDataFrame([(*r, "x", 1) for r in rows + odd + other + [rows[0]]], "vec_id long, embedding array<double>, block string, rank int")
     got = defaultdict(list)
-    for r in ann.nearest(table, F.col("vec_id") % 50 == 0, k=5, block_rows=block, query_rows=5).collect():
+    for r in ann.nearest(table, F.col("vec_id") % 50 == 0, k=5, cell_rows=block, part_queries=5).collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     want = brute_nearest(rows + other, lambda i: i % 50 == 0, 5)
     assert set(got) == set(want)
@@ -186,6 +189,32 @@ def test_nearest_edges(spark, block):
     assert ann.nearest(table.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_tree_finds_the_leaf_of_every_point():
+    rng = np.random.default_rng(1)
+    points = np.concatenate([rng.standard_normal((500, 3)), np.ones((700, 3))])
+    tree = ann.Tree(points, 4, strict=True)
+    found = tree.find(points)
+    assert tree.leaves > 4 and set(found.tolist()) == set(range(tree.leaves)) and len(set(found[500:].tolist())) == 1
+    for i, (lo, hi) in enumerate(tree.rows):
+        if tree.dim[i] < 0:
+            assert set(tree.order[lo:hi].tolist()) == set(np.flatnonzero(found == tree.leaf[i]).tolist())
+
+
+def test_walk_leaves_out_what_the_test_rules_out(monkeypatch):
+    """Clustered vectors: the walk stops long before all leaves, and finds the nearest."""
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((60, 64)) * 4
+    x = np.repeat(centres, 200, 0) + 0.3 * rng.standard_normal((12_000, 64))
+    cell = ann.Cell(np.arange(len(x)), x, 8, 0.95, 5)
+    looked = []
+    monkeypatch.setattr(ann, "heappop", lambda heap, pop=ann.heappop: looked.append(1) or pop(heap))
+    u, hit = x / np.linalg.norm(x, axis=1, keepdims=True), 0
+    for q in range(0, 12_000, 600):
+        want = [i for i in np.argsort(-(u @ u[q]), kind="stable")[:6] if i != q][:5]
+        hit += len(set(want) & set(cell.nearest(q, x[q], 5, -2.0)[0].tolist()))
+    assert hit >= 90 and len(looked) < 20 * len(cell.tree.dim) / 3
+
+
 def test_chi_square_quantile():
     assert ann.chi_square_quantile(0.95, 2) == pytest.approx(5.991, abs=1e-3)
     assert ann.chi_square_quantile(0.99, 8) == pytest.approx(20.090, abs=1e-3)
