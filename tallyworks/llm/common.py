@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,21 +18,40 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is made.
+    Only where the session names none and all runs on one machine a temporary folder is made; on a cluster
+    executors would not see it, so that there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if (jdir := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
             return jdir.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyworks-"))
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return found
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """The folder of this application's stored tables; Hadoop's file system removes it when the driver ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/tallyworks-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.mkdirs(path):
+        fs.deleteOnExit(path)
+    return folder
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Remove the stored tables of this application, once no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -97,6 +115,3 @@ def running(df: DataFrame, keys: list[str], order: list[str], value: str, name:
     out = kept.join(sums, on)
     return out.select(*df.columns, (F.col("_local") + F.col("_off")).alias(f"{name}_before"), F.col("_total").alias(f"{name}_total"))
 
-
-def safe_name(x: str) -> str:
-    return re.sub(r"\W+", "_", x)

@@ -10,32 +10,55 @@ blocks in which all sources have their weight, and each block has its own random
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, running, stored, text_col
 
+SALTS = 16  # parts of a source in joins beyond the bounds for broadcasting
 
-def weights(tokens: dict[str, int], exponent: float) -> dict[str, float]:
-    total = sum(tokens.values())
-    raw = {s: (t / total) ** exponent for s, t in tokens.items()}
-    norm = sum(raw.values())
-    return {s: x / norm for s, x in raw.items()}
 
+class Shares:
+    """What the exponent depends on: token shares p of the sources, as sums over all of them.
 
-def entropy(w: dict[str, float]) -> float:
-    return -sum(x * math.log(x) for x in w.values() if x > 0)
+    powers(a) gives the sum of p ** a and of p ** a * log(p); small tables of sources are summed on the
+    driver, others by Spark.
+    """
+
+    def __init__(self, n: int, total: int, least: int, largest: int, powers: Callable[[float], tuple[float, float]]):
+        self.n, self.total, self.least, self.largest, self.powers = n, total, least, largest, powers
+
+    @classmethod
+    def of(cls, tokens: list[int]) -> Shares:
+        t = np.array(tokens, float)
+        p = t / t.sum()
+        return cls(len(tokens), sum(tokens), min(tokens), max(tokens), lambda a: ((p**a).sum(), (p**a * np.log(p)).sum()))
+
+    @classmethod
+    def of_table(cls, sizes: DataFrame) -> Shares:
+        """sizes: a row with tokens for each source."""
+        r = sizes.agg(F.count("*"), F.sum("tokens"), F.min("tokens"), F.max("tokens")).first()
+        log = F.log(F.col("tokens") / r[1])
+        return cls(*r, lambda a: tuple(sizes.agg(F.sum(F.exp(a * log)), F.sum(F.exp(a * log) * log)).first()))
 
+    def norm(self, exponent: float) -> float:
+        return self.powers(exponent)[0]
 
-def budget_of(tokens: dict[str, int], w: dict[str, float], budget: int | None) -> float:
-    """The given budget, or the least with which every source is read whole at least once."""
-    return budget if budget is not None else max(t / w[s] for s, t in tokens.items())
+    def entropy(self, exponent: float) -> float:
+        """Of the weights p ** a / norm."""
+        norm, logs = self.powers(exponent)
+        return math.log(norm) - exponent * logs / norm
 
+    def budget(self, exponent: float, budget: int | None) -> float:
+        """The given budget, or the least with which every source is read whole at least once (the largest is the last to be)."""
+        return budget if budget is not None else self.largest * self.norm(exponent) / (self.largest / self.total) ** exponent
 
-def repetition(tokens: dict[str, int], w: dict[str, float], budget: int | None) -> float:
-    b = budget_of(tokens, w, budget)
-    return max(w[s] * b / t for s, t in tokens.items())
+    def repetition(self, exponent: float, budget: int | None) -> float:
+        """Passes over the smallest source, which is read most often."""
+        return (self.least / self.total) ** exponent / self.norm(exponent) * self.budget(exponent, budget) / self.least
 
 
 def bisect(ok, lo: float = 0.0, hi: float = 1.0, steps: int = 60, largest: bool = True) -> float:
@@ -51,18 +74,26 @@ def bisect(ok, lo: float = 0.0, hi: float = 1.0, steps: int = 60, largest: bool
     return lo if largest else hi
 
 
-def fit_exponent(tokens: dict[str, int], target_entropy: float, most_repeats: float, budget: int | None = None) -> float:
+def fit_exponent(shares: Shares, target_entropy: float, most_repeats: float, budget: int | None = None) -> float:
     """Exponent from 0 to 1 for a target entropy (share of the largest possible) and a repetition limit.
 
     Entropy falls and repetition falls as the exponent grows. Where both cannot hold, the limit does.
     """
-    goal = target_entropy * math.log(len(tokens)) if len(tokens) > 1 else 0.0
-    by_entropy = bisect(lambda a: entropy(weights(tokens, a)) >= goal)
-    by_limit = bisect(lambda a: repetition(tokens, weights(tokens, a), budget) <= most_repeats, largest=False)
+    goal = target_entropy * math.log(shares.n)
+    by_entropy = bisect(lambda a: shares.entropy(a) >= goal) if shares.n > 1 else 1.0
+    by_limit = bisect(lambda a: shares.repetition(a, budget) <= most_repeats, largest=False)
     return max(by_entropy, by_limit)
 
 
-def mix(docs: DataFrame, target_entropy: float = 0.9, most_repeats: float = 4.0, budget: int | None = None, n_blocks: int = 64, seed: int = 17, tokens: Column | None = None, most_sources: int = 100_000) -> DataFrame:
+def met(df: DataFrame, by_source: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """df with what a table by source says: by broadcast up to ``most`` rows, else by a shuffle of every source in SALTS parts."""
+    if by_source.limit(most + 1).count() <= most:
+        return df.join(F.broadcast(by_source), keys)
+    parted = by_source.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.withColumn("salt", F.pmod("id", F.lit(SALTS)).cast("int")).join(parted, [*keys, "salt"]).drop("salt")
+
+
+def mix(docs: DataFrame, target_entropy: float = 0.9, most_repeats: float = 4.0, budget: int | None = None, n_blocks: int = 64, seed: int = 17, tokens: Column | None = None, most_sources: int = 20_000) -> DataFrame:
     """Repeat and order documents so that sources have their mixing weights.
 
     :param target_entropy: entropy of the weights as a share of the logarithm of the number of sources.
@@ -70,8 +101,9 @@ def mix(docs: DataFrame, target_entropy: float = 0.9, most_repeats: float = 4.0,
     :param budget: tokens of the mixture; None for the least with which every source is read at least once.
         With a smaller budget large sources are read in part: the first documents of their random order.
     :param n_blocks: blocks of equal budget, each with all sources at their weight.
-    :param tokens: a document's tokens; by default its words and one end.
-    :param most_sources: the table of sources is held on the driver; more sources are an error.
+    :param tokens: a document's tokens; by default its words and one end. Null, zero or less counts as one.
+    :param most_sources: rows by source (at most 2 KB each: a bound for each block) that are held on the
+        driver and broadcast; beyond, they are summed and joined by Spark.
 
     Returns the columns of docs, then mix_tokens, mix_epoch (from 0), mix_block and mix_order (random order
     within the block); own columns of these names are replaced. A null source is a source of its own.
@@ -79,35 +111,38 @@ def mix(docs: DataFrame, target_entropy: float = 0.9, most_repeats: float = 4.0,
     in the random order, so that a part pass holds all of them or none. An empty table gives no rows.
     """
     n_tokens = (F.size(F.regexp_extract_all(text_col(), F.lit(f"({WORD})"))) + 1 if tokens is None else tokens).cast("long")
-    d = docs.drop("mix_tokens", "mix_epoch", "mix_block", "mix_order").withColumn("mix_tokens", n_tokens).withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))).withColumn("_id", F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    light = stored(d.select("_source", "_id", "mix_tokens"), "mix-light")
-    sums = light.groupBy("_source").agg(F.sum("mix_tokens").alias("t")).limit(most_sources + 1).collect()
-    if len(sums) > most_sources:
-        raise ValueError(f"more than {most_sources} sources")
-    spark = docs.sparkSession
-    sizes = {r["_source"]: r["t"] for r in sums}
-    schema = "_source string, _epochs double, _quota double"
-    if sizes:
-        w = weights(sizes, fit_exponent(sizes, target_entropy, most_repeats, budget))
-        total = budget_of(sizes, w, budget)
-        # rounding must not make 1.0 passes into 0.9999
-        plan = [(s, round(w[s] * total / t, 9), w[s] * total) for s, t in sizes.items()]
+    own = [c for c in docs.columns if c not in ("mix_tokens", "mix_epoch", "mix_block", "mix_order")]
+    # the columns of docs as one, so that none is taken for one of the names used here
+    doc = F.struct(*[F.col(f"`{c}`") for c in own]).alias("doc")
+    source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")).alias("source")
+    key = F.xxhash64("doc_id", text_col()).alias("id")
+    d = docs.select(doc, source, key, F.greatest(F.coalesce(n_tokens, F.lit(1)), F.lit(1)).cast("long").alias("tokens"))
+    light = stored(d.drop("doc"), "mix-light")
+    sizes = stored(light.groupBy("source").agg(F.sum("tokens").alias("tokens")), "mix-sources")
+    some = [r["tokens"] for r in sizes.select("tokens").limit(most_sources + 1).collect()]
+    if not some:
+        planned = sizes.select("source", F.lit(0.0).alias("passes"), F.lit(0.0).alias("quota"))
     else:
-        plan = []
-    planned = F.broadcast(spark.createDataFrame(plan, schema))  # at most ``most_sources`` rows
-    order = lambda epoch: F.xxhash64(F.lit(seed), epoch, F.col("_id"))
-    passes = lambda x: x.join(planned, "_source").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.ceil("_epochs").cast("int") - 1)))
+        shares = Shares.of(sorted(some)) if len(some) <= most_sources else Shares.of_table(sizes)
+        exponent = fit_exponent(shares, target_entropy, most_repeats, budget)
+        quota = F.pow(F.col("tokens") / shares.total, F.lit(exponent)) / shares.norm(exponent) * shares.budget(exponent, budget)
+        # rounding must not make 1.0 passes into 0.9999
+        planned = sizes.select("source", F.round(quota / F.col("tokens"), 9).alias("passes"), quota.alias("quota"))
+    planned = stored(planned, "mix-plan")
+    order = F.xxhash64(F.lit(seed), F.col("epoch"), F.col("id")).alias("order")
+    passes = lambda x: met(x, planned, ["source"], most_sources).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.ceil("passes").cast("int") - 1))).select("*", order)
     # where each (source, pass) enters each block, as a bound on the random order
-    each = stored(passes(light).withColumn("_order", order(F.col("mix_epoch"))), "mix-passes")
-    summed = running(each, ["_source", "mix_epoch"], ["_order"], "mix_tokens", "t")
-    before = F.col("mix_epoch") * F.col("t_total") + F.col("t_before")
-    placed = summed.withColumn("_block", F.floor(before * n_blocks / F.col("_quota"))).filter((F.col("_block") < n_blocks) & (F.col("mix_epoch") + F.col("t_before") / F.col("t_total") < F.col("_epochs")))
-    bounds = placed.groupBy("_source", "mix_epoch", "_block").agg(F.max("_order").alias("_last"))
-    # at most passes x (n_blocks + 1) bounds for each source
-    bounds = F.broadcast(stored(bounds.groupBy("_source", "mix_epoch").agg(F.array_sort(F.collect_list(F.struct("_block", "_last"))).alias("_bounds")), "mix-bounds"))
-    out = passes(d).withColumn("_order", order(F.col("mix_epoch"))).join(bounds, ["_source", "mix_epoch"])
-    out = out.withColumn("mix_block", F.get(F.filter("_bounds", lambda b: b["_last"] >= F.col("_order")), F.lit(0))["_block"].cast("int")).filter(F.col("mix_block").isNotNull())
-    return out.withColumn("mix_order", F.xxhash64(F.lit(seed), F.col("mix_block"), F.col("mix_epoch"), F.col("_id"))).drop("_source", "_id", "_epochs", "_quota", "_bounds", "_order")
+    each = stored(passes(light), "mix-passes")
+    summed = running(each, ["source", "epoch"], ["order"], "tokens", "t")
+    before = F.col("epoch") * F.col("t_total") + F.col("t_before")
+    placed = summed.withColumn("block", F.floor(before * n_blocks / F.col("quota"))).filter((F.col("block") < n_blocks) & (F.col("epoch") + F.col("t_before") / F.col("t_total") < F.col("passes")))
+    bounds = placed.groupBy("source", "epoch", "block").agg(F.max("order").alias("last"))
+    # n_blocks bounds at most for each pass
+    bounds = stored(bounds.groupBy("source", "epoch").agg(F.array_sort(F.collect_list(F.struct("block", "last"))).alias("bounds")), "mix-bounds")
+    out = met(passes(d), bounds, ["source", "epoch"], most_sources)
+    out = out.withColumn("block", F.get(F.filter("bounds", lambda b: b["last"] >= F.col("order")), F.lit(0))["block"].cast("int")).filter(F.col("block").isNotNull())
+    mixed = [F.col("tokens").alias("mix_tokens"), F.col("epoch").alias("mix_epoch"), F.col("block").alias("mix_block"), F.xxhash64(F.lit(seed), F.col("block"), F.col("epoch"), F.col("id")).alias("mix_order")]
+    return out.select(*[F.col(f"doc.`{c}`").alias(c) for c in own], *mixed)
 
 
 def positions(mixed: DataFrame, keep: list[str]) -> DataFrame:

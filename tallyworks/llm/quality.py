@@ -158,5 +158,6 @@ def classify(docs: DataFrame, model: Model | None, tail_from: int, least_tail: f
             yield pa.StructArray.from_arrays([pa.array(up.sum(1)), pa.array(up[:, tail_from - 1])], ["expected_grade", "tail"])
 
     graded = F.arrow_udf(grade, "expected_grade double, tail double")
-    d = d.withColumn("_graded", graded(text_col()))
-    return d.select("*", "_graded.expected_grade", "_graded.tail").drop("_graded").withColumn("selected", F.col("tail") >= least_tail)
+    # the columns of docs as one, so that none is taken for the grades
+    both = d.select(F.struct(*[F.col(f"`{c}`") for c in d.columns]).alias("doc"), graded(text_col()).alias("graded"))
+    return both.select("doc.*", "graded.expected_grade", "graded.tail", (F.col("graded.tail") >= least_tail).alias("selected"))

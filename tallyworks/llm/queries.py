@@ -65,10 +65,11 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes and tokens of every text; whether the tokens exceed 4096."""
+    """Bytes and tokens of every text, from a cold cache; whether the tokens exceed 4096."""
+    from .common import tables_dir
     from .tokencount import count_tokens
 
-    out = count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    out = count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), cache=f"{tables_dir(spark)}/token-counts-{uuid.uuid4().hex}")
     return out.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
@@ -90,11 +91,11 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents resharded from 8 hash shards to 8 of near equal bytes; digests of the rewritten files."""
-    from .common import shared_dir, text_col
+    from .common import tables_dir, text_col
     from .sharding import reshard_files
 
     text = text_col()
-    out = reshard_files(table(spark, sf_dir, "documents"), f"{shared_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}", shards=8)
+    out = reshard_files(table(spark, sf_dir, "documents"), f"{tables_dir(spark)}/shards-{uuid.uuid4().hex}", shards=8)
     digests = out.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.pmod(F.xxhash64(text), F.lit(8)).cast("int").alias("old_shard"), "shard", "slot")
     return digests.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 

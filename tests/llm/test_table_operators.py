@@ -35,40 +35,97 @@ def some_sources():
     return [*rows, (None, None, "a"), (None, "", "b"), (7, "again", "c"), (7, "again", "c")]
 
 
-def test_exponent():
-    tokens = {"a": 9000, "b": 900, "c": 100}
-    a = mixing.fit_exponent(tokens, 0.8, 1e9)
-    assert mixing.entropy(mixing.weights(tokens, a)) == pytest.approx(0.8 * math.log(3), abs=1e-6)
-    a = mixing.fit_exponent(tokens, 1.0, 5.0)
-    assert mixing.repetition(tokens, mixing.weights(tokens, a), None) == pytest.approx(5.0, abs=1e-6)
-    assert mixing.fit_exponent({"a": 5}, 0.9, 4.0) == pytest.approx(1.0)
+def brute_exponent(tokens, target, most, budget):
+    """By the definitions, on a fine grid refined twice."""
+    total = sum(tokens.values())
+
+    def weights(a):
+        raw = {s: (t / total) ** a for s, t in tokens.items()}
+        return {s: x / sum(raw.values()) for s, x in raw.items()}
+
+    def high(a):
+        return -sum(x * math.log(x) for x in weights(a).values()) >= target * math.log(len(tokens)) - 1e-12
+
+    def rare(a):
+        w = weights(a)
+        b = budget if budget is not None else max(t / w[s] for s, t in tokens.items())
+        return max(w[s] * b / t for s, t in tokens.items()) <= most + 1e-12
+
+    lo, hi, found = 0.0, 1.0, []
+    for ok, last in ((high, True), (rare, False)):
+        lo, hi = 0.0, 1.0
+        for _ in range(6):
+            grid = [lo + (hi - lo) * i / 50 for i in range(51)]
+            good = [x for x in grid if ok(x)]
+            if not good:
+                lo = hi = 1.0 if not last else 0.0
+                break
+            at = max(good) if last else min(good)
+            lo, hi = max(0.0, at - (hi - lo) / 50), min(1.0, at + (hi - lo) / 50)
+        found.append((lo + hi) / 2 if 0 < (lo + hi) / 2 < 1 - 1e-7 else round((lo + hi) / 2))
+    return weights(max(found))
 
 
-def test_mix(spark):
-    rows = some_sources()
-    got = mixing.mix(make(spark, rows), target_entropy=0.9, most_repeats=4.0, n_blocks=8).collect()
-    size = lambda x: len((x or "").split()) + 1
+def brute_mix(spark, rows, size, n_blocks, seed, target, most, budget):
+    """Rows one after the other: source, pass by pass, in the random order; their blocks by the tokens before."""
     tokens = Counter()
     for _, x, s in rows:
         tokens[s] += size(x)
-    w = mixing.weights(tokens, mixing.fit_exponent(tokens, 0.9, 4.0))
-    budget = mixing.budget_of(tokens, w, None)
-    made, blocks = Counter(), defaultdict(Counter)
-    for r in got:
-        assert r.mix_tokens == size(r.text)
-        made[r.source] += r.mix_tokens
-        blocks[r.mix_block][r.source] += r.mix_tokens
-    for s in tokens:
-        assert abs(made[s] - w[s] * budget) <= 45
-    assert set(blocks) == set(range(8))
-    for b in blocks.values():
-        assert b["a"] / b.total() == pytest.approx(w["a"], abs=0.05)
-    times = Counter((r.doc_id, r.text, r.source) for r in got)
-    assert set(times) == set(rows)  # none is left out
-    by_source = defaultdict(list)
-    for (i, x, s), n in times.items():
-        by_source[s].append(n / (2 if i == 7 and s == "c" and x == "again" else 1))
-    assert all(max(n) - min(n) <= 1 and max(n) <= 5 for n in by_source.values())
+    w = brute_exponent(tokens, target, most, budget)
+    total = budget if budget is not None else max(t / w[s] for s, t in tokens.items())
+    hashed = make(spark, rows).select("doc_id", "text", "source", F.array(*[F.xxhash64(F.lit(seed), F.lit(e), F.xxhash64("doc_id", F.coalesce("text", F.lit("")))) for e in range(6)]).alias("h")).collect()
+    out = Counter()
+    for s, t in tokens.items():
+        mine, quota = [r for r in hashed if r.source == s], w[s] * total
+        for e in range(math.ceil(round(quota / t, 6))):
+            before, block = 0, {}
+            for r in sorted(mine, key=lambda r: r.h[e]):
+                b = math.floor((e * t + before) * n_blocks / quota + 1e-9)
+                if r.h[e] not in block:
+                    block[r.h[e]] = b if b < n_blocks and (e * t + before) / quota < 1 - 1e-9 else None
+                if block[r.h[e]] is not None:
+                    out[r.doc_id, r.text, s, e, block[r.h[e]]] += 1
+                before += size(r.text)
+    return out
+
+
+def test_exponent():
+    tokens = [9000, 900, 100]
+    shares = mixing.Shares.of(tokens)
+    a = mixing.fit_exponent(shares, 0.8, 1e9)
+    w = np.array(tokens) ** a / (np.array(tokens, float) ** a).sum()
+    assert -(w * np.log(w)).sum() == pytest.approx(0.8 * math.log(3), abs=1e-6)
+    a = mixing.fit_exponent(shares, 1.0, 5.0)
+    w = np.array(tokens) ** a / (np.array(tokens, float) ** a).sum()
+    assert (w / tokens).max() * (tokens / w).max() == pytest.approx(5.0, abs=1e-6)
+    assert mixing.fit_exponent(mixing.Shares.of([5]), 0.9, 4.0) == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("options", [{}, {"most_sources": 2}, {"budget": 3000}, {"target_entropy": 1.0, "most_repeats": 2.5}, {"odd tokens": True}])
+def test_mix(spark, options):
+    rows = some_sources()
+    size, given = (lambda x: len((x or "").split()) + 1), dict(options)
+    if given.pop("odd tokens", False):
+        size = lambda x: max(1, len(x or "") % 7 - 1)
+        n = F.length("text") % 7 - 1
+        given["tokens"] = F.when(n > 1, n).when(n == 1, F.lit(None)).when(n == 0, F.lit(0)).otherwise(F.lit(-3))
+    got = mixing.mix(make(spark, rows), n_blocks=8, **given).collect()
+    found = Counter((r.doc_id, r.text, r.source, r.mix_epoch, r.mix_block) for r in got)
+    assert all(r.mix_tokens == size(r.text) for r in got)
+    want = brute_mix(spark, rows, size, 8, 17, given.get("target_entropy", 0.9), given.get("most_repeats", 4.0), given.get("budget"))
+    # a row whose place is a block's end to within rounding may stand on either side
+    assert sum(((found - want) + (want - found)).values()) <= 4
+    if "budget" not in given:
+        assert {x[:3] for x in found} == set(rows)  # none is left out
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    names = ["_id", "_source", "_epochs", "_quota", "_order", "_bounds", "id", "salt", "passes", "epoch", "block", "tokens", "doc", "mix_block", "order", "bounds", "a b.c"]
+    docs = make(spark, some_sources()[:50]).select("doc_id", "text", "source", *[F.lit(n).alias(n) for n in names])
+    for most in (20_000, 1):
+        got = mixing.mix(docs, n_blocks=2, most_sources=most)
+        assert got.columns == ["doc_id", "text", "source", *[n for n in names if n != "mix_block"], "mix_tokens", "mix_epoch", "mix_block", "mix_order"]
+        assert all(r[n] == n for r in got.collect() for n in names if n != "mix_block")
 
 
 def test_mix_positions_and_nothing(spark):
@@ -110,6 +167,43 @@ def test_classifier_on_held_out_documents(spark):
     assert got.selected[clean].mean() > 0.9 and got.selected[~clean].mean() < 0.25
 
 
+def test_classify_follows_the_definition(spark):
+    """Expected grade and tail from the model's numbers, one text at a time; columns of any name stay."""
+    model = quality.Model(np.random.default_rng(3).standard_normal(1 << 10).astype(np.float32), np.array([-0.5, 0.25, 2.0]))
+    texts = ["", None, "one two two THREE !!", "Größe " * 70, "x " * 5000, "a b c d e f g"]
+    docs = spark.createDataFrame([(i, x, "g", "p", "s") for i, x in enumerate(texts)], "doc_id long, text string, _graded string, places string, tail string")
+    got = {r.doc_id: r for r in quality.classify(docs, model, tail_from=2, least_tail=0.4).collect()}
+    assert len(got) == len(texts)
+    for i, x in enumerate(texts):
+        score = sum(float(model.weights[j]) for j in set(quality.features(x or "", 1023)))
+        above = [1 / (1 + math.exp(t - score)) for t in (-0.5, 0.25, 2.0)]
+        assert got[i].expected_grade == pytest.approx(sum(above), abs=1e-6) and got[i].tail == pytest.approx(above[1], abs=1e-6)
+        assert got[i].selected == (above[1] >= 0.4) and (got[i]._graded, got[i].places) == ("g", "p")
+
+
+def test_fit_is_the_greatest_penalised_likelihood():
+    """Against steepest ascent on the likelihood as defined, with differences for slopes."""
+    rng = np.random.default_rng(5)
+    grades = rng.integers(0, 3, 400)
+    places = [np.flatnonzero(rng.random(3) < [0.2 + 0.3 * g, 0.8 - 0.3 * g, 0.5]).astype(np.int32) for g in grades]
+    x = np.zeros((400, 3))
+    for i, p in enumerate(places):
+        x[i, p] = 1
+
+    def loss(v, ridge=1e-4):
+        s, t = x @ v[:3], np.array([v[3], v[3] + math.exp(v[4])])
+        below = np.concatenate([np.zeros((400, 1)), 1 / (1 + np.exp(s[:, None] - t)), np.ones((400, 1))], 1)
+        return -np.mean(np.log(below[np.arange(400), grades + 1] - below[np.arange(400), grades])) + ridge / 2 * (v[:3] ** 2).sum()
+
+    v = np.array([0.0, 0.0, 0.0, -0.5, 0.0])
+    for _ in range(3000):
+        slope = np.array([(loss(v + d) - loss(v - d)) / 2e-5 for d in 1e-5 * np.eye(5)])
+        v -= 0.5 * slope
+    m = quality.fit_arrays(places, grades, 3, 8, steps=600, signif=0.0)
+    got = np.r_[m.weights[:3], m.thresholds[0], math.log(m.thresholds[1] - m.thresholds[0])]
+    assert loss(got) <= loss(v) + 1e-4
+
+
 def test_classifier_edges(spark):
     docs = make(spark, [(1, "good words here", "a"), (2, "bad junk there", "a"), (None, None, None), (3, "", "b"), (3, "", "b"), (4, "x " * 50_000, "b")])
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, 0, 0), (None, 1, 1), (9, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
@@ -312,12 +406,12 @@ def test_rewrite_affected_with_null_and_repeated_ids(spark, tmp_path):
 
 @with_tables
 def test_sharding_query_writes_the_texts(spark):
-    from tallyworks.llm.common import shared_dir
+    from tallyworks.llm.common import tables_dir
 
-    there = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    there = set(os.listdir(tables_dir(spark).removeprefix("file:")))
     got = QUERIES["op10_sharding"](spark, SF).collect()
-    (made,) = (x for x in set(os.listdir(shared_dir(spark).removeprefix("file:"))) - there if x.startswith("shards-"))
-    texts = spark.read.parquet(f"{shared_dir(spark)}/{made}")
+    (made,) = (x for x in set(os.listdir(tables_dir(spark).removeprefix("file:"))) - there if x.startswith("shards-"))
+    texts = spark.read.parquet(f"{tables_dir(spark)}/{made}")
     affected = {x for r in got for x in (r.old_shard, r.shard) if r.old_shard != r.shard}
     lying = texts.select("doc_id", "shard", "slot", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc")).collect()
     assert affected and Counter(tuple(r) for r in lying) == Counter((r.doc_id, r.shard, r.slot, r.text_crc32) for r in got if r.shard in affected)
