@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, text_col
+from .common import shared_dir, stored, text_col
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 
@@ -72,20 +71,35 @@ def read_cache(spark: SparkSession, cache: str) -> DataFrame:
     return spark.read.schema(CACHE_SCHEMA).parquet(cache)
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, normal_form: str | None = None) -> DataFrame:
+def compact(spark: SparkSession, cache: str, files: int) -> None:
+    """Rewrite a cache of many small appends as few files, each count once; the old files go when the new ones are there."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(cache).getFileSystem(spark._jsc.hadoopConfiguration())
+    fresh, old = f"{cache.rstrip('/')}.next", f"{cache.rstrip('/')}.old"
+    whole = read_cache(spark, cache).groupBy("tokenizer", "digest").agg(F.first("n_tokens").alias("n_tokens"))
+    whole.select("tokenizer", "digest", "n_tokens").repartition(files).write.mode("overwrite").parquet(fresh)
+    fs.rename(fs_path(cache), fs_path(old))
+    fs.rename(fs_path(fresh), fs_path(cache))
+    fs.delete(fs_path(old), True)
+
+
+def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, normal_form: str | None = None, most_hot: int = 1000) -> DataFrame:
     """Count the tokens of every text; returns doc_id, n_bytes, n_tokens.
 
     :param tokenizer: file for tokenizers (.json) or sentencepiece (.model), readable on every executor.
-    :param cache: table of counts in shared storage; by default a new one in ``spark.checkpoint.dir``.
+    :param cache: table of counts in shared storage; by default one in ``spark.checkpoint.dir`` for each
+        version of a tokenizer, which later calls find again.
     :param normal_form: unicodedata form applied before hashing and encoding (None: the text as it is).
+    :param most_hot: so many of the most frequent contents are joined by broadcast, so that thousands of
+        copies do not meet in one task; the others are joined by a shuffle.
 
     Null text counts as empty (0 tokens). A null or repeated doc_id is kept, one row for each input row. An
     empty table gives no rows. Other columns are not read. Equal contents are encoded once: a content of
     thousands of copies shrinks to one row per map task before the shuffle.
     """
     spark = docs.sparkSession
-    cache = cache or f"{shared_dir(spark).rstrip('/')}/token-counts-{uuid.uuid4().hex}"
     version = tokenizer_digest(tokenizer, normal_form)
+    cache = cache or f"{shared_dir(spark).rstrip('/')}/token-counts-{version[:16]}"
     d = docs.select("doc_id", text_col().alias("text"))
     if normal_form:
         normal = F.udf(lambda x: unicodedata.normalize(normal_form, x), "string")
@@ -93,10 +107,14 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, norm
     else:
         d = d.withColumn("content", F.col("text"))
     d = d.withColumn("digest", F.unhex(F.sha2(F.col("content").cast("binary"), 256)))
-    known = read_cache(spark, cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
-    misses = d.select("digest", "content").join(known.select("digest"), "digest", "left_anti").groupBy("digest").agg(F.first("content").alias("content"))
+    read = lambda: read_cache(spark, cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
+    misses = d.select("digest", "content").join(read().select("digest"), "digest", "left_anti").groupBy("digest").agg(F.first("content").alias("content"))
     new = misses.mapInArrow(_encode(tokenizer), "digest binary, n_tokens long")
     new.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
-    sizes = d.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    return sizes.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
+    counts = read()
+    sizes = stored(d.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "token-sizes")
+    hot = sizes.groupBy("digest").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "digest").limit(most_hot).select("digest")
+    hot = F.broadcast(stored(hot, "token-hot"))  # at most ``most_hot`` rows
+    often = sizes.join(F.broadcast(stored(counts.join(hot, "digest"), "token-hot-counts")), "digest")
+    seldom = sizes.join(hot, "digest", "left_anti").join(counts, "digest")
+    return often.union(seldom.select(*often.columns)).select("doc_id", "n_bytes", "n_tokens")
