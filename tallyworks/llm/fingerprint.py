@@ -74,7 +74,7 @@ def as_hex(a: Column) -> Column:
 def neighbours(docs: DataFrame) -> DataFrame:
     """key, doc_id, next_key, prev_key, want (code points the previous document takes), n_chars of each distinct row.
 
-    Order: descending doc_id (null last), then the row's hash; after the last comes the first. Rows are
+    Order: descending doc_id (null last), then the row's key; after the last comes the first. Rows are
     range-sorted and numbered within partitions; the partitions' counts give their offsets.
     """
     light = docs.groupBy("key", "doc_id", "n_chars").agg(F.count("*").alias("copies"))
@@ -98,13 +98,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many (or all) of
     the next document, in descending doc_id; after the last comes the first. Returns doc_id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Null text counts as empty. Null
-    doc_ids come last. Rows of one doc_id follow each other by the hash of the text; rows that repeat
+    doc_ids come last. Rows of one doc_id follow each other by a hash of doc_id and text; rows that repeat
     doc_id and text have one place, and all the same result. An only document is its own next one. An
     empty table gives no rows. Other columns are not read.
     """
     text = text_col()
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    d = d.withColumn("key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))
+    # 128 bits, so that no two documents share a key
+    d = d.withColumn("key", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(" "), F.col("text")))))
     links = stored(neighbours(d.select("key", "doc_id", F.length("text").cast("long").alias("n_chars"))), "fp-links")
     own = d.select("key", "text")
     # the shuffle of ``own`` by key serves both joins; what is shipped on is only the part that the previous document takes
