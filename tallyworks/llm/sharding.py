@@ -133,15 +133,15 @@ def place(docs: DataFrame, shards: int, old_shard: Column | None, capacities: li
     return placed.select("doc", "doc_id", "size", "text_crc32", "old_shard", F.coalesce("new_shard", "old_shard").alias("shard"), F.lit(1).cast("long").alias("one")), affected
 
 
-def reshard(docs: DataFrame, shards: int = 8, old_shard: Column | None = None, blocks_per_shard: int = 512, split_over: float = 1 / 64, capacities: list[int] | None = None) -> DataFrame:
+def reshard(docs: DataFrame, shards: int = 8, old_shard: Column | None = None, blocks_per_shard: int = 512, split_over: float = 1.0, capacities: list[int] | None = None) -> DataFrame:
     """Give every document a shard so that the shards' bytes are near equal and the fewest bytes move.
 
     :param old_shard: where a document is now, as a whole number from 0; by default ``shards`` shards by the
         hash of the text. Numbers of ``shards`` and above are shards that are given up.
     :param blocks_per_shard: blocks of an old shard; shards end equal to about one block.
-    :param split_over: a block larger than this share of a shard (a group of very many copies) is dealt to
-        parts by document, which move apart only if the balance needs it. Other equal texts of one old
-        shard stay together.
+    :param split_over: a block larger than this share of a shard (a group of copies that no shard can hold)
+        is dealt to parts by document, which move apart only if the balance needs it. All other equal texts
+        of one old shard stay together.
     :param capacities: the most bytes of each new shard, kept to about one block; by default equal ones that
         just hold all. A shard of capacity 0 is given up.
 
@@ -166,7 +166,7 @@ def write_shards(rows: DataFrame, affected: set[int], out_dir: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def reshard_files(docs: DataFrame, out_dir: str, shards: int = 8, old_shard: Column | None = None, blocks_per_shard: int = 512, split_over: float = 1 / 64, capacities: list[int] | None = None) -> DataFrame:
+def reshard_files(docs: DataFrame, out_dir: str, shards: int = 8, old_shard: Column | None = None, blocks_per_shard: int = 512, split_over: float = 1.0, capacities: list[int] | None = None) -> DataFrame:
     """Place the documents as :func:`reshard` does and rewrite the files of the shards that give or take any.
 
     out_dir holds a folder ``shard=i`` for each shard; those of affected shards are replaced (or removed, if
