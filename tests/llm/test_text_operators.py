@@ -244,7 +244,7 @@ def test_license_scan(spark):
 @pytest.mark.parametrize("name", [x for x, t in licenses.TEMPLATES.items() if len(t.split()) <= 14])
 def test_licenses_back_to_back(name):
     """Each of adjacent copies is a match, also where a word of one is missing."""
-    line, index = licenses.TEMPLATES[name], licenses.build(licenses.TEMPLATES)
+    line, index = licenses.TEMPLATES[name], licenses.build(licenses.TEMPLATES, 0.8)
     for n in (1, 2, 3, 7):
         text = "Code. " + " ".join([line] * n) + " More."
         got = [m for m in licenses.matches(text, index, 8, 0.8) if m[0] == name]
@@ -254,6 +254,43 @@ def test_licenses_back_to_back(name):
         assert len([m for m in licenses.matches(text, index, 8, 0.8) if m[0] == name]) == 3
 
 
+@pytest.mark.parametrize("name", ["MIT line", "CC-BY-NC-4.0 line", "GPL-3.0 line", "CC-BY-4.0 line", "MPL-2.0 header"])
+def test_no_license_match_is_lost(name):
+    """Against alignment at every place: wherever that finds the template, the index has led to a match."""
+    rng = random.Random(name)
+    template = licenses._word.findall(licenses.TEMPLATES[name].lower())
+    index = licenses.build({name: licenses.TEMPLATES[name]}, 0.8)
+    seen = 0
+    for _ in range(60):
+        words = []
+        for _ in range(3):
+            words += [rng.choice(["filler", "text", *template]) for _ in range(rng.randrange(0, 12))]
+            for w in template:  # words left out, changed and put in
+                r = rng.random()
+                words += [w] if r < 0.8 else [] if r < 0.87 else ["other"] if r < 0.93 else [w, *["more"] * rng.randrange(1, 5)]
+        got = [(m[3], m[4]) for m in licenses.matches(" ".join(words), index, 8, 0.8)]
+        ends = [0]
+        for w in words:
+            ends.append(ends[-1] + len(w) + 1)
+        for start in range(-8, len(words)):
+            shift = start - 8
+            n, first, end = licenses.align(template, [""] * max(0, -shift) + words[max(0, shift) : start + len(template) + 8], 8)
+            if n >= 0.8 * len(template):
+                first, end = first + shift, end + shift
+                seen += 1
+                assert any(a < ends[end] and b > ends[first] for a, b in got), (words, start, n)
+    assert seen > 20
+
+
+def test_inserted_word_and_kindred_templates(spark):
+    got = {(r.doc_id, r.license): r.coverage for r in licenses.scan(make(spark, [(1, "released under the fine MIT License"), (2, licenses.TEMPLATES["GPL-2.0 header"]), (3, licenses.TEMPLATES["MIT"])]), most_words=60).collect()}
+    assert got[1, "MIT line"] == 1.0 and {x for i, x in got if i == 3} == {"MIT", "MIT permission"}
+    assert {x for i, x in got if i == 2} >= {"GPL-2.0 header"}
+    got = {(r.doc_id, r.license): r.coverage for r in licenses.scan(make(spark, [(i, x) for i, x in enumerate(licenses.TEMPLATES.values())])).collect()}
+    assert all(got[i, x] == 1.0 for i, x in enumerate(licenses.TEMPLATES))
+    assert {x for i, x in got if "GPL" in list(licenses.TEMPLATES)[i]} == {x for x in licenses.TEMPLATES if "GPL" in x}
+
+
 def test_license_scan_of_nothing(none):
     assert licenses.scan(none).collect() == []
 
