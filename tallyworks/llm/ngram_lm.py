@@ -14,8 +14,8 @@ words it does not depend on where the walk began: long texts are walked in segme
 order - 1 words before it, and all segments of a block take their steps together.
 
 Data flow. Texts are read once, into blocks of many texts: a block holds its own list of words (64-bit
-hashes) and the texts as places in that list. A block sends its distinct n-grams (64-bit hashes; two that
-share one would be counted as one) of each length with their training counts, sorted, to reducers by ranges
+hashes) and the texts as places in that list. A block sends its distinct words and longer n-grams (56-bit
+hashes; two n-grams of one hash would be counted as one) of each length with their training counts, sorted, to reducers by ranges
 of the hash; a reducer adds them up over the blocks and sends back the totals of just those keys, in the
 same order. So a key of any frequency is one number for each block, no task sees more than some ranges of
 keys or some blocks, and the block then builds the part of the automaton that its own texts can reach.
@@ -37,6 +37,7 @@ from .common import partitions, stored, text_col
 
 END, START = 1, 2  # stand for the end of a text (a token) and for its start (a symbol of contexts)
 SEGMENT = 512  # tokens of a text that are walked in a row
+SPARE = 8  # low bits of a 64-bit hash that the keys of longer n-grams go without
 BLOCK = "block long, doc_ids array<long>, lengths binary, words binary, places binary, n_tokens long"
 ASK = "kind int, bucket int, block long, keys binary, counts binary"
 ANSWER = "kind int, bucket int, block long, totals binary, n_types long, n_tokens long"
@@ -140,7 +141,7 @@ class Block:
         order = np.argsort(keys)
         yield 1, keys[order], n[order]
         for m in range(2, self.order + 1):
-            keys, place = np.unique(self.grams[m][self.whole[m]], return_inverse=True)
+            keys, place = np.unique(self.grams[m][self.whole[m]] >> np.uint64(SPARE), return_inverse=True)
             yield m, keys, np.bincount(place[self.training[self.whole[m]]], minlength=len(keys))
 
 
@@ -168,7 +169,7 @@ class Automaton:
             count = counts[m - 1]  # of the contexts of m - 1 symbols
             fall.append(np.where(count > 0, backoff[m - 2] * np.maximum(count, 1.0) ** -power[m - 2], 1.0))
             ends = np.flatnonzero(b.whole[m])
-            _, first, place = np.unique(b.grams[m][ends], return_index=True, return_inverse=True)
+            _, first, place = np.unique(b.grams[m][ends] >> np.uint64(SPARE), return_index=True, return_inverse=True)
             rep = ends[first]  # a token that ends each n-gram
             source = np.where(b.at[rep] > 0, state[rep - 1], len(names))
             context = source - (base - len(count))
@@ -232,7 +233,7 @@ def scores(b: Block, a: Automaton, n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, backoff: tuple[float, ...] = (0.95, 0.75), power: tuple[float, ...] = (0.06, 0.1), block_tokens: int = 1_000_000, bucket_tokens: int = 1_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, backoff: tuple[float, ...] = (0.95, 0.75), power: tuple[float, ...] = (0.06, 0.1), block_tokens: int = 1_000_000, bucket_tokens: int = 500_000) -> DataFrame:
     """Score every text by an n-gram model learnt from the texts whose crc32(doc_id) mod folds is not fold.
 
     :param backoff, power: of b above, for contexts of one symbol, of two and so on; their number plus one is
@@ -250,7 +251,7 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, backoff: tuple[f
     least = partitions(docs.sparkSession)
     # tasks stay as large as they are however many texts there come to be
     n_buckets = max(least, -(-size["tokens"] // bucket_tokens))
-    bucket_parts, block_parts = max(least, -(-order * n_buckets // 8)), max(least, -(-size["blocks"] // 8))
+    bucket_parts, block_parts = max(least, -(-order * n_buckets // 4)), max(least, -(-size["blocks"] // 2))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -258,7 +259,8 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, backoff: tuple[f
             for r in batch.to_pylist():
                 b = Block(r["doc_ids"], r["lengths"], r["words"], r["places"], folds, fold, order)
                 for kind, keys, counts in b.asks():
-                    cuts = np.searchsorted((keys >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32), np.arange(n_buckets + 1, dtype=np.uint64))
+                    top = keys >> np.uint64(32 if kind == 1 else 32 - SPARE)
+                    cuts = np.searchsorted(top * np.uint64(n_buckets) >> np.uint64(32), np.arange(n_buckets + 1, dtype=np.uint64))
                     rows = [(kind, j, r["block"], squeeze_sorted(keys[i:k]), squeeze(counts[i:k].astype(np.uint32))) for j, (i, k) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if k > i]
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
