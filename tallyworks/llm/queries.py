@@ -47,7 +47,8 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest vectors by cosine of every vector whose id is divisible by 50."""
     from .ann import nearest
 
-    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+    found = nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+    return found.withColumn("score", F.round("score", 12))  # beyond it the order of adding shows
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +120,20 @@ _CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(strin
 _WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
 
 ORACLES: dict[str, str] = {
+    # every query against every vector
+    "op4_nearest": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, row_number() OVER () AS r FROM embeddings WHERE vec_id IS NOT NULL),
+w AS (SELECT vec_id, x, r, sqrt(list_dot_product(x, x)) AS size FROM v WHERE len(x) > 0 AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND list_dot_product(x, x) > 0),
+s AS (SELECT q.vec_id AS query_id, w.vec_id, list_dot_product(q.x, w.x) / (q.size * w.size) AS score FROM w q JOIN w ON q.vec_id % 50 = 0 AND q.vec_id <> w.vec_id AND len(q.x) = len(w.x))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, round(score, 12) AS score FROM s QUALIFY rank <= 5""",
+    # all pairs that share a shingle, and what is reached over those that are alike
+    "op5_near_duplicates": f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS words FROM documents),
+s AS (SELECT DISTINCT r, unnest(CASE WHEN len(words) = 1 THEN words ELSE list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) END) AS x FROM d),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+c AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b USING (x) WHERE a.r <> b.r GROUP BY a.r, b.r),
+l AS (SELECT a, b FROM c JOIN n p ON p.r = a JOIN n q ON q.r = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+reach AS (SELECT r, r AS x FROM d UNION SELECT reach.r, l.b FROM reach JOIN l ON l.a = reach.x),
+m AS (SELECT reach.r, min(doc_id) AS least FROM reach JOIN d ON d.r = reach.x GROUP BY reach.r)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least AS component_id, doc_id = least AS kept FROM d JOIN m USING (r) LEFT JOIN n USING (r)""",
     # every token with the two symbols before it; an end is no word, as no word holds a blank
     "op8_lm_scores": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_CRC} % 7 = 2 AS held_out, list_concat({_WORDS}, ['the end']) AS words FROM documents),
 t AS (SELECT r, held_out, unnest(words) AS w, generate_subscripts(words, 1) AS i, unnest(list_concat(['the start'], words[:-2])) AS v FROM d),
