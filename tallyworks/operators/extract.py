@@ -81,13 +81,14 @@ def _first(names: tuple[str, ...], *objects: dict) -> object:
     return next((o[n] for o in objects for n in names if o.get(n) is not None), None)
 
 
-def _walk(document: object) -> Iterator[dict]:
-    """Objects of a line, parents first, later children before earlier ones; of a list only the first 40."""
-    if isinstance(document, dict):
-        yield document
-    for child in reversed([*document.values()] if isinstance(document, dict) else document[:40]):
-        if isinstance(child, (dict, list)):
-            yield from _walk(child)
+def _walk(document: object, most_entries: int | None) -> Iterator[dict]:
+    """Objects of a line, parents first, later children before earlier ones; of a list the first ``most_entries``, or all."""
+    waiting = [document]
+    while waiting:
+        x = waiting.pop()
+        if isinstance(x, dict):
+            yield x
+        waiting.extend(child for child in ([*x.values()] if isinstance(x, dict) else x[:most_entries]) if isinstance(child, (dict, list)))
 
 
 def _totals(holder: dict) -> dict | None:
@@ -103,9 +104,9 @@ def _totals(holder: dict) -> dict | None:
     return got | {"model": model if isinstance(model, str) else None, "text_time": time if isinstance(time, str) else None, "number_time": time if isinstance(time, (int, float)) else None}
 
 
-def usage_in(line: object) -> dict | None:
+def usage_in(line: object, most_entries: int | None = None) -> dict | None:
     """The usage met last on the walk of a line; a model or time that it lacks comes from those before."""
-    met = [t for t in map(_totals, _walk(line)) if t] if isinstance(line, (dict, list)) else []
+    met = [t for t in map(_totals, _walk(line, most_entries)) if t] if isinstance(line, (dict, list)) else []
     if not met:
         return None
     return met[-1] | {k: next((t[k] for t in reversed(met) if t[k] is not None), None) for k in ("model", "text_time", "number_time")}
@@ -114,9 +115,12 @@ def usage_in(line: object) -> dict | None:
 _FOUND = "struct<input:double,output:double,read:double,creation:double,model:string,text_time:string,number_time:double>"
 
 
-def cumulative_final(lines: DataFrame, provider: str, adapter: str = "cumulative", version: str = "1.0.0", by_counts: bool = False) -> DataFrame:
+def cumulative_final(lines: DataFrame, provider: str, adapter: str = "cumulative", version: str = "1.0.0", by_counts: bool = False, most_entries: int | None = None) -> DataFrame:
     """Format C: totals so far in each line; a file's last one counts. One event for each file.
 
+    :param most_entries: of a list in a line only so many entries are looked at (some logs' readers stop
+        there); None for all. Lines that are no JSON, or nested too deep for a parser, have no usage.
+
     Cached input is taken off the input where it fits in. The time is the line's, else the file's. With
     by_counts the id holds the counts, so that a file that has grown gives another event (as some logs'
     readers do); without, it replaces the older one.
@@ -128,8 +132,8 @@ def cumulative_final(lines: DataFrame, provider: str, adapter: str = "cumulative
             rows = []
             for x in s:
                 try:
-                    rows.append(usage_in(json.loads(x)) or dict.fromkeys(cols))
-                except ValueError:
+                    rows.append(usage_in(json.loads(x), most_entries) or dict.fromkeys(cols))
+                except (ValueError, RecursionError):
                     rows.append(dict.fromkeys(cols))
             yield pd.DataFrame(rows, columns=cols)
 

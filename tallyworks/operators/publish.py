@@ -73,18 +73,35 @@ def number_text(x: float | int) -> str:
 
 
 def canonical(x: object) -> str:
-    """Canonical JSON: keys by UTF-16 units, no blanks, ECMAScript numbers, short escapes."""
-    if x is None or isinstance(x, bool):
-        return json.dumps(x)
-    if isinstance(x, (int, float)):
-        return number_text(x)
-    if isinstance(x, str):
-        return json.dumps(x, ensure_ascii=False)
-    if isinstance(x, list):
-        return f"[{','.join(map(canonical, x))}]"
-    if isinstance(x, dict):
-        return "{" + ",".join(f"{canonical(k)}:{canonical(x[k])}" for k in sorted(x, key=lambda k: k.encode("utf-16-be", "surrogatepass"))) + "}"
-    raise TypeError(type(x).__name__)
+    """Canonical JSON: keys by UTF-16 units, no blanks, ECMAScript numbers, short escapes. Any depth of nesting."""
+    out: list[str] = []
+    waiting: list[tuple[bool, object]] = [(False, x)]  # (whether it is text to write, what)
+    while waiting:
+        written, v = waiting.pop()
+        if written:
+            out.append(v)
+        elif v is None or isinstance(v, bool):
+            out.append(json.dumps(v))
+        elif isinstance(v, (int, float)):
+            out.append(number_text(v))
+        elif isinstance(v, str):
+            out.append(json.dumps(v, ensure_ascii=False))
+        elif isinstance(v, list):
+            waiting.append((True, "]"))
+            for i in range(len(v) - 1, -1, -1):
+                waiting += [(False, v[i]), (True, "," if i else "[")]
+            if not v:
+                waiting.append((True, "["))
+        elif isinstance(v, dict):
+            waiting.append((True, "}"))
+            keys = sorted(v, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
+            for i in range(len(keys) - 1, -1, -1):
+                waiting += [(False, v[keys[i]]), (True, f"{',' if i else '{'}{json.dumps(keys[i], ensure_ascii=False)}:")]
+            if not v:
+                waiting.append((True, "{"))
+        else:
+            raise TypeError(type(v).__name__)
+    return "".join(out)
 
 
 def stable(document: dict, content_only: bool) -> dict:
@@ -95,7 +112,7 @@ def stable(document: dict, content_only: bool) -> dict:
 
 
 def document_hash(documents: Column, content_only: bool = False) -> Column:
-    """SHA-256 of the canonical form of JSON documents; null for text that is none or has no canonical form."""
+    """SHA-256 of the canonical form of JSON documents; null for text that is none, is nested too deep for a parser, or has no canonical form."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
@@ -103,7 +120,7 @@ def document_hash(documents: Column, content_only: bool = False) -> Column:
             for x in s:
                 try:
                     out.append(hashlib.sha256(canonical(stable(json.loads(x), content_only)).encode()).hexdigest())
-                except (ValueError, TypeError, AttributeError):
+                except (ValueError, TypeError, AttributeError, RecursionError):
                     out.append(None)
             yield pd.Series(out, dtype=object)
 
@@ -189,14 +206,20 @@ def verify(public: bytes, message: bytes, signature: bytes) -> bool:
 BOUND = ("algorithm", "issuedAt", "keyId", "nonce", "payloadSha256", "scope", "signatureVersion")
 
 
+# What a key's number and an encoded public key look like.
+KEY_ID = r"[a-f0-9]{16}"
+PUBLIC_KEY = r"[A-Za-z0-9+/=]{40,200}"
+
+
 def signature_state(document: str | None) -> str:
-    """unsigned, invalid or valid, by the key that the signature block itself names."""
+    """unsigned, invalid, malformed (valid, but without a proper key) or valid, by the key that the signature block itself names."""
     import base64
+    import re
 
     try:
         d = json.loads(document or "")
         m = d.get("signature")
-    except (ValueError, AttributeError):
+    except (ValueError, AttributeError, RecursionError):
         return "invalid"
     if not m:
         return "unsigned"
@@ -205,7 +228,10 @@ def signature_state(document: str | None) -> str:
         if m["algorithm"] != "ed25519" or hashlib.sha256(canonical(payload).encode()).hexdigest() != m["payloadSha256"]:
             return "invalid"
         bound = canonical({k: m[k] for k in BOUND if k in m}).encode()
-        return "valid" if verify(base64.b64decode(m["publicKey"])[-32:], bound, base64.b64decode(m["signature"])) else "invalid"
+        if not verify(base64.b64decode(m["publicKey"])[-32:], bound, base64.b64decode(m["signature"])):
+            return "invalid"
+        whole = re.fullmatch(KEY_ID, str(m.get("keyId"))) and re.fullmatch(PUBLIC_KEY, m["publicKey"])
+        return "valid" if whole else "malformed"
     except (KeyError, TypeError, ValueError):
         return "invalid"
 
@@ -218,41 +244,69 @@ def signature_states(documents: Column) -> Column:
     return F.pandas_udf(run, "string")(documents)
 
 
-def signed_document(document: dict, seed: bytes, issued_at: str, nonce: str) -> dict:
+def signed_document(document: dict, seed: bytes, issued_at: str, nonce: str, key_id: str | None = None) -> dict:
     """The document with a signature block over its canonical form, its key, time and nonce."""
     import base64
 
     pub = public_key(seed)
-    m = {"algorithm": "ed25519", "issuedAt": issued_at, "keyId": hashlib.sha256(pub).hexdigest()[:16], "nonce": nonce, "payloadSha256": hashlib.sha256(canonical(document).encode()).hexdigest(), "scope": "published_snapshot", "signatureVersion": "1"}
+    m = {"algorithm": "ed25519", "issuedAt": issued_at, "keyId": key_id or key_number(seed), "nonce": nonce, "payloadSha256": hashlib.sha256(canonical(document).encode()).hexdigest(), "scope": "published_snapshot", "signatureVersion": "1"}
     sealed = base64.b64encode(sign(seed, canonical(m).encode())).decode()
     return document | {"signature": m | {"publicKey": base64.b64encode(pub).decode(), "signature": sealed}}
 
 
-# The keys an uploaded document may have at its top.
-ALLOWED_KEYS = ("claimAuthority", "collectorVersion", "daily", "durability", "generatedAt", "imported", "integrity", "isSampleData", "measurement", "privacy", "profile", "providerConfidence", "providers", "qiraProjects", "scanner", "signature", "source", "sourceOfTruth", "telemetry", "timezone", "totals", "verification", "warnings")
+def key_number(seed: bytes) -> str:
+    """The number of a seed's public key."""
+    return hashlib.sha256(public_key(seed)).hexdigest()[:16]
+
+
+def signed_documents(documents: Column, seeds: Column, key_id: Column | None = None, issued_at: str = "2026-01-01T00:00:00Z", nonce: str = "0") -> Column:
+    """JSON documents signed with 32-byte seeds."""
+
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for docs, keys, ids in batches:
+            yield pd.Series([json.dumps(signed_document(json.loads(d), bytes(k), issued_at, nonce, i)) for d, k, i in zip(docs, keys, ids, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, "string")(documents, seeds, F.lit(None).cast("string") if key_id is None else key_id)
+
+
+# The keys an uploaded document may have at its top, beside those of a publisher's own blocks.
+ALLOWED_KEYS = ("claimAuthority", "collectorVersion", "daily", "durability", "generatedAt", "imported", "integrity", "isSampleData", "measurement", "privacy", "profile", "providerConfidence", "providers", "scanner", "signature", "source", "sourceOfTruth", "telemetry", "timezone", "totals", "verification", "warnings")
+PROJECTS = "projects"
+
+
+def gate(documents: DataFrame, revoked: DataFrame, most_bytes: int = 512 * 1024, allowed: tuple[str, ...] = (*ALLOWED_KEYS, PROJECTS)) -> DataFrame:
+    """code of each uploaded document (id, document): the first rule it fails, or OK.
 
+    :param revoked: key_id. :param allowed: keys that a document may have at its top. A column expected_key of
+        documents, if there is one, names the public key that a member has registered.
 
-def gate(documents: DataFrame, revoked: DataFrame, most_bytes: int = 512 * 1024) -> DataFrame:
-    """code of each uploaded document (id, document): the first rule it fails, or OK."""
+    A text that is no JSON object, or is nested too deep for a parser, is INVALID_JSON. Ids should be unique.
+    """
     from . import secrets
     from .integrity import first_failure
 
-    found = secrets.leaves(documents).persist()
-    bad_keys = secrets.forbidden_keys(found).select("id", F.lit(True).alias("bad_keys")).distinct()
-    leaks = secrets.secret_findings(found.filter(~F.col("path").startswith("signature") & ~F.col("path").rlike("(?i)(sha256|contact)"))).select("id", F.lit(True).alias("leaks")).distinct()
+    found = secrets.leaves(documents)
+    # both scans of the leaves in one pass over the documents
+    each = found.withColumn("bad_key", secrets.forbidden_key()).withColumn("leak", F.col("text").isNotNull() & ~F.col("path").startswith("signature") & ~F.col("path").rlike("(?i)(sha256|contact)") & ~secrets.is_safe(F.col("text")))
+    marks = each.groupBy("id").agg(F.max("bad_key").alias("bad_keys"), F.max("leak").alias("leaks"))
     get = lambda p: F.get_json_object("document", f"$.{p}")
+    flags = F.from_json("document", "privacy struct<rawContentPersisted:boolean,allowlistPublication:boolean>, verification struct<rawLogsPublished:boolean>")
     keys = F.json_object_keys("document")
-    d = documents.withColumn("state", signature_states(F.col("document"))).withColumn("key_id", get("signature.keyId")).join(bad_keys, "id", "left").join(leaks, "id", "left").join(revoked.select("key_id", F.lit(True).alias("gone")).distinct(), "key_id", "left")
+    expected = F.col("expected_key") if "expected_key" in documents.columns else F.lit(None).cast("string")
+    d = documents.withColumns({"state": signature_states(F.col("document")), "key_id": get("signature.keyId"), "public_key": get("signature.publicKey"), "flags": flags, "expected": expected})
+    d = d.join(marks, "id", "left").join(revoked.select("key_id", F.lit(True).alias("gone")).distinct(), "key_id", "left")
     rules = [
         ("INVALID_JSON", keys.isNull()),
         ("PAYLOAD_TOO_LARGE", F.octet_length("document") > most_bytes),
-        ("UNKNOWN_FIELDS", F.size(F.array_except(keys, F.array(*map(F.lit, ALLOWED_KEYS)))) > 0),
+        ("UNKNOWN_FIELDS", F.size(F.array_except(keys, F.array(*map(F.lit, allowed)))) > 0),
         ("FORBIDDEN_FIELDS", F.col("bad_keys")),
-        ("RAW_CONTENT", get("privacy.rawContentPersisted") == "true"),
-        ("NOT_ALLOWLIST", get("privacy.allowlistPublication") == "false"),
-        ("RAW_LOGS", get("verification.rawLogsPublished") == "true"),
+        ("RAW_CONTENT", F.col("flags.privacy.rawContentPersisted")),
+        ("NOT_ALLOWLIST", ~F.col("flags.privacy.allowlistPublication")),
+        ("RAW_LOGS", F.col("flags.verification.rawLogsPublished")),
         ("SECRET_PATTERN", F.col("leaks")),
-        ("INVALID_SIGNATURE", F.col("state") != "valid"),
+        ("INVALID_SIGNATURE", ~F.col("state").isin("valid", "malformed")),
+        ("MALFORMED_SIGNATURE", F.col("state") == "malformed"),
+        ("KEY_MISMATCH", F.col("expected") != F.col("public_key")),
         ("KEY_REVOKED", F.col("gone")),
     ]
     return d.select("id", first_failure(rules).alias("code"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns without look-around, so that other engines read them alike; none starts with an open run, which
@@ -34,16 +34,51 @@ RULES = {
 FORBIDDEN = ("absolutepath", "apikey", "apikeys", "authorization", "code", "content", "cwd", "homedir", "messages", "password", "path", "paths", "privatekey", "privatekeypem", "prompt", "prompts", "rawlog", "rawlogs", "response", "responses", "secret", "secrets", "sessionid", "sourcecode", "token", "tokens")
 
 
+#: What a text must hold, in any case of letters, for a rule to be tried: a search for a few letters costs far less than a pattern.
+HINTS = {
+    "local path": ("/users/", "/home/", "/private/tmp/", "\\users\\", "/.ssh/", "/etc/passwd"),
+    "provider key": ("sk-",),
+    "cloud key id": ("akia", "asia"),
+    "code host token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"),
+    "map service key": ("aiza",),
+    "chat token": ("xox",),
+    "signed token": ("eyj",),
+    "private key": ("private key",),
+    "key variable": ("api_key", "secret", "access_key", "token", "password"),
+    "environment file": (".env",),
+    "email address": ("@",),
+    "bearer token": ("bearer",),
+    "credential in address": ("://",),
+    "credential in query": ("token=", "key=", "secret=", "password="),
+    "session id": ("session",),
+    "local host": (".local",),
+    "conversation": ("human:", "assistant:", "user:", "system:"),
+    "chat message": ('"role"',),
+}
+
+
+def breaks(x: Column, low: Column, name: str, pattern: str) -> Column:
+    """Whether a text breaks a rule; low is the text in lower case."""
+    hint = F.lit(False)
+    for h in HINTS.get(name, ()):
+        hint = hint | low.contains(h)
+    return hint & x.rlike(pattern) if name in HINTS else x.rlike(pattern)
+
+
 def findings(x: Column, rules: dict[str, str] = RULES, encoded: bool = True) -> Column:
     """Sorted names of the rules that a text breaks, as it is or (encoded) with base64 words decoded once."""
-    plain = F.array(*[F.when(x.rlike(p), F.lit(n)) for n, p in sorted(rules.items())])
-    out = F.filter(plain, lambda n: n.isNotNull())
+
+    def broken(text: Column, names: list[str]) -> Column:
+        # the lower case is made once, as the only entry of an array
+        each = F.transform(F.array(F.struct(text.alias("x"), F.lower(text).alias("low"))), lambda t: F.array(*[F.when(breaks(t["x"], t["low"], n, rules[n]), F.lit(n)) for n in names]))
+        return F.filter(F.element_at(each, 1), lambda n: n.isNotNull())
+
+    out = broken(x, sorted(rules))
     if encoded:
         words = F.regexp_extract_all(x, F.lit(r"([A-Za-z0-9+/]{24,}={0,2})"))
         decoded = F.array_join(F.transform(words, lambda w: F.coalesce(F.try_to_binary(w, F.lit("base64")).cast("string"), F.lit(""))), "\n")
-        hidden = F.array(*[F.when(decoded.rlike(p), F.lit(n)) for n, p in sorted(rules.items()) if n not in ("local host", "conversation")])
-        out = F.array_sort(F.array_distinct(F.concat(out, F.filter(hidden, lambda n: n.isNotNull()))))
-    return out
+        out = F.array_sort(F.array_distinct(F.concat(out, broken(decoded, sorted(n for n in rules if n not in ("local host", "conversation"))))))
+    return F.when(x.isNotNull(), out).otherwise(F.array().cast("array<string>"))
 
 
 def is_safe(x: Column) -> Column:
@@ -56,7 +91,7 @@ class Leaves:
     def eval(self, document: str):
         try:
             waiting = [("", None, json.loads(document))] if document else []
-        except ValueError:
+        except (ValueError, RecursionError):  # no JSON, or nested too deep for a parser
             return
         while waiting:
             path, key, x = waiting.pop()
@@ -72,20 +107,20 @@ class Leaves:
                 yield path, key, x if isinstance(x, str) else None
 
 
-def register(spark: SparkSession) -> None:
-    spark.udtf.register("json_leaves", F.udtf(Leaves, returnType="path string, key string, text string"))
-
-
 def leaves(documents: DataFrame) -> DataFrame:
     """id, path, key, text of documents (id, document)."""
-    register(documents.sparkSession)
-    documents.createOrReplaceTempView("_leaf_documents")
-    return documents.sparkSession.sql("select d.id, t.* from _leaf_documents d, lateral json_leaves(d.document) t")
+    found = F.udtf(Leaves, returnType="path string, key string, text string")
+    return documents.select("id", "document").lateralJoin(found(F.col("document").outer())).select("id", "path", "key", "text")
+
+
+def forbidden_key() -> Column:
+    """Of a row of leaves(): whether its key must not appear; counts like totalTokens may."""
+    return F.coalesce(F.lower("key").isin(*FORBIDDEN) & ~F.col("key").rlike("(?i)^(input|output|cache|cached|fresh|total)tokens$"), F.lit(False))
 
 
 def forbidden_keys(found: DataFrame) -> DataFrame:
-    """Of leaves(): keys that must not appear; counts like totalTokens may."""
-    return found.filter(F.lower("key").isin(*FORBIDDEN) & ~F.col("key").rlike("(?i)^(input|output|cache|cached|fresh|total)tokens$")).select("id", "path", "key").distinct()
+    """Of leaves(): keys that must not appear."""
+    return found.filter(forbidden_key()).select("id", "path", "key").distinct()
 
 
 def secret_findings(found: DataFrame) -> DataFrame:

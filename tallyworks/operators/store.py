@@ -25,12 +25,24 @@ def not_stored(df: DataFrame, stored: DataFrame, key: str = "event_id") -> DataF
     return df.join(stored.select(key), key, "left_anti")
 
 
+def stored_among(stored: DataFrame, keys: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
+    """Of keys those that are stored.
+
+    The store is the large side: up to ``most`` keys are sent to it, so that it is scanned for its key column
+    and neither shuffled nor sorted.
+    """
+    small = keys.limit(most + 1).count() <= most
+    return stored.select(key).join(F.broadcast(keys) if small else keys, key, "left_semi").distinct()
+
+
 def insert_new(df: DataFrame, path: str, key: str, order: list[str], partition_by: list[str] | None = None) -> dict[str, int]:
     """Append rows of new keys to the table at path; says how many were inserted and how many were duplicates."""
     spark = df.sparkSession
-    new = first_write_wins(df, key, order)
+    first = first_write_wins(df, key, order).persist()
+    new = first
     if exists(spark, path):
-        new = not_stored(new, spark.read.parquet(path), key)
+        recover(spark, path)
+        new = first.join(stored_among(spark.read.parquet(path), first.select(key), key), key, "left_anti")
     new = new.persist()
     try:
         seen, kept = df.count(), new.count()
@@ -40,6 +52,103 @@ def insert_new(df: DataFrame, path: str, key: str, order: list[str], partition_b
         return {"inserted": kept, "duplicates": seen - kept}
     finally:
         new.unpersist()
+        first.unpersist()
+
+
+def _folders(spark: SparkSession, path: str, depth: int) -> list[str]:
+    """Folders ``depth`` levels below path, as paths from there."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [""]
+    for _ in range(depth):
+        below = []
+        for f in found:
+            for status in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{f}" if f else path)):
+                name = status.getPath().getName()
+                if status.isDirectory() and not name.startswith(("_", ".")):
+                    below.append(f"{f}/{name}" if f else name)
+        found = below
+    return found
+
+
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop.Path(target).getParent())
+    if not fs.rename(hadoop.Path(source), hadoop.Path(target)):
+        raise OSError(f"{source} could not be renamed to {target}")
+
+
+def recover(spark: SparkSession, path: str, depth: int | None = None) -> None:
+    """After a swap that was cut short: folders set aside go back where none has taken their place."""
+    aside = f"{path.rstrip('/')}.aside"
+    if not exists(spark, aside):
+        return
+    if depth is None:
+        depth = next((d for d in range(8) if not _folders(spark, aside, d + 1)), 0)
+    for f in _folders(spark, aside, depth):
+        if not exists(spark, f"{path}/{f}"):
+            _move(spark, f"{aside}/{f}", f"{path}/{f}")
+    gone = spark._jvm.org.apache.hadoop.fs.Path(aside)
+    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+
+def insert_or_replace(df: DataFrame, path: str, key: str, order: list[str], partition_by: list[str]) -> dict[str, int]:
+    """Insert rows; one of a stored key takes its place if it differs. Says inserted, replaced and duplicates (the rest).
+
+    Of rows of one key the last in ``order`` counts; what only ``order`` says does not make a row differ. Only
+    partitions that gain or lose rows are rewritten: the new folders are made beside the table and take the
+    place of the old ones by renames, and a run cut short in between is mended by the next one.
+    """
+    spark = df.sparkSession
+    path = path.rstrip("/")
+    last = latest_of_each(df, [key], order).persist()
+    try:
+        seen = df.count()
+        if not exists(spark, path):
+            n = last.count()
+            if n:
+                last.write.partitionBy(*partition_by).parquet(path)
+            return {"inserted": n, "replaced": 0, "duplicates": seen - n}
+        recover(spark, path, len(partition_by))
+        old = spark.read.schema(df.schema).parquet(path)
+        same = [c for c in df.columns if c not in order]
+        mine = lambda d: d.select(key, F.struct(*partition_by).alias("_place"), F.xxhash64(F.to_json(F.struct(*same))).alias("_h"))
+        stored = mine(old).join(F.broadcast(last.select(key)) if last.count() <= 1_000_000 else last.select(key), key, "left_semi")
+        stored = stored.select(key, F.col("_place").alias("_old"), F.col("_h").alias("_old_h"))
+        both = mine(last).join(stored, key, "left").persist()
+        new = both.filter("_old_h is null or _old_h <> _h")
+        fresh, replaced = new.filter("_old_h is null").count(), new.filter("_old_h is not null").select(key).distinct().count()
+        if fresh + replaced:
+            # a folder for each partition that gains or loses a row
+            touched = new.select("_place").union(new.filter("_old is not null").select("_old")).distinct().select("_place.*")
+            ids = new.select(key).distinct()
+            on = None
+            for c in partition_by:
+                e = F.col(c).eqNullSafe(F.col(f"_{c}"))
+                on = e if on is None else on & e
+            stay = old.join(F.broadcast(touched.select(*[F.col(c).alias(f"_{c}") for c in partition_by])), on, "left_semi").join(ids, key, "left_anti")
+            whole = stay.unionByName(last.join(ids, key, "left_semi").select(*df.columns))
+            beside = f"{path}.next"
+            whole.write.mode("overwrite").partitionBy(*partition_by).parquet(beside)
+            made = set(_folders(spark, beside, len(partition_by)))
+            count = touched.count()
+            emptied = set()
+            if count > len(made):  # partitions that have lost their last row
+                names = F.concat_ws("/", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))) for c in partition_by])
+                emptied = {r[0] for r in touched.select(names).collect()} - made
+            for f in sorted(made | emptied):
+                if exists(spark, f"{path}/{f}"):
+                    _move(spark, f"{path}/{f}", f"{path}.aside/{f}")
+                if f in made:
+                    _move(spark, f"{beside}/{f}", f"{path}/{f}")
+            hadoop = spark._jvm.org.apache.hadoop.fs
+            for p in (f"{path}.aside", beside):
+                hadoop.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop.Path(p), True)
+        both.unpersist()
+        return {"inserted": fresh, "replaced": replaced, "duplicates": seen - fresh - replaced}
+    finally:
+        last.unpersist()
 
 
 def latest_of_each(updates: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -88,11 +197,12 @@ def current(history: DataFrame, key: str = "handle", at: str = "created_at") ->
     return latest_of_each(history.filter("status = 'active'"), [key], [at, "id"])
 
 
-def upsert(table: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """Rows of both; where an update has the key, its non-null values replace the old ones."""
+def upsert(table: DataFrame, updates: DataFrame, key: str, keep_nulls: bool = False) -> DataFrame:
+    """Rows of both; where an update has the key, its non-null values replace the old ones, or with keep_nulls all of them."""
     rest = [c for c in table.columns if c != key]
-    u = updates.select(F.col(key), *[F.col(c).alias(f"_{c}") for c in rest])
-    return table.join(u, key, "full_outer").select(key, *[F.coalesce(f"_{c}", c).alias(c) for c in rest])
+    u = updates.select(F.col(key), F.lit(True).alias("_is"), *[F.col(c).alias(f"_{c}") for c in rest])
+    value = lambda c: F.when(F.col("_is"), F.col(f"_{c}")).otherwise(F.col(c)) if keep_nulls else F.coalesce(f"_{c}", c)
+    return table.join(u, key, "full_outer").select(key, *[value(c).alias(c) for c in rest])
 
 
 def rename_keys(df: DataFrame, renames: DataFrame, key: str) -> DataFrame:

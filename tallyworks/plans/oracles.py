@@ -119,7 +119,9 @@ ORACLES = {
     "live_drift": f"""{_D}, p AS (SELECT provider, CAST(sum(fresh_tokens) AS BIGINT) AS f, CAST(sum(cached_tokens) AS BIGINT) AS c, CAST(sum(total_tokens) AS BIGINT) AS t, provider <> 'view' AS simulated, CASE provider WHEN 'click' THEN 0.62 WHEN 'purchase' THEN 0.38 ELSE 0 END AS part FROM d GROUP BY provider)
   SELECT provider, f + CASE WHEN simulated THEN CAST(floor(5580000 * part) AS BIGINT) ELSE 0 END AS fresh_tokens, c + CASE WHEN simulated THEN CAST(floor(62280000 * part) AS BIGINT) ELSE 0 END AS cached_tokens, t + CASE WHEN simulated THEN CAST(floor(67860000 * part) AS BIGINT) ELSE 0 END AS total_tokens, simulated FROM p""",
     "published_daily": f"{_D} SELECT CAST(date AS VARCHAR) AS date, provider, array_to_string(models[1:8], ',') AS models, total_tokens, CAST(NULL AS DOUBLE) AS estimated_cost_usd FROM d",
-    "payload_gate": "SELECT 'UNKNOWN_FIELDS' AS code, count(*) AS documents FROM events",
+    "payload_gate": """SELECT n_nationkey * 100 + v AS id, CASE v WHEN 0 THEN 'INVALID_JSON' WHEN 1 THEN 'PAYLOAD_TOO_LARGE' WHEN 2 THEN 'UNKNOWN_FIELDS' WHEN 3 THEN 'FORBIDDEN_FIELDS' WHEN 4 THEN 'RAW_CONTENT' WHEN 5 THEN 'NOT_ALLOWLIST'
+  WHEN 6 THEN 'RAW_LOGS' WHEN 7 THEN 'SECRET_PATTERN' WHEN 10 THEN 'INVALID_JSON' WHEN 12 THEN 'MALFORMED_SIGNATURE' WHEN 13 THEN 'KEY_MISMATCH' WHEN 14 THEN CASE WHEN n_regionkey = 0 THEN 'KEY_REVOKED' ELSE 'OK' END ELSE 'INVALID_SIGNATURE' END AS code
+  FROM nation, (SELECT CAST(unnest(range(15)) AS INTEGER) AS v)""",
     "claim_ladder": f"{_M} SELECT s AS signal, count(*) FILTER (CASE s WHEN 'collector_observed_activity' THEN active_days > 30 WHEN 'device_signed_snapshot' THEN signature IN ('valid', 'historical') ELSE false END) AS present, count(*) AS members FROM mem, (VALUES ('collector_observed_activity'), ('provider_reported_token_counts'), ('device_signed_snapshot'), ('project_activity'), ('public_link'), ('self_reported_work'), ('imported_usage'), ('integrity_checks'), ('identity_proof'), ('durability_evidence')) v(s) GROUP BY 1",
     "invitation_codes": "SELECT code, count(*) AS invitations FROM (SELECT CASE WHEN c_custkey % 7 = 0 THEN 'INVALID_OPPORTUNITY_TYPE' WHEN c_custkey % 6 = 0 THEN 'FIELD_REQUIRED' WHEN c_custkey % 5 = 0 THEN 'INVALID_EMAIL' WHEN c_custkey % 6 * 6 - 1 < 20 THEN 'SCOPE_TOO_SHORT' WHEN c_custkey % 3 = 0 THEN 'COMPENSATION_REQUIRED' ELSE 'OK' END AS code FROM customer) GROUP BY 1",
     "event_sessions": "SELECT \"user\", count(*) AS sessions, CAST(sum(n) AS BIGINT) AS events FROM (SELECT \"user\", s, count(*) AS n FROM (SELECT \"user\", sum(new) OVER (PARTITION BY \"user\" ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id AS \"user\", ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY 1, 2) GROUP BY 1",

@@ -422,8 +422,17 @@ def published_daily(spark, d):
 
 @query
 def payload_gate(spark, d):
-    docs = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("props").alias("document"))
-    return publish.gate(docs, spark.createDataFrame([], "key_id string")).groupBy("code").agg(F.count("*").alias("documents"))
+    """Documents that fail each rule in turn, signed ones by a key for each region, and good ones."""
+    n = table(spark, d, "nation").select("n_nationkey", "n_regionkey", F.explode(F.sequence(F.lit(0), F.lit(14))).alias("variant"))
+    plain = ("oops", None, '{"extra": 1}', '{"profile": {"password": "x"}}', '{"privacy": {"rawContentPersisted": true}}', '{"privacy": {"allowlistPublication": false}}', '{"verification": {"rawLogsPublished": true}}', '{"warnings": ["mail a@b.org"]}', '{"source": "n"}', '{"privacy": {"rawContentPersisted": "true"}}', "[" * 20_000)
+    big = F.concat(F.lit('{"source": "'), F.repeat(F.lit("x"), 600_000), F.lit('"}'))
+    unsigned = F.when(F.col("variant") == 1, big).otherwise(F.get(F.array(*[F.lit(x) for x in plain]), F.col("variant")))
+    seed = F.unhex(F.repeat(F.concat(F.lit("0"), (F.col("n_regionkey") + 1).cast("string")), 32))
+    sealed = publish.signed_documents(F.lit('{"source": "n", "generatedAt": "2026-01-01T00:00:00Z"}'), seed, F.when(F.col("variant") == 12, "not a number"))
+    document = F.when(F.col("variant") < len(plain), unsigned).when(F.col("variant") == 11, F.replace("sealed", F.lit('"source": "n"'), F.lit('"source": "m"'))).otherwise(F.col("sealed"))
+    docs = n.withColumn("sealed", sealed).select((F.col("n_nationkey") * 100 + F.col("variant")).alias("id"), document.alias("document"), F.when(F.col("variant") == 13, "another key").alias("expected_key"))
+    revoked = spark.createDataFrame([(publish.key_number(bytes([1]) * 32),)], "key_id string")
+    return publish.gate(docs, revoked)
 
 
 @query

@@ -50,19 +50,30 @@ def objects(document: object) -> Iterator[dict]:
             waiting.extend(reversed(x))
 
 
+def _parsed(document: str | None) -> object:
+    """A document's value; None for one that is no JSON, or nested too deep for a parser."""
+    try:
+        return json.loads(document) if document else None
+    except (ValueError, RecursionError):
+        return None
+
+
+def _written(record: dict) -> str | None:
+    try:
+        return json.dumps(record, ensure_ascii=False)
+    except RecursionError:
+        return None
+
+
 class DailyRecords:
     """UDTF: documents to their dated, usage-shaped objects: ord, record (JSON)."""
 
     def eval(self, document: str):
-        try:
-            parsed = json.loads(document) if document else None
-        except ValueError:
-            return
         n = 0
-        for x in objects(parsed):
+        for x in objects(_parsed(document)):
             date = next((x[k] for k in DAILY_DATES if x.get(k) is not None), None)
-            if isinstance(date, str) and date[:10].count("-") == 2 and any(k in x for k in DAILY_MARKS):
-                yield n, json.dumps(x, ensure_ascii=False)
+            if isinstance(date, str) and date[:10].count("-") == 2 and any(k in x for k in DAILY_MARKS) and (record := _written(x)):
+                yield n, record
                 n += 1
 
 
@@ -70,22 +81,17 @@ class ImportRecords:
     """UDTF: documents to objects with a date and usage under any known name: ord, record (JSON by plain names)."""
 
     def eval(self, document: str):
-        try:
-            parsed = json.loads(document) if document else None
-        except ValueError:
-            return
         n = 0
-        for x in objects(parsed):
+        for x in objects(_parsed(document)):
             plain = {_plain(k): v for k, v in x.items()}
             if any(a in plain for a in IMPORT_ALIASES["date"]) and any(a in plain for f in ("input", "output", "total") for a in IMPORT_ALIASES[f]):
-                yield n, json.dumps({k: v for k, v in plain.items() if not isinstance(v, (dict, list))}, ensure_ascii=False)
+                yield n, _written({k: v for k, v in plain.items() if not isinstance(v, (dict, list))})
                 n += 1
 
 
-def register(spark: SparkSession) -> None:
-    """Make the record finders known to SQL as daily_records and import_records."""
-    spark.udtf.register("daily_records", F.udtf(DailyRecords, returnType="ord int, record string"))
-    spark.udtf.register("import_records", F.udtf(ImportRecords, returnType="ord int, record string"))
+def _records(documents: DataFrame, finder: type) -> DataFrame:
+    """documents with the ord and record of each object that a finder yields."""
+    return documents.lateralJoin(F.udtf(finder, returnType="ord int, record string")(F.col("document").outer()))
 
 
 def _first_number(record: str, aliases: tuple[str, ...]) -> Column:
@@ -99,9 +105,7 @@ def daily_rows(documents: DataFrame, provider: str) -> DataFrame:
     date, provider, models, counts, total as the sum of its parts, the reported total where it disagrees,
     cost (null if none). Rows without a positive total are dropped: nothing is made up.
     """
-    register(documents.sparkSession)
-    documents.createOrReplaceTempView("_daily_documents")
-    r = documents.sparkSession.sql("select d.source, t.ord, t.record from _daily_documents d, lateral daily_records(d.document) t")
+    r = _records(documents.select("source", "document"), DailyRecords)
     get = lambda k: F.get_json_object("record", f"$.{k}")
     own = text.provider_slug(F.coalesce(get("provider"), get("agent"), get("source")))
     models = F.coalesce(*[F.from_json(get(k), "array<string>") for k in ("models", "modelsUsed")], *[F.array(get(k)) for k in ("model", "modelName")])
@@ -149,9 +153,7 @@ def import_table(df: DataFrame, ordinal: Column) -> DataFrame:
 
 def import_documents(documents: DataFrame) -> DataFrame:
     """Records of JSON exports (document) as text columns ord and the known fields."""
-    register(documents.sparkSession)
-    documents.createOrReplaceTempView("_import_documents")
-    r = documents.sparkSession.sql("select t.ord, t.record from _import_documents d, lateral import_records(d.document) t")
+    r = _records(documents.select("document"), ImportRecords)
     return r.select("ord", *[F.coalesce(*[F.get_json_object("record", f"$.{a}") for a in aliases]).alias(f) for f, aliases in IMPORT_ALIASES.items()])
 
 

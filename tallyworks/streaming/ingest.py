@@ -45,21 +45,15 @@ def ingest(spark: SparkSession, root: str, path: str, checkpoint: str, kind: str
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def reread(spark: SparkSession, root: str, path: str, kind: str, glob: str, since: str | None = None, replace: bool = False, **options) -> dict[str, int]:
+def reread(spark: SparkSession, root: str, path: str, kind: str, glob: str, since: str | None = None, replace: bool = False, partition_by: tuple[str, ...] = ("origin", "local_date"), **options) -> dict[str, int]:
     """Read changed files whole, for formats whose lines need the ones before; ids make it idempotent.
 
-    With replace a newer event takes the place of a stored one of the same id (a file's final total).
+    The store is partitioned as :func:`sink` writes it, so that both may fill one. With replace a newer event
+    takes the place of a stored one of the same id (a file's final total); says how many did as ``replaced``.
     """
     from ..sources.lines import read_lines
 
     events = extract.extract(read_lines(spark, root, glob, since), kind, **options).withColumn("ingested_at", F.current_timestamp()).withColumn("local_date", F.to_date("occurred_at"))
-    events = conform(events)
-    if not replace or not store.exists(spark, path):
-        return store.insert_new(events, path, "event_id", ["occurred_at_raw", "total_tokens"])
-    old = spark.read.schema(events.schema).parquet(path)
-    merged = store.latest_of_each(old.unionByName(events), ["event_id"], ["ingested_at", "total_tokens"])
-    n = events.count()
-    fresh = f"{path.rstrip('/')}.next"
-    merged.write.mode("overwrite").parquet(fresh)
-    spark.read.schema(events.schema).parquet(fresh).write.mode("overwrite").parquet(path)
-    return {"inserted": n, "duplicates": 0}
+    put = store.insert_or_replace if replace else store.insert_new
+    order = ["ingested_at", "total_tokens"] if replace else ["occurred_at_raw", "total_tokens"]
+    return put(conform(events), path, "event_id", order, list(partition_by))

@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import os
 
+from tallyworks.operators import store
 from tallyworks.sources.tail import TailReader, complete_end
 from tallyworks.streaming import ingest, limits
 
@@ -44,6 +45,43 @@ def test_ingest_appends_only_new_bytes(spark, tmp_path):
     assert got.count() == 3 and got.agg({"input_tokens": "sum"}).first()[0] == 6
 
 
+def totals(path, n):
+    (path / "c.log").write_text("".join(json.dumps({"timestamp": f"2026-05-0{n}T10:00:00Z", "usage": {"inputTokens": 10 * i, "outputTokens": 1}}) + "\n" for i in range(1, n + 1)))
+
+
+def test_tailed_and_reread_rows_share_a_store(spark, tmp_path):
+    logs, path = tmp_path / "logs", str(tmp_path / "events")
+    logs.mkdir()
+    (logs / "a.jsonl").write_text(line(1) + line(2))
+    ingest.ingest(spark, str(logs), path, str(tmp_path / "cp"), provider="claude", key=b"k").awaitTermination(120)
+    totals(logs, 1)
+    again = lambda **o: ingest.reread(spark, str(logs), path, "cumulative_final", "*.log", provider="grok", **o)
+    assert again() == {"inserted": 1, "duplicates": 0} and again() == {"inserted": 0, "duplicates": 1}
+    read = lambda: sorted((r.provider, r.input_tokens, str(r.local_date)) for r in spark.read.parquet(path).collect())
+    assert read() == [("claude", 1, "2026-05-01"), ("claude", 2, "2026-05-01"), ("grok", 10, "2026-05-01")]
+    before = {f: os.stat(f).st_mtime_ns for f in map(str, (tmp_path / "events").rglob("*.parquet"))}
+    assert again(replace=True) == {"inserted": 0, "replaced": 0, "duplicates": 1}
+    assert {f: os.stat(f).st_mtime_ns for f in map(str, (tmp_path / "events").rglob("*.parquet"))} == before
+    totals(logs, 3)  # the file's last total has another day
+    assert again(replace=True) == {"inserted": 0, "replaced": 1, "duplicates": 0}
+    assert read() == [("claude", 1, "2026-05-01"), ("claude", 2, "2026-05-01"), ("grok", 30, "2026-05-03")]
+    assert not os.path.exists(f"{path}.next") and not os.path.exists(f"{path}.aside")
+    # a swap that was cut short: the partition stands aside, and goes back before the next insert
+    os.makedirs(f"{path}.aside/origin=local_log")
+    os.rename(f"{path}/origin=local_log/local_date=2026-05-01", f"{path}.aside/origin=local_log/local_date=2026-05-01")
+    assert again(replace=True) == {"inserted": 0, "replaced": 0, "duplicates": 1}
+    assert len(read()) == 3
+
+
+def test_replace_empties_a_partition(spark, tmp_path):
+    path, order = str(tmp_path / "t"), ["at"]
+    df = lambda rows: spark.createDataFrame(rows, "k string, v int, at int, p string")
+    put = lambda rows: store.insert_or_replace(df(rows), path, "k", order, ["p"])
+    assert put([("a", 1, 1, "x"), ("b", 1, 1, None), ("b", 2, 2, None)]) == {"inserted": 2, "replaced": 0, "duplicates": 1}
+    assert put([("a", 5, 3, "y"), ("b", 2, 9, None), ("c", 1, 1, "y")]) == {"inserted": 1, "replaced": 1, "duplicates": 1}
+    assert sorted(tuple(r[c] for c in "kvp") for r in spark.read.parquet(path).collect()) == [("a", 5, "y"), ("b", 2, None), ("c", 1, "y")]
+
+
 def test_rate_limit_windows_start_with_their_first_event(spark):
     at = lambda m: dt.datetime(2026, 1, 1) + dt.timedelta(minutes=m)
     rows = [("a", at(m), str(m)) for m in (0, 10, 20, 61, 62, 200)] + [("b", at(5), "x")]
