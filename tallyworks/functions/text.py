@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What names of models and slugs look like.
 MODEL = r"^[a-zA-Z0-9._:-]{2,80}$"
 SLUG = r"^[a-z][a-z0-9_-]{0,39}$"
 
@@ -110,6 +111,14 @@ def ago(then: Column, now: Column) -> Column:
     return F.when(then.isNull(), "never").when(s < 60, unit(1, "s")).when(s < 3600, unit(60, "m")).when(s < 86400, unit(3600, "h")).otherwise(unit(86400, "d"))
 
 
+def ago_rounded(then: Column, now: Column) -> Column:
+    """The same from minutes rounded to the nearest, then hours and days of those: unknown for null, just now below one minute."""
+    minutes = F.floor((F.unix_millis(now) - F.unix_millis(then)) / 60000 + 0.5)
+    hours = F.floor(minutes / 60 + 0.5)
+    unit = lambda n, sign: F.concat(n.cast("string"), F.lit(f"{sign} ago"))
+    return F.when(then.isNull(), "unknown").when(minutes < 1, "just now").when(minutes < 60, unit(minutes, "m")).when(hours < 24, unit(hours, "h")).otherwise(unit(F.floor(hours / 24 + 0.5), "d"))
+
+
 def initials(name: Column) -> Column:
     """First letters of the first two words; Q where there are none."""
     words = F.slice(F.filter(F.split(name, r"\s+"), lambda w: w != ""), 1, 2)
@@ -133,14 +142,14 @@ def text_width(x: Column, narrow: float = 0.32, usual: float = 0.56, wide: float
 
 
 def provider_of_model(model: Column) -> Column:
-    """The provider that a model's name points to, first rule that fits."""
+    """The provider that a model's name points to, first rule that fits. The words of the rules."""
     m = F.lower(model)
     begins = lambda *xs: m.rlike(f"^({'|'.join(xs)})")
     return F.when(m.contains("codex") | begins("gpt-", "o1", "o3", "o4"), "codex").when(m.contains("claude") | begins("opus", "sonnet", "haiku"), "claude").when(m.contains("grok"), "grok").when(m.contains("kimi") | m.contains("moonshot"), "kimi").when(m.contains("gemini"), "gemini").when(m.contains("qwen"), "qwen").otherwise("unknown")
 
 
 def follow_up(subject: Column) -> dict[str, Column]:
-    """What a commit's subject says it is: revert, corrective (no revert), hotfix, bug_linked."""
+    """What a commit's subject says it is: revert, corrective (no revert), hotfix, bug_linked. The patterns."""
     s = F.lower(subject)
     revert = s.rlike(r"\brevert\b")
     return {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,14 +120,17 @@ WEIGHTS = {"folder_is": 340, "folder_has": 170, "package": 260, "text": 55, "dom
 LEAST_SCORE = 120
 
 
-def score_folders(projects: DataFrame, folders: DataFrame, most: int = 12) -> DataFrame:
+def score_folders(projects: DataFrame, folders: DataFrame, most: int = 12, lot: int = 5000) -> DataFrame:
     """The best folders of each project: name, dir, score.
 
-    projects: name, aliases, domains - a short list, checked to be at most 10,000 rows, so that each
-    folder is scored against all of it in place. folders: dir, base, package, evidence (lower case), files.
+    projects: name, aliases, domains - each folder is scored against all of them, ``lot`` projects at a time,
+    so that what is broadcast stays small however many there are. folders: dir, base, package, evidence
+    (lower case), files.
     """
-    if projects.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10000 projects")
+    lots = -(-projects.count() // lot)
+    if lots > 1:
+        part = F.pmod(F.xxhash64("name"), F.lit(lots))
+        return reduce(DataFrame.union, [score_folders(projects.filter(part == i), folders, most, 1 << 62) for i in range(lots)])
     j = folders.crossJoin(F.broadcast(projects))  # a short list against all folders
     w = WEIGHTS
     one = lambda a: F.when(F.col("base") == a, w["folder_is"]).when(F.col("base").contains(a), w["folder_has"]).otherwise(0) + F.when(F.col("package").contains(a), w["package"]).otherwise(0) + F.when(F.col("evidence").contains(a) | F.col("evidence").contains(F.replace(a, F.lit("-"), F.lit(" "))), w["text"]).otherwise(0)

@@ -285,13 +285,14 @@ def gate(documents: DataFrame, revoked: DataFrame, most_bytes: int = 512 * 1024,
     from . import secrets
     from .integrity import first_failure
 
-    found = secrets.leaves(documents)
+    keys = F.json_object_keys("document")
+    # what the first rules reject is not scanned
+    found = secrets.leaves(documents.filter(keys.isNotNull() & (F.octet_length("document") <= most_bytes)))
     # both scans of the leaves in one pass over the documents
     each = found.withColumn("bad_key", secrets.forbidden_key()).withColumn("leak", F.col("text").isNotNull() & ~F.col("path").startswith("signature") & ~F.col("path").rlike("(?i)(sha256|contact)") & ~secrets.is_safe(F.col("text")))
     marks = each.groupBy("id").agg(F.max("bad_key").alias("bad_keys"), F.max("leak").alias("leaks"))
     get = lambda p: F.get_json_object("document", f"$.{p}")
     flags = F.from_json("document", "privacy struct<rawContentPersisted:boolean,allowlistPublication:boolean>, verification struct<rawLogsPublished:boolean>")
-    keys = F.json_object_keys("document")
     expected = F.col("expected_key") if "expected_key" in documents.columns else F.lit(None).cast("string")
     d = documents.withColumns({"state": signature_states(F.col("document")), "key_id": get("signature.keyId"), "public_key": get("signature.publicKey"), "flags": flags, "expected": expected})
     d = d.join(marks, "id", "left").join(revoked.select("key_id", F.lit(True).alias("gone")).distinct(), "key_id", "left")

@@ -133,10 +133,15 @@ def count_by(df: DataFrame, key: str, name: str = "n") -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias(name))
 
 
-def files_by_kind(files: DataFrame) -> DataFrame:
-    """Number of files and latest change by file ending."""
+# File endings whose kind has another name, and those that are kinds themselves.
+KINDS = {"md": "docs"} | {x: x for x in ("ts", "tsx", "js", "jsx", "py", "json", "css", "html", "sol", "rs", "go", "sql")}
+
+
+def files_by_kind(files: DataFrame, kinds: dict[str, str] | None = None) -> DataFrame:
+    """Number of files and latest change by kind of file; endings without a kind have null."""
+    names = F.create_map(*[F.lit(x) for kv in (KINDS if kinds is None else kinds).items() for x in kv])
     ending = F.lower(F.regexp_extract("file", r"\.([A-Za-z0-9]+)$", 1))
-    return files.groupBy(ending.alias("kind")).agg(F.count("*").alias("files"), F.max("modified").alias("latest"))
+    return files.groupBy(F.try_element_at(names, ending).alias("kind")).agg(F.count("*").alias("files"), F.max("modified").alias("latest"))
 
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:

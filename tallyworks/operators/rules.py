@@ -60,7 +60,33 @@ def valid_consent(config: dict) -> dict:
         if not isinstance(given, dict) or any(not isinstance(v, bool) for v in given.values()):
             raise ValueError(f"{part} must map names to true or false")
         out[part] = dict(given)
-    return out
+    listing = valid_listing(config.get("directoryListing"))
+    return out | ({"directoryListing": listing} if listing else {})
+
+
+#: Ways in which a listing question is answered. Fixed values.
+ANSWERS, WAYS = ("granted", "declined"), ("tty-prompt", "cli-unlist")
+NAMED = ("disclosureId", "disclosureSha256", "handle", "publicUrl")
+
+
+def valid_listing(record: object) -> dict | None:
+    """A listing answer that is whole and well formed; None, as if never asked, for any other."""
+    from datetime import datetime
+
+    full = lambda k: isinstance(record.get(k), str) and record[k] != ""
+    if not isinstance(record, dict) or record.get("answer") not in ANSWERS or record.get("answeredVia") not in WAYS or not all(map(full, (*NAMED, "answeredAt"))):
+        return None
+    version, fields = record.get("consentVersion"), record.get("fieldsAtConsent")
+    if isinstance(version, bool) or not isinstance(version, (int, float)) or not isinstance(fields, list):
+        return None
+    if "withdrawnAt" in record and not full("withdrawnAt"):
+        return None  # present but empty would read as not withdrawn
+    try:
+        datetime.fromisoformat(record["answeredAt"].replace("Z", "+00:00"))
+    except ValueError:
+        return None
+    kept = {k: record[k] for k in ("answer", "answeredAt", "answeredVia", "consentVersion", *NAMED, "withdrawnAt") if k in record}
+    return kept | {"fieldsAtConsent": [f for f in fields if isinstance(f, str)]}
 
 
 def enabled_sources(config: dict, sources: list[str]) -> list[str]:

@@ -81,8 +81,20 @@ def findings(x: Column, rules: dict[str, str] = RULES, encoded: bool = True) ->
     return F.when(x.isNotNull(), out).otherwise(F.array().cast("array<string>"))
 
 
+def _any_of(rules: dict[str, str]) -> str:
+    """One pattern for all rules: whether a text breaks any costs one pass."""
+    return "|".join(f"(?i:{p[4:]})" if p.startswith("(?i)") else f"(?:{p})" for _, p in sorted(rules.items()))
+
+
+def breaks_any(x: Column) -> Column:
+    """Whether a text breaks any rule, as it is or in a base64 word decoded once; null for null."""
+    words = F.regexp_extract_all(x, F.lit(r"([A-Za-z0-9+/]{24,}={0,2})"))
+    decoded = F.array_join(F.transform(words, lambda w: F.coalesce(F.try_to_binary(w, F.lit("base64")).cast("string"), F.lit(""))), "\n")
+    return x.rlike(_any_of(RULES)) | decoded.rlike(_any_of({n: p for n, p in RULES.items() if n not in ("local host", "conversation")}))
+
+
 def is_safe(x: Column) -> Column:
-    return F.size(findings(x)) == 0
+    return ~F.coalesce(breaks_any(x), F.lit(False))
 
 
 class Leaves:

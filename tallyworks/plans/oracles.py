@@ -29,7 +29,7 @@ def _secret_sql() -> str:
 
     quoted = lambda p: p.replace("'", "''")
     each = " UNION ALL ".join(f"SELECT kind, '{n}' AS rule, count(*) AS texts FROM t WHERE regexp_matches(text, '{quoted(p)}') GROUP BY kind" for n, p in RULES.items())
-    return f"WITH t AS (SELECT 'document' AS kind, text FROM documents UNION ALL SELECT 'page', html FROM pages) {each}"
+    return f"WITH t AS (SELECT 'document' AS kind, text FROM documents UNION ALL SELECT 'page', html FROM pages UNION ALL SELECT 'conversation', text FROM conversations) {each}"
 
 
 _SLUG = "substr(regexp_replace(regexp_replace(lower(trim(x)), '\\s+', '-', 'g'), '[^a-z0-9_-]', '', 'g'), 1, 40)"
@@ -59,7 +59,7 @@ ORACLES = {
     "activity_heatmap": f"""{_D}, g AS (SELECT CAST(unnest(generate_series(e - INTERVAL 181 DAY, CAST(e AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT DATE '{REFERENCE}' + CAST(6 - dayofweek(DATE '{REFERENCE}') AS INTEGER) AS e)),
   t AS (SELECT date, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM d GROUP BY 1), mx AS (SELECT greatest(max(tokens), 1) AS most FROM t)
   SELECT g.date, coalesce(tokens, 0) AS tokens, CASE WHEN g.date > DATE '{REFERENCE}' THEN -1 WHEN coalesce(tokens, 0) = 0 THEN 0 WHEN tokens / most > 0.6 THEN 4 WHEN tokens / most > 0.3 THEN 3 WHEN tokens / most > 0.1 THEN 2 ELSE 1 END AS level FROM g LEFT JOIN t ON g.date = t.date CROSS JOIN mx""",
-    "presence_strip": f"""{_U}, h AS (SELECT DISTINCT CAST(floor((59 - (DATE '{REFERENCE}' - date)) * 20 / 60) AS INTEGER) AS bucket FROM (SELECT DISTINCT local_date AS date FROM u WHERE user_id % 10 = 3) WHERE DATE '{REFERENCE}' - date BETWEEN 0 AND 59)
+    "presence_strip": f"""{_U}, h AS (SELECT DISTINCT CAST(floor((59 - (DATE '{REFERENCE}' - date)) * 20 / 60) AS INTEGER) AS bucket FROM (SELECT DISTINCT local_date AS date FROM u) WHERE DATE '{REFERENCE}' - date BETWEEN 0 AND 59)
   SELECT CAST(b AS INTEGER) AS bucket, h.bucket IS NOT NULL AS active FROM range(20) r(b) LEFT JOIN h ON h.bucket = b""",
     "efficiency_shares": f"""{_D} SELECT floor(c / t * 1000 + 0.5) / 10 AS cached_share, floor(f / t * 1000 + 0.5) / 10 AS fresh_share, floor(o / (i + o) * 1000 + 0.5) / 10 AS output_share, CAST(floor(t / n + 0.5) AS BIGINT) AS per_active_day FROM (
   SELECT CAST(sum(cached_tokens) AS BIGINT) AS c, CAST(sum(fresh_tokens) AS BIGINT) AS f, CAST(sum(output_tokens) AS BIGINT) AS o, CAST(sum(input_tokens) AS BIGINT) AS i, CAST(sum(total_tokens) AS BIGINT) AS t, count(DISTINCT date) FILTER (total_tokens > 0) AS n FROM d)""",

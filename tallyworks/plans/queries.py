@@ -346,12 +346,17 @@ def delete_source(spark, d):
     return rollup.count_by(store.without(usage(spark, d), F.col("source_label") == "file-1"), "provider", "events")
 
 
+def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df over all cores, if it comes in fewer parts than there are: a small table of long texts, never a large one."""
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 @query
 def secret_scan(spark, d):
-    t = table(spark, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
-    p = table(spark, d, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
-    found = t.union(p).select("kind", "id", F.explode(secrets.findings(F.col("text"), encoded=False)).alias("rule"))
-    return found.groupBy("kind", "rule").agg(F.count("*").alias("texts"))
+    kinds = (("document", "documents", "text"), ("page", "pages", "html"), ("conversation", "conversations", "text"))
+    each = [spread(spark, table(spark, d, name).select(F.col(column).alias("text"))).select(F.lit(kind).alias("kind"), F.explode(secrets.findings(F.col("text"), encoded=False)).alias("rule")) for kind, name, column in kinds]
+    return each[0].union(each[1]).union(each[2]).groupBy("kind", "rule").agg(F.count("*").alias("texts"))
 
 
 @query
@@ -395,12 +400,6 @@ def provider_of_model(spark, d):
     return spark.createDataFrame([(n,) for n in names], "model string").select("model", text.provider_of_model(F.col("model")).alias("provider"), text.known_family(F.col("model")).alias("known"))
 
 
-@query
-def number_formats(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") * F.col("o_orderkey") * F.col("o_custkey")).alias("n"))
-    return o.select("o_orderkey", text.compact_number(F.col("n")).alias("compact"), text.full_number(F.col("n")).alias("whole"), text.percent(F.col("o_orderkey"), F.col("n") % 3).alias("share"))
-
-
 @query
 def durability_windows(spark, d):
     names = F.array(*[F.lit(w) for w in derive.WINDOWS])
@@ -427,19 +426,16 @@ def payload_gate(spark, d):
     plain = ("oops", None, '{"extra": 1}', '{"profile": {"password": "x"}}', '{"privacy": {"rawContentPersisted": true}}', '{"privacy": {"allowlistPublication": false}}', '{"verification": {"rawLogsPublished": true}}', '{"warnings": ["mail a@b.org"]}', '{"source": "n"}', '{"privacy": {"rawContentPersisted": "true"}}', "[" * 20_000)
     big = F.concat(F.lit('{"source": "'), F.repeat(F.lit("x"), 600_000), F.lit('"}'))
     unsigned = F.when(F.col("variant") == 1, big).otherwise(F.get(F.array(*[F.lit(x) for x in plain]), F.col("variant")))
-    seed = F.unhex(F.repeat(F.concat(F.lit("0"), (F.col("n_regionkey") + 1).cast("string")), 32))
-    sealed = publish.signed_documents(F.lit('{"source": "n", "generatedAt": "2026-01-01T00:00:00Z"}'), seed, F.when(F.col("variant") == 12, "not a number"))
+    seed = F.unhex(F.repeat(F.concat(F.lit("0"), (F.col("r_regionkey") + 1).cast("string")), 32))
+    keys = table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), seed.alias("seed"), F.explode(F.array(F.lit(False), F.lit(True))).alias("odd"))
+    good = F.lit('{"source": "n", "generatedAt": "2026-01-01T00:00:00Z"}')
+    keys = keys.select("n_regionkey", "odd", publish.signed_documents(good, F.col("seed"), F.when(F.col("odd"), "not a number")).alias("sealed"))
     document = F.when(F.col("variant") < len(plain), unsigned).when(F.col("variant") == 11, F.replace("sealed", F.lit('"source": "n"'), F.lit('"source": "m"'))).otherwise(F.col("sealed"))
-    docs = n.withColumn("sealed", sealed).select((F.col("n_nationkey") * 100 + F.col("variant")).alias("id"), document.alias("document"), F.when(F.col("variant") == 13, "another key").alias("expected_key"))
+    docs = n.withColumn("odd", F.col("variant") == 12).join(keys, ["n_regionkey", "odd"]).select((F.col("n_nationkey") * 100 + F.col("variant")).alias("id"), document.alias("document"), F.when(F.col("variant") == 13, "another key").alias("expected_key"))
     revoked = spark.createDataFrame([(publish.key_number(bytes([1]) * 32),)], "key_id string")
     return publish.gate(docs, revoked)
 
 
-@query
-def document_hashes(spark, d):
-    return table(spark, d, "events").select("event_id", publish.document_hash(F.col("props"), content_only=True).alias("hash"))
-
-
 @query
 def claim_ladder(spark, d):
     c = members(spark, d).select(F.col("c_custkey").alias("id"), (F.col("active_days") > 30).alias("has_activity"), F.col("signature").isin("valid", "historical").alias("is_signed"))
@@ -453,18 +449,6 @@ def invitation_codes(spark, d):
     return i.select(rules.invitation_code().alias("code")).groupBy("code").agg(F.count("*").alias("invitations"))
 
 
-@query
-def rate_limit(spark, d):
-    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("bucket"), F.col("ts").alias("at"), F.col("event_id").alias("id"))
-    return limits.limit(e, 3, 24 * 3600).groupBy("bucket").agg(F.count_if("allowed").alias("allowed"), F.count("*").alias("asked"))
-
-
-@query
-def account_handles(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("user_id"), F.col("c_mktsegment").alias("username"))
-    return store.new_accounts(c, spark.createDataFrame([("x", "building")], "user_id string, handle string")).select("user_id", "handle")
-
-
 @query
 def event_sessions(spark, d):
     """Extension: sessions by a gap of 30 minutes."""

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def list_files(spark: SparkSession, root: str | list[str], name: str = "*.jsonl", since: str | None = None) -> DataFrame:
-    """Files below root whose name fits: file, modified, size. Contents are not read. Links are not followed."""
+def list_files(spark: SparkSession, root: str | list[str], name: str = "*.jsonl", since: str | None = None, most: int | None = None) -> DataFrame:
+    """Files below root whose name fits: file, modified, size; the first ``most`` by path, or all. Contents are not read. Links are not followed."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).option("ignoreMissingFiles", True)
     if since:
         reader = reader.option("modifiedAfter", since)
-    return reader.load(root).select(F.col("path").alias("file"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
+    return reader.load(root).select(F.col("path").alias("file"), F.col("modificationTime").alias("modified"), F.col("length").alias("size")).transform(lambda df: df if most is None else df.orderBy("file").limit(most))
 
 
 def detect(spark: SparkSession, sources: dict[str, tuple[str, str]]) -> dict[str, int]:

@@ -68,6 +68,23 @@ def limit_stream(events: DataFrame, most: int, window_seconds: float) -> DataFra
     return rows.groupBy("bucket").applyInPandasWithState(run, RESULT, "start double, count int", "append", GroupStateTimeout.NoTimeout)
 
 
+def invitation_decisions(invitations: DataFrame, by_sender: int = 10, by_receiver: int = 30, window_seconds: float = 24 * 3600) -> DataFrame:
+    """id, code of invitations (id, at and the fields of rules.invitation_code), with limits on senders and receivers.
+
+    Only well-formed invitations count against a sender, and only those that pass the sender's limit against
+    the receiver. Ids are unique.
+    """
+    from ..operators.rules import invitation_code
+
+    coded = invitations.select(F.col("id").cast("string").alias("id"), "at", F.lower(F.trim("contact_email")).alias("sender"), F.lower(F.trim("to_handle")).alias("receiver"), invitation_code().alias("code"))
+    good = coded.filter("code = 'OK'")
+    sent = limit(good.select(F.concat(F.lit("invite:"), "sender").alias("bucket"), "at", "id"), by_sender, window_seconds).select("id", F.col("allowed").alias("sent"))
+    through = good.join(sent.filter("sent"), "id")
+    got = limit(through.select(F.concat(F.lit("invite-to:"), "receiver").alias("bucket"), "at", "id"), by_receiver, window_seconds).select("id", F.col("allowed").alias("got"))
+    full = ~F.coalesce(F.col("got"), F.lit(False))
+    return coded.join(got, "id", "left").select("id", F.when((F.col("code") == "OK") & full, "RATE_LIMIT").otherwise(F.col("code")).alias("code"))
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes", watermark: str = "1 hour") -> DataFrame:
     """Events by key (user, at) in sessions that end after a gap; works on tables and streams alike."""
     e = events.withWatermark("at", watermark) if events.isStreaming else events

@@ -6,8 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tallyworks.plans.oracles import ORACLES
-from tallyworks.plans.queries import QUERIES
+from tallyworks.plans.catalog import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
