@@ -108,7 +108,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, norm
         d = d.withColumn("content", F.col("text"))
     d = d.withColumn("digest", F.unhex(F.sha2(F.col("content").cast("binary"), 256)))
     read = lambda: read_cache(spark, cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
-    misses = d.select("digest", "content").join(read().select("digest"), "digest", "left_anti").groupBy("digest").agg(F.first("content").alias("content"))
+    # copies are merged before they are held against the cache: an anti join would be pushed below, and ship every copy
+    distinct = d.groupBy("digest").agg(F.first("content").alias("content"))
+    misses = distinct.join(read(), "digest", "left").filter("n_tokens is null").select("digest", "content")
     new = misses.mapInArrow(_encode(tokenizer), "digest binary, n_tokens long")
     new.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
     counts = read()
