@@ -155,6 +155,9 @@ TURN_OUTPUT = ("output", "output_tokens", "outputTokens", "completion_tokens")
 TURN_READ = ("input_cache_read", "inputCacheRead", "cache_read_tokens", "cacheReadTokens", "cache_read_input_tokens")
 TURN_CREATION = ("input_cache_creation", "inputCacheCreation", "cache_creation_tokens", "cacheCreationTokens", "cache_creation_input_tokens")
 TURN_KEYS = ("message_id", "messageId", "turn_id", "turnId", "id")
+TURN_MODELS = ("model", "model_name", "modelName")
+TURN_SCOPES = ("scope", "recordScope", "level")
+TURN_TOTALS = ("sessionTotal", "isSessionTotal")
 TURN_TIMES = ("timestamp", "occurredAt", "created_at", "createdAt", "updated_at", "time")
 
 
@@ -163,23 +166,29 @@ def turn_records(lines: DataFrame, provider: str, adapter: str = "turn-records",
 
     Of the places where a line may hold usage the first with a positive total counts.
     """
-    v = F.try_parse_json("line")
-    number = lambda base, names: values.count_or_zero(F.coalesce(*[F.get_json_object("line", f"{base}.{n}").try_cast("double") for n in names]))
-    string = lambda base, names: F.coalesce(*[F.get_json_object("line", f"{base}.{n}") for n in names])
-
-    def candidate(base: str) -> Column:
+    # the line is parsed once, into the places where usage may stand
+    names_ = dict.fromkeys((*TURN_INPUT, *TURN_OUTPUT, *TURN_READ, *TURN_CREATION, *TURN_KEYS, *TURN_TIMES, *TURN_MODELS, *TURN_SCOPES, *TURN_TOTALS))
+    fields = ",".join(f"{n}:string" for n in names_)
+    usage = ",".join(f"{n}:struct<{fields}>" for n in ("usage", "token_usage", "tokenUsage"))
+    schema = f"struct<{fields},{usage},payload:struct<{fields},{usage}>,message:struct<{fields}>,data:struct<{fields}>>"
+    number = lambda base, names: values.count_or_zero(F.coalesce(*[base[n].try_cast("double") for n in names]))
+    string = lambda base, names: F.coalesce(*[base[n] for n in names])
+
+    def candidate(base: Column) -> Column:
         i, o, r, c = (number(base, n) for n in (TURN_INPUT, TURN_OUTPUT, TURN_READ, TURN_CREATION))
-        return F.struct(i.alias("input_tokens"), o.alias("output_tokens"), c.alias("cache_creation_tokens"), r.alias("cache_read_tokens"), (i + o + c + r).alias("total_tokens"), string(base, ("model", "model_name", "modelName")).alias("model"), string(base, TURN_TIMES).alias("time"), string(base, TURN_KEYS).alias("key"), session_scoped(base).alias("scoped"))
-
-    def session_scoped(base: str) -> Column:
-        scope = F.lower(string(base, ("scope", "recordScope", "level")))
-        total = string(base, ("sessionTotal", "isSessionTotal"))
-        return F.coalesce(scope.isin("session", "session_scoped", "cumulative"), F.lit(False)) | F.coalesce(total == "true", F.lit(False))
-
-    places = ("$.usage", "$.token_usage", "$.tokenUsage", "$.payload.usage", "$.payload.token_usage", "$.payload.tokenUsage", "$.payload", "$.message", "$.data", "$")
-    j = lines.filter(F.col("line").contains("sage") | F.col("line").contains("oken")).filter(v.isNotNull() & ~session_scoped("$") & ~session_scoped("$.payload"))
-    found = F.get(F.filter(F.array(*[candidate(p) for p in places]), lambda x: (x["total_tokens"] > 0) & ~x["scoped"]), F.lit(0))
-    j = j.select("file", "block", "seq", "modified", found.alias("u"), string("$", ("model", "model_name", "modelName")).alias("root_model"), string("$", TURN_TIMES).alias("root_time"), string("$.payload", TURN_TIMES).alias("payload_time"), string("$", ("message_id", "messageId", "id")).alias("root_key")).filter("u is not null")
+        return F.struct(i.alias("input_tokens"), o.alias("output_tokens"), c.alias("cache_creation_tokens"), r.alias("cache_read_tokens"), (i + o + c + r).alias("total_tokens"), string(base, TURN_MODELS).alias("model"), string(base, TURN_TIMES).alias("time"), string(base, TURN_KEYS).alias("key"), session_scoped(base).alias("scoped"))
+
+    def session_scoped(base: Column) -> Column:
+        scope = F.lower(string(base, TURN_SCOPES))
+        return F.coalesce(scope.isin("session", "session_scoped", "cumulative"), F.lit(False)) | F.coalesce(string(base, TURN_TOTALS) == "true", F.lit(False))
+
+    root, payload = F.col("j"), F.col("j.payload")
+    own = lambda c: F.struct(*[c[n].alias(n) for n in names_])
+    places = [F.col(f"j.{p}") for p in ("usage", "token_usage", "tokenUsage", "payload.usage", "payload.token_usage", "payload.tokenUsage")] + [own(payload), F.col("j.message"), F.col("j.data"), own(root)]
+    j = lines.filter(F.col("line").contains("sage") | F.col("line").contains("oken")).select("file", "block", "seq", "modified", F.from_json("line", schema).alias("j"))
+    j = j.filter(~session_scoped(root) & ~session_scoped(payload))
+    found = F.get(F.filter(F.transform(F.array(*places), candidate), lambda x: (x["total_tokens"] > 0) & ~x["scoped"]), F.lit(0))
+    j = j.select("file", "block", "seq", "modified", found.alias("u"), string(root, TURN_MODELS).alias("root_model"), string(root, TURN_TIMES).alias("root_time"), string(payload, TURN_TIMES).alias("payload_time"), string(root, ("message_id", "messageId", "id")).alias("root_key")).filter("u is not null")
     raw = F.coalesce("u.time", "root_time", "payload_time")
     time = F.coalesce(values.any_time(raw, raw.try_cast("double")), F.col("modified"))
     key = F.substring(F.coalesce("u.key", "root_key", F.concat_ws(":", "block", "seq")), 1, 120)

@@ -77,26 +77,33 @@ class DailyRecords:
                 n += 1
 
 
+def _as_text(x: object) -> str | None:
+    """A JSON scalar as text; None for null, objects and lists."""
+    if x is None or isinstance(x, (str, dict, list)):
+        return x if isinstance(x, str) else None
+    return json.dumps(x)
+
+
 class ImportRecords:
-    """UDTF: documents to objects with a date and usage under any known name: ord, record (JSON by plain names)."""
+    """UDTF: documents to objects with a date and usage under any known name: ord, and the text of each known field."""
 
     def eval(self, document: str):
         n = 0
         for x in objects(_parsed(document)):
             plain = {_plain(k): v for k, v in x.items()}
             if any(a in plain for a in IMPORT_ALIASES["date"]) and any(a in plain for f in ("input", "output", "total") for a in IMPORT_ALIASES[f]):
-                yield n, _written({k: v for k, v in plain.items() if not isinstance(v, (dict, list))})
+                yield n, *(next((t for a in aliases if (t := _as_text(plain.get(a))) is not None), None) for aliases in IMPORT_ALIASES.values())
                 n += 1
 
 
-def _records(documents: DataFrame, finder: type) -> DataFrame:
-    """documents with the ord and record of each object that a finder yields."""
-    return documents.lateralJoin(F.udtf(finder, returnType="ord int, record string")(F.col("document").outer()))
+def _records(documents: DataFrame, finder: type, columns: str) -> DataFrame:
+    """documents with the ord and other columns of each object that a finder yields."""
+    return documents.lateralJoin(F.udtf(finder, returnType=f"ord int, {columns}")(F.col("document").outer()))
 
 
-def _first_number(record: str, aliases: tuple[str, ...]) -> Column:
+def _first_number(record: Column, aliases: tuple[str, ...]) -> Column:
     """The first alias that holds a number, or a text that reads as one; else 0."""
-    return F.coalesce(*[values.lenient_number(F.get_json_object(record, f"$.{a}")) for a in aliases], F.lit(0.0))
+    return F.coalesce(*[values.lenient_number(record[a]) for a in aliases], F.lit(0.0))
 
 
 def daily_rows(documents: DataFrame, provider: str) -> DataFrame:
@@ -105,11 +112,13 @@ def daily_rows(documents: DataFrame, provider: str) -> DataFrame:
     date, provider, models, counts, total as the sum of its parts, the reported total where it disagrees,
     cost (null if none). Rows without a positive total are dropped: nothing is made up.
     """
-    r = _records(documents.select("source", "document"), DailyRecords)
-    get = lambda k: F.get_json_object("record", f"$.{k}")
+    names = dict.fromkeys([*DAILY_DATES, "provider", "agent", "source", "models", "modelsUsed", "model", "modelName", *[a for x in DAILY_ALIASES.values() for a in x]])
+    parsed = F.from_json("record", ",".join(f"`{n}` string" for n in names))  # once, not for each name
+    r = _records(documents.select("source", "document"), DailyRecords, "record string").select("source", "ord", parsed.alias("record"))
+    get = lambda k: F.col("record")[k]
     own = text.provider_slug(F.coalesce(get("provider"), get("agent"), get("source")))
     models = F.coalesce(*[F.from_json(get(k), "array<string>") for k in ("models", "modelsUsed")], *[F.array(get(k)) for k in ("model", "modelName")])
-    r = r.select("source", "ord", F.coalesce(*[get(k) for k in DAILY_DATES]).alias("raw_date"), F.coalesce(F.when(own != "all", own), F.lit(provider)).alias("provider"), F.coalesce(text.safe_models(models), F.array().cast("array<string>")).alias("models"), *[_first_number("record", a).alias(k) for k, a in DAILY_ALIASES.items()])
+    r = r.select("source", "ord", F.coalesce(*[get(k) for k in DAILY_DATES]).alias("raw_date"), F.coalesce(F.when(own != "all", own), F.lit(provider)).alias("provider"), F.coalesce(text.safe_models(models), F.array().cast("array<string>")).alias("models"), *[_first_number(F.col("record"), a).alias(k) for k, a in DAILY_ALIASES.items()])
     r = r.withColumn("date", F.substring("raw_date", 1, 10).try_cast("date"))
     counts = [F.col(k).cast("long").alias(k) for k in ("input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens")]
     r = r.select("source", "ord", "date", "provider", "models", *counts, F.col("reported_total").cast("long").alias("reported_total"), F.when(F.col("cost") > 0, F.col("cost")).alias("estimated_cost_usd"))
@@ -153,8 +162,7 @@ def import_table(df: DataFrame, ordinal: Column) -> DataFrame:
 
 def import_documents(documents: DataFrame) -> DataFrame:
     """Records of JSON exports (document) as text columns ord and the known fields."""
-    r = _records(documents.select("document"), ImportRecords)
-    return r.select("ord", *[F.coalesce(*[F.get_json_object("record", f"$.{a}") for a in aliases]).alias(f) for f, aliases in IMPORT_ALIASES.items()])
+    return _records(documents.select("document"), ImportRecords, ", ".join(f"{f} string" for f in IMPORT_ALIASES)).select("ord", *IMPORT_ALIASES)
 
 
 def import_events(rows: DataFrame, source: str, kind: str, provider: str = "imported") -> DataFrame:
