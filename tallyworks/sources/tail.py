@@ -2,8 +2,12 @@
 
 Spark's file source takes a file once; logs grow. Here an offset says, for each file, which file it is
 (inode) and how many bytes are read. A batch takes, of each file, the bytes up to its last line end: an
-unfinished line waits. A file that was replaced, or has shrunk, is read from its start. On stores
-without inodes use 0 for them; growth and shrinking still show in the size.
+unfinished line waits. A file that was replaced, or has shrunk, is read from its start. The new bytes of a
+file are cut into ranges that tasks read in parallel, each the lines that begin in it.
+
+Files are listed and read through Arrow's file systems (local paths, hdfs://, s3://, gs://), as a source's
+workers have no way to those of the JVM. On stores without inodes 0 stands for them; growth and shrinking
+still show in the size. An offset holds an entry for each file that was ever seen: some tens of bytes each.
 """
 
 from __future__ import annotations
@@ -12,19 +16,27 @@ import fnmatch
 import os
 from collections.abc import Iterator
 
+from pyarrow import fs as arrow_fs
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 CHUNK = 1 << 20
+SPLIT = 64 << 20
 
 
 class Range(InputPartition):
-    def __init__(self, file: str, start: int, end: int):
-        self.file, self.start, self.end = file, start, end
+    """The lines of a file that begin in [start, end); ``first`` is where the batch's bytes of the file begin."""
+
+    def __init__(self, file: str, start: int, end: int, first: int):
+        self.file, self.start, self.end, self.first = file, start, end, first
+
+
+def file_system(root: str) -> tuple[arrow_fs.FileSystem, str]:
+    return arrow_fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (arrow_fs.LocalFileSystem(), os.path.abspath(root))
 
 
-def complete_end(file: str, start: int, size: int) -> int:
+def complete_end(fs: arrow_fs.FileSystem, file: str, start: int, size: int) -> int:
     """Place after the last line end in [start, size), or start."""
-    with open(file, "rb") as f:
+    with fs.open_input_file(file) as f:
         end = size
         while end > start:
             lo = max(start, end - CHUNK)
@@ -36,28 +48,50 @@ def complete_end(file: str, start: int, size: int) -> int:
     return start
 
 
+def lines_in(fs: arrow_fs.FileSystem, part: Range) -> Iterator[tuple[int, bytes]]:
+    """(place, line) of the lines that begin in a range; the last one may end beyond it."""
+    with fs.open_input_file(part.file) as f:
+        # a range that does not begin the batch leaves out what is left of the line before
+        skipping, at = part.start > part.first, part.start - (part.start > part.first)
+        f.seek(at)
+        rest = b""
+        while True:
+            chunk = f.read(CHUNK)
+            if not chunk:
+                return
+            *whole, rest = (rest + chunk).split(b"\n")
+            for line in whole:
+                if at >= part.end:
+                    return
+                if not skipping:
+                    yield at, line
+                skipping = False
+                at += len(line) + 1
+
+
 class TailReader(DataSourceStreamReader):
-    def __init__(self, root: str, name: str):
-        self.root, self.name = root, name
+    def __init__(self, root: str, name: str, split: int = SPLIT):
+        self.root, self.name, self.split = root, name, split
         self.last: dict[str, list[int]] = {}
 
     def initialOffset(self) -> dict:
         return {"files": {}}
 
     def latestOffset(self) -> dict:
+        fs, root = file_system(self.root)
+        local = isinstance(fs, arrow_fs.LocalFileSystem)
         files: dict[str, list[int]] = {}
-        for folder, _, names in os.walk(self.root):
-            for n in fnmatch.filter(names, self.name):
-                path = os.path.join(folder, n)
-                if os.path.islink(path):
-                    continue
-                try:
-                    s = os.stat(path)
-                    inode, done = self.last.get(path, [s.st_ino, 0])
-                    start = done if inode == s.st_ino and s.st_size >= done else 0
-                    files[path] = [s.st_ino, complete_end(path, start, s.st_size)]
-                except OSError:
-                    continue
+        for info in fs.get_file_info(arrow_fs.FileSelector(root, recursive=True, allow_not_found=True)):
+            if not info.is_file or not fnmatch.fnmatch(info.base_name, self.name) or (local and os.path.islink(info.path)):
+                continue
+            try:
+                inode = os.stat(info.path).st_ino if local else 0
+                before, done = self.last.get(info.path, [inode, 0])
+                start = done if before == inode and info.size >= done else 0
+                # a file that has not grown is not opened
+                files[info.path] = [inode, complete_end(fs, info.path, start, info.size) if info.size > start else start]
+            except OSError:
+                continue
         self.last = files
         return {"files": files}
 
@@ -66,27 +100,24 @@ class TailReader(DataSourceStreamReader):
         for path, (inode, to) in end["files"].items():
             before, at = start["files"].get(path, [inode, 0])
             at = at if before == inode and at <= to else 0
-            if to > at:
-                out.append(Range(path, at, to))
+            out += [Range(path, lo, min(lo + self.split, to), at) for lo in range(at, to, self.split)]
         return out
 
     def read(self, part: Range) -> Iterator[tuple]:
-        with open(part.file, "rb") as f:
-            f.seek(part.start)
-            at = part.start
-            while at < part.end:
-                line = f.readline()
-                if not line:
-                    break
-                yield part.file, at, line.decode("utf-8", "replace").rstrip("\r\n")
-                at += len(line)
+        fs, _ = file_system(self.root)
+        for at, line in lines_in(fs, part):
+            yield part.file, at, line.decode("utf-8", "replace").rstrip("\r\n")
 
     def commit(self, end: dict) -> None:
         self.last = dict(end["files"])
 
 
 class JsonlTail(DataSource):
-    """``spark.dataSource.register(JsonlTail)``, then ``readStream.format("jsonl_tail").load(root)``."""
+    """``spark.dataSource.register(JsonlTail)``, then ``readStream.format("jsonl_tail").load(root)``.
+
+    Options: glob (of file names), split (bytes of a range). A batch takes all files: a bound on them would need
+    an offset that survives restarts without naming the files it left out.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -96,4 +127,4 @@ class JsonlTail(DataSource):
         return "file string, offset long, line string"
 
     def streamReader(self, schema) -> TailReader:
-        return TailReader(self.options["path"], self.options.get("glob", "*.jsonl"))
+        return TailReader(self.options["path"], self.options.get("glob", "*.jsonl"), int(self.options.get("split", SPLIT)))

@@ -227,3 +227,48 @@ def test_drift_durability_and_rules(spark):
     with pytest.raises(ValueError):
         render.strip_svg([True], "/me")
     assert "| a | 1,000 | m |" in render.dossier("t", [], [{"provider": "a", "total_tokens": 1000, "models": ["m"]}])
+
+
+def test_profile_badges_and_dossier():
+    facts = {"active_days": 1, "as_of": "2026-01-01", "tools": ["a<b"], "strip": [True, False]}
+    for variant in ("inline", "mark", "card"):
+        svg = render.profile_badge(facts, "https://a.org/x", variant)
+        assert svg.startswith('<a href="https://a.org/x"><svg') and "a<b" not in svg
+        assert ("signing key revoked" in render.profile_badge(facts | {"signature": "revoked"}, "https://a.org", variant))
+        with pytest.raises(ValueError):
+            render.profile_badge(facts, "/x", variant)
+    assert "1 active day<" in render.profile_badge(facts, "https://a.org")
+    text_ = render.dossier("T|x", [{"signal": "s", "tier": "t", "allowed": ["a"], "excluded": ["b"], "present": True}] * 20, [{"provider": "p", "total_tokens": 1234, "models": list("abcdefghijklmnop")}], facts={"active_days": 3}, withheld=["cost"], checks=[{"name": "n", "status": "ok"}])
+    assert text_.count("- s (t)") == 16 and "| p | 1,234 | a, b, c, d, e, f, g, h, i, j, k, l |" in text_ and "Withheld by the owner: cost." in text_ and "# T\\|x" in text_
+
+
+def test_listing_answers():
+    whole = {"answer": "granted", "answeredVia": "tty-prompt", "answeredAt": "2026-01-01T00:00:00Z", "disclosureId": "d", "disclosureSha256": "s", "handle": "h", "publicUrl": "u", "consentVersion": 1, "fieldsAtConsent": ["models", 3]}
+    assert rules.valid_listing(whole)["fieldsAtConsent"] == ["models"]
+    for broken in (None, [], {}, whole | {"answer": "yes"}, whole | {"answeredVia": "web"}, whole | {"answeredAt": "soon"}, whole | {"handle": ""}, whole | {"consentVersion": True}, whole | {"fieldsAtConsent": None}, whole | {"withdrawnAt": ""}):
+        assert rules.valid_listing(broken) is None
+    assert rules.valid_consent({"sources": {"a": False}, "directoryListing": whole})["directoryListing"]["handle"] == "h"
+    assert "directoryListing" not in rules.valid_consent({"directoryListing": {"answer": "granted"}})
+    with pytest.raises(ValueError):
+        rules.valid_consent({"fields": {"a": "no"}})
+
+
+def test_blocks_of_what_cannot_be_read(spark):
+    from tallyworks.operators import blocks
+
+    drafts = [(1, "nope", None), (2, DEEP, None), (3, None, None), (4, '{"totals": 5, "profile": [], "daily": {"date": 1}, "warnings": ["ok", "see /Users/ann/x"]}', {"daily": False})]
+    got = {r.id: r for r in blocks.blocks(spark.createDataFrame(drafts, "id int, draft string, consent map<string,boolean>")).collect()}
+    assert all(got[i].totals.totalTokens == 0 and got[i].profile is None for i in (1, 2, 3, 4))
+    assert got[4].warnings == ["ok"] and got[4].daily is None and got[4].privacy.fieldsWithheld == ["daily"]
+
+
+def test_documents_that_are_absent_or_broken(spark, tmp_path):
+    from tallyworks.sources import documents
+
+    (tmp_path / "a.json").write_text('{"x": 1}')
+    (tmp_path / "b.json").write_text("{broken")
+    (tmp_path / "c.json").write_text("5")
+    got = {r.file[-6:]: r.document for r in documents.read_documents(spark, str(tmp_path)).collect()}
+    assert got == {"a.json": '{"x": 1}', "b.json": None, "c.json": None}
+    assert documents.read_documents(spark, str(tmp_path / "none")).collect() == []
+    assert [r.x for r in spark.createDataFrame([('["a", "b"]',), ("{",), (None,)], "d string").select(documents.texts(F.col("d")).alias("x")).collect()] == [["a", "b"], [], []]

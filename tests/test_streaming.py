@@ -3,9 +3,13 @@
 import datetime as dt
 import json
 import os
+import random
+
+import pytest
 
 from tallyworks.operators import store
-from tallyworks.sources.tail import TailReader, complete_end
+from tallyworks.sources import tail
+from tallyworks.sources.tail import TailReader, complete_end, file_system
 from tallyworks.streaming import ingest, limits
 
 
@@ -27,7 +31,27 @@ def test_tail_states(tmp_path):
     assert read(end, later) == ["partial", "three"]
     f.write_text("new\n")  # shrunk
     assert read(later, r.latestOffset()) == ["new"]
-    assert complete_end(str(f), 0, os.path.getsize(f)) == 4
+    assert complete_end(file_system(str(f))[0], str(f), 0, os.path.getsize(f)) == 4
+
+
+@pytest.mark.parametrize("split", [1, 7, 64, 1000, 1 << 20])
+def test_ranges_hold_every_line_once(tmp_path, monkeypatch, split):
+    """Lines of any length, over ranges and chunks of any size; a second batch goes on in the file."""
+    monkeypatch.setattr(tail, "CHUNK", 13)
+    rng = random.Random(split)
+    f, want, before = tmp_path / "a.jsonl", [], {"files": {}}
+    r = TailReader(f"file://{tmp_path}", "*.jsonl", split)
+    for _ in range(3):
+        new = ["x" * rng.choice([0, 1, 5, 12, 13, 14, 100]) + "é" for _ in range(20)]
+        with f.open("a") as h:
+            h.write("".join(x + "\n" for x in new) + "tail")
+        end = r.latestOffset()
+        got = [row for part in r.partitions(before, end) for row in r.read(part)]
+        want = ["tail" + new[0], *new[1:]] if before["files"] else new
+        assert [x for _, _, x in got] == want
+        data = f.read_bytes()
+        assert all(data[at:].startswith(x.encode()) for _, at, x in got)
+        before = end
 
 
 def test_ingest_appends_only_new_bytes(spark, tmp_path):
