@@ -228,9 +228,15 @@ DURABILITY = Part(
 INTEGRITY = Part({"checks": Rows({"name": Text(60, ""), "status": Choice(("flag",), "ok"), "detail": Text(200, "")}, 20, ("name",)), "note": Text(300, "")})
 IMPORTED = Rows({"sourceLabel": Text(60), "adapter": Text(40, "import"), "measurementClass": Fixed("user_submitted"), "confidence": Choice(("low", "medium", "high"), "low"), "events": Count(), "totalTokens": Count(), "firstDate": Text(10, None, DATE, False), "lastDate": Text(10, None, DATE, False), "models": Texts(24, 80)}, 30, ("sourceLabel",))
 CONFIDENCE = Part({"confidence": Choice(("high",), "medium"), "note": Text(400, "")})
+ISO_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"
+ZONE = r"^[A-Za-z]+(?:/[A-Za-z0-9_+-]+){0,2}$"
+HEAD = {
+    "generatedAt": Text(40, "1970-01-01T00:00:00.000Z", ISO_TIME, False), "timezone": Text(64, "unknown", ZONE, False), "isSampleData": Flag(), "gitCommit": Text(60),
+    "sourceOfTruth": Choice(("event_store", "mixed"), "aggregates"), "scanner": Part({"rootsChecked": Count(), "allowlistedProjects": Count(), "foundProjects": Count(), "privacyMode": Fixed("allowlist_no_paths")}),
+}
 # End of the fixed values.
 
-_PARTS = {"totals": TOTALS, "daily": DAILY, PROJECTS: PROJECT, "profile": PROFILE, "telemetry": TELEMETRY, "durability": DURABILITY, "integrity": INTEGRITY, "imported": IMPORTED, "warnings": Texts(12, 200)}
+_PARTS = HEAD | {"totals": TOTALS, "daily": DAILY, PROJECTS: PROJECT, "profile": PROFILE, "telemetry": TELEMETRY, "durability": DURABILITY, "integrity": INTEGRITY, "imported": IMPORTED, "warnings": Texts(12, 200)}
 _MAPS = {"providers": PROVIDER, "providerConfidence": CONFIDENCE}
 #: Fields of a consent record that take a whole block away.
 BLOCKS = ("providers", "daily", PROJECTS)
@@ -286,7 +292,7 @@ def blocks(drafts: DataFrame) -> DataFrame:
     named = [F.when(F.col(n).isNotNull(), F.lit(n)) for n in ("totals", *BLOCKS, "profile", "integrity", "telemetry", "durability")] + [F.when(F.size("imported") > 0, F.lit("imported"))]
     withheld = F.coalesce(F.array_sort(F.map_keys(F.map_filter("consent", lambda k, v: ~v))), F.array().cast("array<string>"))
     return p.select(
-        "id", "totals", "providers", "daily", PROJECTS, "warnings", "profile", "integrity", "telemetry", "durability", "providerConfidence",
+        "id", *HEAD, "totals", "providers", "daily", PROJECTS, "warnings", "profile", "integrity", "telemetry", "durability", "providerConfidence",
         F.when(F.size("imported") > 0, imported).alias("imported"),
         F.struct(F.col("totals.totalTokens").alias("totalTokens"), F.col("totals.estimatedCostUsd").alias("estimatedCostUsd")).alias("measurement"),
         F.struct(F.lit(False).alias("rawContentPersisted"), F.lit(True).alias("allowlistPublication"), F.filter(F.array(*named), lambda n: n.isNotNull()).alias("fieldsPublished"), withheld.alias("fieldsWithheld")).alias("privacy"),

@@ -32,6 +32,17 @@ def _secret_sql() -> str:
     return f"WITH t AS (SELECT 'document' AS kind, text FROM documents UNION ALL SELECT 'page', html FROM pages UNION ALL SELECT 'conversation', text FROM conversations) {each}"
 
 
+def _encoded_sql() -> str:
+    from ..operators.secrets import RULES
+
+    quoted = lambda p: p.replace("'", "''")
+    hit = lambda n, p: f"CASE WHEN regexp_matches(text, '{quoted(p)}')" + ("" if n in ("local host", "conversation") else f" OR regexp_matches(plain, '{quoted(p)}')") + f" THEN '{n}' END"
+    rules = ", ".join(hit(n, p) for n, p in sorted(RULES.items()))
+    return f"""WITH t AS (SELECT 'document' AS kind, CAST(doc_id AS VARCHAR) AS id, -1::BIGINT AS turn, text FROM documents UNION ALL SELECT 'page', CAST(page_id AS VARCHAR), -1, html FROM pages UNION ALL SELECT 'conversation', CAST(conv_id AS VARCHAR), turn, text FROM conversations),
+w AS (SELECT *, array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z0-9+/]{{24,}}={{0,2}}'), lambda w: coalesce(TRY(decode(from_base64(w))), '')), chr(10)) AS plain FROM t)
+SELECT kind, id, turn, array_to_string(list_filter([{rules}], lambda r: r IS NOT NULL), ',') AS rules FROM w WHERE rules <> ''"""
+
+
 _SLUG = "substr(regexp_replace(regexp_replace(lower(trim(x)), '\\s+', '-', 'g'), '[^a-z0-9_-]', '', 'g'), 1, 40)"
 _TITLE = "array_to_string(list_transform(string_split(regexp_replace(slug, '[-_]', ' ', 'g'), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
 _HIST = "h AS (SELECT CAST(o_custkey AS VARCHAR) AS handle, o_orderkey AS id, o_orderdate AS created_at FROM orders)"
@@ -109,6 +120,7 @@ ORACLES = {
     "keyed_upsert": "SELECT coalesce(c.c_custkey, n.k) AS c_custkey, coalesce(n.c_name, c.c_name) AS c_name, c.c_mktsegment FROM customer c FULL JOIN (SELECT c_custkey * 2 AS k, upper(c_name) AS c_name FROM customer WHERE c_custkey % 3 = 0) n ON c.c_custkey = n.k",
     "delete_source": f"{_U} SELECT provider, count(*) AS events FROM u WHERE source_label IS DISTINCT FROM 'file-1' GROUP BY 1",
     "secret_scan": _secret_sql(),
+    "secret_scan_encoded": _encoded_sql(),
     "json_usage_extract": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(0 AS BIGINT) AS none FROM events",
     "provider_slug_normalize": f"SELECT p_partkey, slug, CASE WHEN slug = 'unknown' THEN 'Unknown' ELSE {_TITLE} END AS name FROM (SELECT p_partkey, CASE WHEN contains(x, '/') THEN 'unknown' ELSE {_SLUG} END AS slug FROM (SELECT p_partkey, concat(' ', p_type, CASE WHEN p_partkey % 7 = 0 THEN '/x' ELSE ' ' END) AS x FROM part))",
     "handles": "SELECT p_partkey, substr(trim(regexp_replace(lower(p_name), '[^a-z0-9-]+', '-', 'g'), '-'), 1, 39) AS handle, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS key, upper(concat(substr(regexp_split_to_array(p_name, '\\s+')[1], 1, 1), substr(coalesce(regexp_split_to_array(p_name, '\\s+')[2], ''), 1, 1))) AS initials FROM part",

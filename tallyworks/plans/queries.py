@@ -365,7 +365,7 @@ def secret_scan_encoded(spark, d):
     t = table(spark, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("id"), none, "text")
     p = table(spark, d, "pages").select(F.lit("page").alias("kind"), F.col("page_id").cast("string").alias("id"), none, F.col("html").alias("text"))
     c = table(spark, d, "conversations").select(F.lit("conversation").alias("kind"), F.col("conv_id").cast("string").alias("id"), F.col("turn").cast("long").alias("turn"), "text")
-    return t.union(p).union(c).select("kind", "id", "turn", F.array_join(secrets.findings(F.col("text")), ",").alias("rules")).filter("rules <> ''")
+    return t.union(p).union(c).select("kind", "id", F.coalesce("turn", F.lit(-1)).alias("turn"), F.array_join(secrets.findings(F.col("text")), ",").alias("rules")).filter("rules <> ''")
 
 
 @query

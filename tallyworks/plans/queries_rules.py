@@ -317,7 +317,7 @@ def renamed_handles(spark, d):
 @query(
     f"""WITH {MEMBERS_SQL} SELECT c_custkey AS id, CASE WHEN c_custkey % 6 = 0 THEN 'Anonymous' ELSE substr(display_name, 1, 60) END AS display_name, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_custkey::DOUBLE END AS cost, CASE WHEN c_custkey % 4 = 1 THEN 0 ELSE 1 END AS models,
   CASE WHEN c_custkey % 4 = 2 THEN 0 ELSE 2 END AS artifacts, CASE WHEN c_custkey % 4 = 2 THEN 0 ELSE 1 END AS observed, CASE WHEN c_custkey % 2 = 0 THEN 'https://a.org/x' ELSE '' END AS links, c_custkey % 5 AS imported, least(c_custkey % 130, 100)::DOUBLE AS remaining,
-  array_to_string(list_filter(['totals', 'providers', CASE WHEN c_custkey % 4 <> 3 THEN 'daily' END, 'projects', 'profile', 'durability', 'imported'], lambda x: x IS NOT NULL), ',') AS published, CASE c_custkey % 4 WHEN 0 THEN 'estimatedCost' WHEN 1 THEN 'models' WHEN 2 THEN 'profileWork' ELSE 'daily' END AS withheld FROM mem"""
+  array_to_string(list_filter(['totals', 'providers', CASE WHEN c_custkey % 4 <> 3 THEN 'daily' END, 'projects', 'profile', 'durability', 'imported'], lambda x: x IS NOT NULL), ',') AS published, CASE c_custkey % 4 WHEN 0 THEN 'estimatedCost' WHEN 1 THEN 'models' WHEN 2 THEN 'profileWork' ELSE 'daily' END AS withheld, CASE WHEN c_custkey % 5 = 0 THEN 'unknown' ELSE 'Europe/Zurich' END AS zone, CASE WHEN c_custkey % 7 = 0 THEN '1970-01-01T00:00:00.000Z' ELSE '2026-01-02T03:04:05Z' END AS made FROM mem"""
 )
 def published_blocks(spark, d):
     """Drafts of customers projected to their published blocks, one field of each withheld."""
@@ -326,6 +326,7 @@ def published_blocks(spark, d):
     art = lambda title, project: F.struct(F.lit(title).alias("title"), F.lit("collector_observed").alias("verification"), F.lit(project).alias("linkedProject"), F.lit("no such").alias("type"))
     identity = F.struct(F.when(k % 6 == 0, "/Users/ann/x").otherwise(F.col("display_name")).alias("displayName"), F.array(F.struct(F.lit("site").alias("label"), link.alias("url"))).alias("links"), F.lit("secret").alias("unknown"))
     draft = F.struct(
+        F.when(k % 5 == 0, "Europe/../Zurich x").otherwise("Europe/Zurich").alias("timezone"), F.when(k % 7 == 0, "now").otherwise("2026-01-02T03:04:05Z").alias("generatedAt"),
         F.struct(k.alias("totalTokens"), k.cast("double").alias("estimatedCostUsd")).alias("totals"),
         F.create_map(F.lit("claude"), F.struct(F.array(F.lit("m-1")).alias("models"), F.lit(1.0).alias("estimatedCostUsd")), F.lit("NO"), F.struct(F.array(F.lit("m-1")).alias("models"), F.lit(1.0).alias("estimatedCostUsd"))).alias("providers"),
         F.array(F.struct(F.lit("2026-01-01").alias("date"), F.lit("claude").alias("provider"))).alias("daily"),
@@ -337,7 +338,7 @@ def published_blocks(spark, d):
     b = blocks.blocks(members(spark, d).select(k.alias("id"), F.to_json(draft).alias("draft"), F.create_map(off, F.lit(False)).alias("consent")))
     return b.select(
         "id", F.col("profile.identity.displayName").alias("display_name"), F.col("measurement.estimatedCostUsd").alias("cost"), F.size("providers.claude.models").alias("models"), F.col("profile.work.totalArtifacts").alias("artifacts"), F.col("profile.work.collectorObserved").alias("observed"),
-        F.array_join("profile.identity.links.url", ",").alias("links"), F.col("imported.totalTokens").alias("imported"), F.col("durability.projects")[0]["windows"][0]["remainingPct"].alias("remaining"), F.array_join("privacy.fieldsPublished", ",").alias("published"), F.array_join("privacy.fieldsWithheld", ",").alias("withheld"),
+        F.array_join("profile.identity.links.url", ",").alias("links"), F.col("imported.totalTokens").alias("imported"), F.col("durability.projects")[0]["windows"][0]["remainingPct"].alias("remaining"), F.array_join("privacy.fieldsPublished", ",").alias("published"), F.array_join("privacy.fieldsWithheld", ",").alias("withheld"), F.col("timezone").alias("zone"), F.col("generatedAt").alias("made"),
     )
 
 

@@ -24,4 +24,4 @@ def test_encoded_secrets_of_all_three_tables(spark, tmp_path):
     for name, schema, row in (("documents", "doc_id long, text string", (1, hidden)), ("pages", "page_id long, html string", (2, hidden)), ("conversations", "conv_id long, turn int, text string", (3, 4, hidden))):
         spark.createDataFrame([row], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
     got = QUERIES["secret_scan_encoded"](spark, str(tmp_path)).collect()
-    assert {(r.kind, r.id, r.turn) for r in got if "key" in r.rules.lower()} == {("document", "1", None), ("page", "2", None), ("conversation", "3", 4)}
+    assert {(r.kind, r.id, r.turn) for r in got if "key" in r.rules.lower()} == {("document", "1", -1), ("page", "2", -1), ("conversation", "3", 4)}
