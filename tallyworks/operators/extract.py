@@ -49,7 +49,9 @@ def message_usage(lines: DataFrame, provider: str, key: bytes, adapter: str = "j
 def turn_deltas(lines: DataFrame, provider: str, adapter: str = "turns", version: str = "1.0.0") -> DataFrame:
     """Format B: each turn's usage, with the model named in an earlier line of the file.
 
-    Cached input is part of the input. Computed from a file's start; a running total is never read.
+    Cached input is part of the input. Computed from a file's start; a running total is never read. Lines are
+    ordered within the blocks of a file, and what each block hands on - the model last named, the turns so far -
+    is carried over its blocks, so that a large file is not one task.
     """
     last = "struct<input_tokens:double,cached_input_tokens:double,output_tokens:double>"
     schema = f"type string, timestamp string, payload struct<type:string,model:string,info:struct<last_token_usage:{last}>>"
@@ -60,9 +62,14 @@ def turn_deltas(lines: DataFrame, provider: str, adapter: str = "turns", version
     whole, out = values.count_or_zero(usage["input_tokens"]), values.count_or_zero(usage["output_tokens"])
     at = values.iso_or_null(F.col("timestamp"))
     is_event = F.coalesce(~context & (F.col("payload.type") == "token_count") & usage.isNotNull() & (whole + out > 0) & at.isNotNull(), F.lit(False))
-    w = Window.partitionBy("file").orderBy("block", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     named = F.when(context, text.safe_model(F.col("payload.model")))
-    j = j.filter(context | is_event).select("file", is_event.alias("is_event"), F.last(named, ignorenulls=True).over(w).alias("model"), F.sum(is_event.cast("long")).over(w).alias("turn"), at.alias("occurred_at_raw"), F.greatest(whole - cached, F.lit(0)).alias("input_tokens"), out.alias("output_tokens"), F.lit(0).cast("long").alias("cache_creation_tokens"), cached.alias("cache_read_tokens"), (whole + out).alias("total_tokens"), fingerprint(F.col("file")).alias("source_fingerprint"))
+    some = j.filter(context | is_event).withColumns({"is_event": is_event, "named": named})
+    handed = some.groupBy("file", "block").agg(F.max_by("named", F.when(F.col("named").isNotNull(), F.col("seq"))).alias("last_named"), F.count_if("is_event").alias("turns"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    handed = handed.select("file", "block", F.last("last_named", ignorenulls=True).over(earlier).alias("model_before"), F.coalesce(F.sum("turns").over(earlier), F.lit(0)).alias("turns_before"))
+    w = Window.partitionBy("file", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = some.withColumns({"model_here": F.last("named", ignorenulls=True).over(w), "turns_here": F.sum(F.col("is_event").cast("long")).over(w)}).filter("is_event")
+    j = own.join(handed, ["file", "block"]).select("file", "is_event", F.coalesce("model_here", "model_before").alias("model"), (F.col("turns_before") + F.col("turns_here")).alias("turn"), at.alias("occurred_at_raw"), F.greatest(whole - cached, F.lit(0)).alias("input_tokens"), out.alias("output_tokens"), F.lit(0).cast("long").alias("cache_creation_tokens"), cached.alias("cache_read_tokens"), (whole + out).alias("total_tokens"), fingerprint(F.col("file")).alias("source_fingerprint"))
     e = j.filter("is_event").withColumn("event_id", values.short_hash(F.lit(provider), F.col("occurred_at_raw"), F.col("model"), F.col("input_tokens"), F.col("output_tokens"), F.col("cache_read_tokens"), F.col("source_fingerprint"), F.col("turn")))
     return _events(e.drop("is_event", "turn", "file").withColumn("session_pseudonym", F.lit(None).cast("string")), provider, adapter, version)
 

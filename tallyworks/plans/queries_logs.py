@@ -79,6 +79,7 @@ def turn_events(spark, d):
     info = packed(total_token_usage=last, last_token_usage=F.when(k % 6 != 0, last))
     turn = F.to_json(packed(timestamp=F.col("at"), payload=packed(type=F.lit("token_count"), info=info)))
     both = as_lines(e.filter(k % 4 == 0), context, F.col("n") * 2).union(as_lines(e, turn, F.col("n") * 2 + 1))
+    both = both.withColumn("block", F.floor(F.col("seq") / 25))  # a file comes in blocks
     return extract.turn_deltas(both, "codex").select("event_id", "model", "input_tokens", "output_tokens", "cache_read_tokens", "total_tokens")
 
 
