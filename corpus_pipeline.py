@@ -7,33 +7,60 @@ can be run again by itself and lost executors cost no more than tasks of one sta
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyworks.llm import mixing, neardup, packing, quality
-from tallyworks.llm.common import stored
+from tallyworks.llm.common import release, scope, stored
 from tallyworks.llm.queries import table, tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+OWN = {"select_quality", "remove_near_duplicates", "mix_sources", "pack_sequences"}
+
+
+def staged(f: Stage) -> Stage:
+    """A stage whose input is written begins without the tables and shuffle files of the others.
+
+    Where the input still reads tables of another stage, because it was not written between, they stay.
+    """
+
+    @wraps(f)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not any("/pipeline-" in x for x in docs.inputFiles()):
+            release(spark, *(f"pipeline-{n}" for n in sorted(OWN - {f.__name__})))
+        with scope(f"pipeline-{f.__name__}"):
+            return f(spark, docs, sf_dir)
+
+    return stage
+
+
+@staged
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal classifier grades as clean; learnt from the labelled ones among them."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), quality.grade_of_labels(), 3)
     return quality.classify(docs, model, tail_from=2).filter("selected").select(*COLUMNS)
 
 
+@staged
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, likeness of 0.8 or more."""
     return neardup.deduplicate(docs, size=5, percent=80).select(*COLUMNS)
 
 
+@staged
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at 0.9 of the largest entropy, at most 4 passes over any, none left out; in block order."""
     mixed = mixing.mix(docs, target_entropy=0.9, most_repeats=4.0)
     return mixed.repartition("mix_block").sortWithinPartitions("mix_block", "mix_order").select(*COLUMNS)
 
 
+@staged
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 tokens, with their ids and a digest of them."""
     packed = packing.pack(docs, tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_scope: ContextVar[str] = ContextVar("scope", default="")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
@@ -39,13 +45,30 @@ def tables_dir(spark: SparkSession) -> str:
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.mkdirs(path):
         fs.deleteOnExit(path)
-    return folder
+    return f"{folder}/{inner}" if (inner := _scope.get()) else folder
+
 
+@contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Tables stored within go to a folder of this name, which release() removes."""
+    before = _scope.set(name)
+    try:
+        yield
+    finally:
+        _scope.reset(before)
 
-def clear_stored(spark: SparkSession) -> None:
-    """Remove the stored tables of this application, once no result that reads them is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+def release(spark: SparkSession, *scopes: str) -> None:
+    """Remove what these scopes have stored (all, if none is named), once no result that reads it is needed any more.
+
+    Shuffle files of results that nobody holds any longer go too.
+    """
+    folder = tables_dir(spark)
+    for name in scopes or ("",):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}" if name else folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()  # the driver's cleaner removes the files of shuffles that neither Python nor the JVM refers to
+    spark._jvm.System.gc()
 
 
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
