@@ -33,7 +33,7 @@ PROBES = 16
 #: Pairs whose signatures agree in less than this share of bins are not confirmed: at a likeness of 0.8 it is four standard deviations off.
 LEAST = 0.7
 #: Nodes of a bucket that meet in one block, and the bytes of their sets.
-BLOCK, BLOCK_BYTES = 4096, 32 << 20
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
 U = np.uint64
 
 
@@ -334,6 +334,8 @@ def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     found = _grouped(docs, size, percent).filter("kept")
     # comp is null for texts without words
     least = found.groupBy("comp", "doc_id", F.when(F.col("comp").isNull(), F.col("text_key")).alias("alone")).agg(F.min("text_key").alias("text_key"))
-    keep = stored(least.select(F.xxhash64(F.struct("doc_id", "text_key")).alias("_at")).distinct(), "nd-kept")
-    at = docs.withColumn("_at", F.xxhash64(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_col()).alias("text_key"))))
-    return at.join(keep, "_at", "left_semi").dropDuplicates(["_at"]).drop("_at")
+    keep = stored(least.select(F.xxhash64(F.struct("doc_id", "text_key")).alias("at")).distinct(), "nd-kept")
+    # the columns of docs as one, so that none is taken for a key
+    at = F.xxhash64(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_col()).alias("text_key"))).alias("at")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), at)
+    return rows.join(keep, "at", "left_semi").dropDuplicates(["at"]).select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
