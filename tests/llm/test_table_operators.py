@@ -138,6 +138,15 @@ def test_mix_positions_and_nothing(spark):
     assert mixing.mix(make(spark, [])).collect() == []
 
 
+def test_positions_with_ties_and_nulls(spark):
+    rows = [(None, 1, 0, 5), (None, 1, 0, 5), (3, 1, 0, 5), (3, 1, 0, 5), (4, 1, 0, 2), (4, 2, 1, 5), (None, 1, 1, 7)]
+    mixed = spark.createDataFrame(rows, "doc_id long, mix_epoch int, mix_block int, mix_order long")
+    got = mixing.positions(mixed, ["doc_id"]).collect()
+    assert Counter((r.doc_id, r.epoch, r.block) for r in got) == Counter(r[:3] for r in rows)
+    assert sorted(r.position for r in got if r.block == 0) == [0, 1, 2, 3, 4] and sorted((r.position, r.doc_id) for r in got if r.block == 1) == [(0, 4), (1, None)]
+    assert [r.doc_id for r in got if r.block == 0 and r.position == 0] == [4]
+
+
 # quality classifier
 
 
@@ -446,3 +455,57 @@ def test_pipeline(spark):
     for _, stage in cp.STAGES[:3]:
         docs = stage(spark, docs, SF)
         assert docs.columns == cp.COLUMNS
+
+
+def test_stages_release_what_is_not_needed(spark):
+    import corpus_pipeline as cp
+    from tallyworks.llm.common import stored, tables_dir
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    unwritten = cp.remove_near_duplicates(spark, docs, SF)
+    assert cp.mix_sources(spark, unwritten, SF).count() > 0  # its input reads the tables of the stage before
+    written = stored(unwritten, "docs")
+    folder = tables_dir(spark).removeprefix("file:")
+    assert "pipeline-remove_near_duplicates" in os.listdir(folder)
+    assert cp.mix_sources(spark, written, SF).count() > 0
+    assert "pipeline-remove_near_duplicates" not in os.listdir(folder)
+
+
+def test_pipeline_against_its_definition(spark, tmp_path):
+    """Exact stages against brute force: one of each group stays, nothing else goes; every source whole, in order of weights; ids packed as they are."""
+    import corpus_pipeline as cp
+    from tallyworks.llm import packing
+    from tallyworks.llm.queries import tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    rows = docs.collect()
+    sets = {}
+    for r in rows:
+        w = (r.text or "").encode().lower().split()
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    group = {i: i for i in sets}
+    for i, j in itertools.combinations(sorted(sets), 2):
+        both = len(sets[i] & sets[j])
+        if sets[i] and sets[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+            a, b = group[i], group[j]
+            group = {k: a if g == b else g for k, g in group.items()}
+    left = cp.remove_near_duplicates(spark, docs, SF)
+    left.write.parquet(str(tmp_path / "left"))
+    left = spark.read.parquet(str(tmp_path / "left"))
+    kept = sorted(r.doc_id for r in left.collect())
+    assert kept == sorted(min(i for i in group if group[i] == g) for g in set(group.values()))
+    mixed = cp.mix_sources(spark, left, SF)
+    times = Counter(r.doc_id for r in mixed.collect())
+    assert sorted(times) == kept and max(times.values()) <= 4
+    packed = cp.pack_sequences(spark, left, SF).collect()
+    encode = packing.WordIds(tokenizer("word_bpe_49k.json"))
+    ids = defaultdict(bytes)
+    for r in sorted(packed, key=lambda r: r.piece):
+        ids[r.doc_id] += bytes(r.ids)
+    assert dict(ids) == {r.doc_id: encode.whole(r.text or "") + (1).to_bytes(4, "little") for r in rows if r.doc_id in set(kept)}
+    by = defaultdict(list)
+    for r in packed:
+        by[r.sequence_id].append((r.offset, r.length))
+    for pieces in by.values():
+        ends = list(itertools.accumulate(n for _, n in sorted(pieces)))
+        assert [o for o, _ in sorted(pieces)] == [0, *ends[:-1]] and ends[-1] <= 4096
