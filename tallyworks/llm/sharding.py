@@ -86,7 +86,7 @@ def choose_blocks(blocks: list[tuple[tuple, int, int, bool]], flow: dict[tuple[i
     return moved
 
 
-def place(docs: DataFrame, shards: int, old_shard: Column | None, capacities: list[int] | None, blocks_per_shard: int, split_over: float) -> tuple[DataFrame, set[int]]:
+def place(docs: DataFrame, shards: int, old_shard: Column | None, capacities: list[int] | None, blocks_per_shard: int, split_over: float, balance: float) -> tuple[DataFrame, set[int]]:
     """(rows, affected): docs as a struct ``doc`` with doc_id, size, text_crc32, old_shard, shard; the shards that give or take any.
 
     Where a row goes follows from its own text and doc_id, so that null and repeated doc_ids are placed a row each.
@@ -103,37 +103,47 @@ def place(docs: DataFrame, shards: int, old_shard: Column | None, capacities: li
     room = [target] * shards if capacities is None else list(capacities)
     if len(room) != shards or min(room) < 0 or sum(room) < total:
         raise ValueError(f"{shards} capacities of {total} bytes in all are needed")
-    most = max(1, int(target * split_over))
-    parts = {(r["old_shard"], r["block"]): -(-4 * r["size"] // most) for r in sums if r["size"] > most}
     spark = docs.sparkSession
-    split = spark.createDataFrame([(*k, v) for k, v in parts.items()], "old_shard int, block int, parts long")
 
-    def with_part(df: DataFrame) -> DataFrame:
+    def with_part(df: DataFrame, split: DataFrame) -> DataFrame:
         return df.join(F.broadcast(split), ["old_shard", "block"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
 
-    pieces = [((r["old_shard"], r["block"], 0), r["old_shard"], r["size"], False) for r in sums if (r["old_shard"], r["block"]) not in parts]
-    if parts:  # at most 4 / split_over parts a shard
-        fine = with_part(light).join(F.broadcast(split.drop("parts")), ["old_shard", "block"], "left_semi").groupBy("old_shard", "block", "part").agg(F.sum("size").alias("size")).collect()
-        pieces += [((r["old_shard"], r["block"], r["part"]), r["old_shard"], r["size"], True) for r in fine]
-    supply = [0] * max([shards, *(r["old_shard"] + 1 for r in sums)])
-    for _, i, size, _ in pieces:
-        supply[i] += size
-    moved = choose_blocks(pieces, min_cost_flow(supply, room))
-    free = list(room)
-    for k, i, size, _ in pieces:
-        if (j := moved.get(k, i)) < shards:
-            free[j] -= size
-    left = [(-size, k) for k, i, size, _ in pieces if k not in moved and (i >= shards or not room[i])]
-    for size, k in sorted(left):  # remainders of shards that are given up
-        moved[k] = max((j for j in range(shards) if room[j]), key=lambda j: (free[j], -j))
-        free[moved[k]] += size
+    def plan(share: float) -> tuple[dict[tuple, int], DataFrame, int]:
+        """(moved blocks, split blocks, the most bytes by which a new shard misses its target), with blocks above this share of a shard split."""
+        most = max(1, int(target * share))
+        parts = {(r["old_shard"], r["block"]): -(-4 * r["size"] // most) for r in sums if r["size"] > most}
+        split = spark.createDataFrame([(*k, v) for k, v in parts.items()], "old_shard int, block int, parts long")
+        pieces = [((r["old_shard"], r["block"], 0), r["old_shard"], r["size"], False) for r in sums if (r["old_shard"], r["block"]) not in parts]
+        if parts:  # at most 4 / share parts a shard
+            fine = with_part(light, split).join(F.broadcast(split.drop("parts")), ["old_shard", "block"], "left_semi").groupBy("old_shard", "block", "part").agg(F.sum("size").alias("size")).collect()
+            pieces += [((r["old_shard"], r["block"], r["part"]), r["old_shard"], r["size"], True) for r in fine]
+        supply = [0] * max([shards, *(r["old_shard"] + 1 for r in sums)])
+        for _, i, size, _ in pieces:
+            supply[i] += size
+        moved = choose_blocks(pieces, min_cost_flow(supply, room))
+        free = list(room)
+        for k, i, size, _ in pieces:
+            if (j := moved.get(k, i)) < shards:
+                free[j] -= size
+        left = [(-size, k) for k, i, size, _ in pieces if k not in moved and (i >= shards or not room[i])]
+        for size, k in sorted(left):  # remainders of shards that are given up
+            moved[k] = max((j for j in range(shards) if room[j]), key=lambda j: (free[j], -j))
+            free[moved[k]] += size
+        off = [abs(x) for x in free] if capacities is None else [-x for x in free]
+        return moved, split, max([0, *off])
+
+    moved, split, off = plan(split_over)
+    if off > balance * target:  # large groups that were kept whole stand in the way
+        finer = plan(min(split_over, balance))
+        if finer[2] < off:
+            moved, split, _ = finer
     moves = spark.createDataFrame([(*k, v) for k, v in moved.items()], "old_shard int, block int, part int, new_shard int")
-    placed = with_part(rows).join(F.broadcast(moves), ["old_shard", "block", "part"], "left")
+    placed = with_part(rows, split).join(F.broadcast(moves), ["old_shard", "block", "part"], "left")
     affected = {x for k, j in moved.items() for x in (k[0], j) if k[0] != j}
     return placed.select("doc", "doc_id", "size", "text_crc32", "old_shard", F.coalesce("new_shard", "old_shard").alias("shard"), F.lit(1).cast("long").alias("one")), affected
 
 
-def reshard(docs: DataFrame, shards: int = 8, old_shard: Column | None = None, blocks_per_shard: int = 512, split_over: float = 1.0, capacities: list[int] | None = None) -> DataFrame:
+def reshard(docs: DataFrame, shards: int = 8, old_shard: Column | None = None, blocks_per_shard: int = 512, split_over: float = 1.0, capacities: list[int] | None = None, balance: float = 1 / 64) -> DataFrame:
     """Give every document a shard so that the shards' bytes are near equal and the fewest bytes move.
 
     :param old_shard: where a document is now, as a whole number from 0; by default ``shards`` shards by the
@@ -141,7 +151,9 @@ def reshard(docs: DataFrame, shards: int = 8, old_shard: Column | None = None, b
     :param blocks_per_shard: blocks of an old shard; shards end equal to about one block.
     :param split_over: a block larger than this share of a shard (a group of copies that no shard can hold)
         is dealt to parts by document, which move apart only if the balance needs it. All other equal texts
-        of one old shard stay together.
+        of one old shard stay together, unless
+    :param balance: shards then miss their target by more than this share of it: groups larger than that share
+        are dealt to parts too.
     :param capacities: the most bytes of each new shard, kept to about one block; by default equal ones that
         just hold all. A shard of capacity 0 is given up.
 
@@ -150,7 +162,7 @@ def reshard(docs: DataFrame, shards: int = 8, old_shard: Column | None = None, b
     a row each. An empty table gives no rows. Other columns are read only if old_shard names them. This is
     the placement alone; :func:`reshard_files` also writes the documents.
     """
-    placed, _ = place(docs, shards, old_shard, capacities, blocks_per_shard, split_over)
+    placed, _ = place(docs, shards, old_shard, capacities, blocks_per_shard, split_over, balance)
     out = running(stored(placed.drop("doc"), "shard-placed"), ["shard"], ["doc_id", "text_crc32"], "one", "slot")
     return out.select("doc_id", "size", "text_crc32", "old_shard", "shard", F.col("slot_before").alias("slot"))
 
@@ -166,7 +178,7 @@ def write_shards(rows: DataFrame, affected: set[int], out_dir: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def reshard_files(docs: DataFrame, out_dir: str, shards: int = 8, old_shard: Column | None = None, blocks_per_shard: int = 512, split_over: float = 1.0, capacities: list[int] | None = None) -> DataFrame:
+def reshard_files(docs: DataFrame, out_dir: str, shards: int = 8, old_shard: Column | None = None, blocks_per_shard: int = 512, split_over: float = 1.0, capacities: list[int] | None = None, balance: float = 1 / 64) -> DataFrame:
     """Place the documents as :func:`reshard` does and rewrite the files of the shards that give or take any.
 
     out_dir holds a folder ``shard=i`` for each shard; those of affected shards are replaced (or removed, if
@@ -175,7 +187,7 @@ def reshard_files(docs: DataFrame, out_dir: str, shards: int = 8, old_shard: Col
     the others as docs has them.
     """
     spark = docs.sparkSession
-    placed, affected = place(docs, shards, old_shard, capacities, blocks_per_shard, split_over)
+    placed, affected = place(docs, shards, old_shard, capacities, blocks_per_shard, split_over, balance)
     # rows of equal doc_id and text, which may be very many, are told apart by their place in the table
     placed = placed.drop("size", "old_shard").withColumn("at", F.monotonically_increasing_id())
     ranked = running(placed, ["shard"], ["doc_id", "text_crc32", "at"], "one", "slot")
