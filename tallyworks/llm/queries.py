@@ -101,6 +101,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of word frequencies between the sources of each language, and the terms that stand out."""
+    from .divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"), least_documents=3, most_terms=200)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
@@ -112,6 +119,7 @@ QUERIES = {
     "op8_lm_scores": op8_lm_scores,
     "op9_fingerprints": op9_fingerprints,
     "op10_sharding": op10_sharding,
+    "op11_divergence": op11_divergence,
 }
 
 # The checksum by its definition, bit by bit: reversed polynomial 0xEDB88320.
@@ -119,6 +127,8 @@ _CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(strin
   lambda c, x: list_reduce(list_concat([xor(c, x)], range(8)), lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)), 4294967295)"""
 _WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES: dict[str, str] = {
     # every query against every vector
     "op4_nearest": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, row_number() OVER () AS r FROM embeddings WHERE vec_id IS NOT NULL),
@@ -150,4 +160,17 @@ p3 AS (SELECT q2.*, CASE WHEN h.n > 0 THEN 0.75e0 * pow(h.n, -0.1e0) ELSE 1e0 EN
 q3 AS (SELECT *, CASE WHEN n3 > 0 THEN (1 - b3) * n3 / hn + b3 * pp ELSE b3 * pp END AS ppp FROM p3)
 SELECT any_value(doc_id) AS doc_id, any_value(q3.held_out) AS held_out, count(*) AS n_tokens, count_if(n1 > 0)::BIGINT AS n_known, any_value(tokens) AS train_tokens,
   round(fsum(log10(p)), 8) AS base_score, round(fsum(log10(ppp)), 8) AS score FROM q3 JOIN d USING (r) GROUP BY r""",
+    # every kept term of a language for every group of it
+    "op11_divergence": rf"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+t AS (SELECT r, lang, source, unnest(words) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+x AS (SELECT g.lang, g.source, k.term, coalesce(c, 0)::HUGEINT AS c FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+y AS (SELECT *, sum(c) OVER (PARTITION BY lang, source) AS n, count(*) OVER (PARTITION BY lang, source) AS v, sum(c) OVER (PARTITION BY lang, term) AS lc FROM x),
+p AS (SELECT *, 1 + 1000000000::HUGEINT * (c + 1) // (n + v) AS p, 1 + 1000000000::HUGEINT * (lc + 1) // (sum(c) OVER (PARTITION BY lang) + v) AS q FROM y),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+entries AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b USING (lang) LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source WHERE a.source <> b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE c > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank FROM entries QUALIFY part = 'pair' OR rank <= 200""",
 }
