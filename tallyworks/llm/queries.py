@@ -108,6 +108,21 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"), least_documents=3, most_terms=200)
 
 
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every text when passages of 20 words or more that start earlier elsewhere go."""
+    from .substrings import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"), window=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents of the highest score for each benchmark item."""
+    from .ranked import build_index, search
+
+    return search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
@@ -120,6 +135,8 @@ QUERIES = {
     "op9_fingerprints": op9_fingerprints,
     "op10_sharding": op10_sharding,
     "op11_divergence": op11_divergence,
+    "op12_substrings": op12_substrings,
+    "op13_search": op13_search,
 }
 
 # The checksum by its definition, bit by bit: reversed polynomial 0xEDB88320.
@@ -173,4 +190,22 @@ pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.
 entries AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b USING (lang) LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source WHERE a.source <> b.source
   UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE c > 0 AND p > q)
 SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank FROM entries QUALIFY part = 'pair' OR rank <= 200""",
+    # every window of every text; those that are not the first of their words cover theirs
+    "op12_substrings": r"""WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT r, i, array_to_string(words[i:i + 19], ' ') AS x FROM (SELECT r, words, unnest(range(1, len(words) - 18)) AS i FROM d)),
+c AS (SELECT r, i FROM w QUALIFY row_number() OVER (PARTITION BY x ORDER BY r, i) > 1),
+g AS (SELECT DISTINCT r, unnest(range(i, i + 20)) AS i FROM c),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d) ANTI JOIN g USING (r, i) GROUP BY r),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r)
+SELECT doc_id, len(words) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r) LEFT JOIN n USING (r)""",
+    # the score of every document for every item
+    "op13_search": rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+n AS (SELECT r, doc_id, len(words) AS n FROM d WHERE len(words) > 0),
+z AS (SELECT count(*) AS n, sum(n)::BIGINT AS l FROM n),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(words) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(z.n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, z GROUP BY term),
+q AS (SELECT row_number() OVER () AS q, item_id, list_distinct(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS terms FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+s AS (SELECT q, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id, sum(w * (1000000000 * tf // (1000 * tf + 20 * (50 + 50 * n.n * z.n // z.l))))::BIGINT AS score
+  FROM (SELECT q, item_id, unnest(terms) AS term FROM q) JOIN p USING (term) JOIN w USING (term) JOIN n USING (r), z GROUP BY q, r HAVING score > 0)
+SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s QUALIFY rank <= 50""",
 }
