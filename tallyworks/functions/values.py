@@ -8,10 +8,20 @@ from pyspark.sql import functions as F
 ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"
 
 
+#: Counts above it are none: doubles, as logs hold them, skip whole numbers from there on.
+MOST_COUNT = (1 << 53) - 1
+#: Milliseconds of the years 1 to 9999.
+FIRST_MS, LAST_MS = -62_135_596_800_000, 253_402_300_799_999
+
+
 def count_or_zero(x: Column) -> Column:
-    """A number as a count: null, NaN, infinite and negative values are 0."""
-    d = x.cast("double")
-    return F.when(d.isNotNull() & ~F.isnan(d) & (d >= 0) & (d < float("inf")), x.cast("long")).otherwise(F.lit(0).cast("long"))
+    """A number as a count: null, NaN, negative values and those above MOST_COUNT are 0."""
+    return F.when(x.try_cast("double").between(0, MOST_COUNT), x.try_cast("long")).otherwise(F.lit(0).cast("long"))
+
+
+def whole_or_zero(x: Column) -> Column:
+    """A number cut to a whole one: null, NaN and those beyond MOST_COUNT, up or down, are 0."""
+    return F.when(x.try_cast("double").between(-MOST_COUNT, MOST_COUNT), x.try_cast("long")).otherwise(F.lit(0).cast("long"))
 
 
 def lenient_number(x: Column, spaces: bool = False, negatives: bool = True) -> Column:
@@ -52,8 +62,10 @@ def iso_or_null(x: Column) -> Column:
 
 
 def from_epoch(x: Column) -> Column:
-    """Timestamp of seconds, or of milliseconds where the number is above 1e12."""
-    return F.timestamp_millis(F.when(x > 1e12, x).otherwise(x * 1000).cast("long"))
+    """Timestamp of seconds, or of milliseconds where the number is above 1e12; null outside the years 1 to 9999."""
+    d = x.try_cast("double")
+    ms = F.when(d > 1e12, d).otherwise(d * 1000)
+    return F.timestamp_millis(F.when(ms.between(FIRST_MS, LAST_MS), ms).cast("long"))
 
 
 def any_time(text: Column, number: Column) -> Column:
@@ -141,4 +153,4 @@ def merged_map(base: Column, over: Column) -> Column:
 
 
 def sum_of_map(m: Column) -> Column:
-    return F.aggregate(F.map_values(m), F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
+    return F.aggregate(F.map_values(m), F.lit(0).cast("long"), lambda a, x: a + whole_or_zero(x))

@@ -98,17 +98,27 @@ def _walk(document: object, most_entries: int | None) -> Iterator[dict]:
         waiting.extend(child for child in ([*x.values()] if isinstance(x, dict) else x[:most_entries]) if isinstance(child, (dict, list)))
 
 
+def _number(x: object, least: float, most: float) -> float | None:
+    """A JSON number within bounds as a double; whole numbers may have any digits."""
+    return float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) and least <= x <= most else None
+
+
+def _string(x: object) -> str | None:
+    """A JSON string, half characters replaced."""
+    return x.encode("utf-8", "replace").decode() if isinstance(x, str) else None
+
+
 def _totals(holder: dict) -> dict | None:
-    """Counts, model and time that an object holds, itself or under ``usage``; null counts as none."""
+    """Counts, model and time that an object holds, itself or under ``usage``; null, and what is no count, counts as none."""
     usage = holder["usage"] if isinstance(holder.get("usage"), dict) else holder
     got = {k: _first(names, usage) for k, names in TOTALS_SO_FAR.items()}
-    got = {k: v if isinstance(v, (int, float)) and not isinstance(v, bool) and 0 <= v < float("inf") else 0 for k, v in got.items()}
+    got = {k: _number(v, 0, values.MOST_COUNT) or 0.0 for k, v in got.items()}
     if not got["input"] + got["output"] + got["read"]:
         return None
     model, time = _first(("model",), usage, holder) or holder.get("modelId"), _first(LINE_TIMES, holder)
     if not model and isinstance(usage.get("modelUsage"), dict):
         model = next(iter(usage["modelUsage"]), None)
-    return got | {"model": model if isinstance(model, str) else None, "text_time": time if isinstance(time, str) else None, "number_time": time if isinstance(time, (int, float)) else None}
+    return got | {"model": _string(model), "text_time": _string(time), "number_time": _number(time, values.FIRST_MS, values.LAST_MS)}
 
 
 def usage_in(line: object, most_entries: int | None = None) -> dict | None:

@@ -116,6 +116,35 @@ def record_events(spark, d):
     return found.select("event_id", "model", "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "total_tokens")
 
 
+# Numbers that are no counts, by id % 7; the last one is a count.
+_ODD = ["1e300", "1" + "0" * 400, "-1", "NaN", "null", "9007199254740994", "5"]
+
+
+@query(
+    f"""WITH {_E}, f AS (SELECT *, unnest(['message', 'turn', 'total', 'record']) AS format, CASE WHEN id % 7 = 6 THEN 5 ELSE 0 END AS good FROM e)
+SELECT format, id % 7 AS odd, count(*) AS events, sum(3 + good)::BIGINT AS total_tokens, sum(good)::BIGINT AS input_tokens,
+  count(*) FILTER (format IN ('total', 'record') OR id % 7 <> 0) AS dated FROM f WHERE format IN ('total', 'record') OR id % 7 <> 0 GROUP BY ALL"""
+)
+def unusable_numbers(spark, d):
+    """Lines of each format with numbers that are no counts, and times beyond the calendar: they count as none, whatever stands beside them counts."""
+    e = numbered(spark, d).withColumn("user_id", F.col("id"))  # a file for each event
+    odd = F.element_at(F.array(*map(F.lit, _ODD)), (F.col("id") % 7 + 1).cast("int"))
+    # where the input is 1e300 the time is too: formats A and B have no event without one, C and D take the file's
+    time = F.when(F.col("id") % 7 == 0, "1e300").otherwise(F.concat(F.lit('"'), "at", F.lit('"')))
+    line = lambda *parts: F.concat(F.lit('{"timestamp":'), time, *[F.lit(p) if isinstance(p, str) else p for p in parts])
+    of = lambda text: as_lines(e, text, F.col("id"))
+    found = {
+        "message": extract.message_usage(of(line(',"message":{"id":"m', F.col("id").cast("string"), '","usage":{"input_tokens":', odd, ',"output_tokens":3}}}')), "claude", KEY),
+        "turn": extract.turn_deltas(of(line(',"payload":{"type":"token_count","info":{"last_token_usage":{"input_tokens":', odd, ',"output_tokens":3}}}}')), "codex"),
+        "total": extract.cumulative_final(of(line(',"usage":{"inputTokens":', odd, ',"outputTokens":3}}')), "grok"),
+        "record": extract.turn_records(of(line(',"usage":{"input_other":', odd, ',"output":3}}')), "kimi"),
+    }
+    # the number's kind is told by the event's file
+    kinds = e.select(extract.fingerprint(F.concat(F.lit("log-"), F.col("id").cast("string"))).alias("source_fingerprint"), (F.col("id") % 7).alias("odd"))
+    parts = [x.join(kinds, "source_fingerprint").groupBy("odd").agg(F.count("*").alias("events"), F.sum("total_tokens").alias("total_tokens"), F.sum("input_tokens").alias("input_tokens"), F.count("occurred_at").alias("dated")).withColumn("format", F.lit(name)) for name, x in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 @query(f"WITH {_E} SELECT {_FILE} AS file, count(*) AS malformed FROM e WHERE k % 4 = 0 GROUP BY 1")
 def malformed_lines(spark, d):
     e = numbered(spark, d)

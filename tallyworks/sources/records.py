@@ -60,7 +60,7 @@ def _parsed(document: str | None) -> object:
 
 def _written(record: dict) -> str | None:
     try:
-        return json.dumps(record, ensure_ascii=False)
+        return json.dumps(record)
     except RecursionError:
         return None
 
@@ -78,9 +78,9 @@ class DailyRecords:
 
 
 def _as_text(x: object) -> str | None:
-    """A JSON scalar as text; None for null, objects and lists."""
+    """A JSON scalar as text, half characters replaced; None for null, objects and lists."""
     if x is None or isinstance(x, (str, dict, list)):
-        return x if isinstance(x, str) else None
+        return x.encode("utf-8", "replace").decode() if isinstance(x, str) else None
     return json.dumps(x)
 
 
@@ -120,8 +120,8 @@ def daily_rows(documents: DataFrame, provider: str) -> DataFrame:
     models = F.coalesce(*[F.from_json(get(k), "array<string>") for k in ("models", "modelsUsed")], *[F.array(get(k)) for k in ("model", "modelName")])
     r = r.select("source", "ord", F.coalesce(*[get(k) for k in DAILY_DATES]).alias("raw_date"), F.coalesce(F.when(own != "all", own), F.lit(provider)).alias("provider"), F.coalesce(text.safe_models(models), F.array().cast("array<string>")).alias("models"), *[_first_number(F.col("record"), a).alias(k) for k, a in DAILY_ALIASES.items()])
     r = r.withColumn("date", F.substring("raw_date", 1, 10).try_cast("date"))
-    counts = [F.col(k).cast("long").alias(k) for k in ("input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens")]
-    r = r.select("source", "ord", "date", "provider", "models", *counts, F.col("reported_total").cast("long").alias("reported_total"), F.when(F.col("cost") > 0, F.col("cost")).alias("estimated_cost_usd"))
+    counts = [values.whole_or_zero(F.col(k)).alias(k) for k in ("input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens")]
+    r = r.select("source", "ord", "date", "provider", "models", *counts, values.whole_or_zero(F.col("reported_total")).alias("reported_total"), F.when(F.col("cost") > 0, F.col("cost")).alias("estimated_cost_usd"))
     r = r.withColumn("cached_tokens", F.col("cache_creation_tokens") + F.col("cache_read_tokens")).withColumn("fresh_tokens", F.col("input_tokens") + F.col("output_tokens"))
     r = r.withColumn("total_tokens", F.col("cached_tokens") + F.col("fresh_tokens"))
     r = r.withColumn("reported_total", F.when((F.col("reported_total") > 0) & (F.col("reported_total") != F.col("total_tokens")), F.col("reported_total")))
@@ -171,7 +171,7 @@ def import_events(rows: DataFrame, source: str, kind: str, provider: str = "impo
     An explicit total is trusted, else it is the sum of the parts; rows without a date or a positive total
     are skipped. Ids hold the row's ordinal, so that the same file again adds nothing.
     """
-    n = {f: F.coalesce(values.lenient_number(F.col(f), spaces=True, negatives=False), F.lit(0.0)).cast("long") for f in ("input", "output", "cache_read", "cache_creation", "total")}
+    n = {f: values.whole_or_zero(values.lenient_number(F.col(f), spaces=True, negatives=False)) for f in ("input", "output", "cache_read", "cache_creation", "total")}
     r = rows.select("ord", values.any_date(F.col("date")).alias("local_date"), text.safe_label(F.coalesce("provider", F.lit(provider)), 40, provider).alias("provider"), text.safe_label(F.col("model"), 80, None).alias("model"), n["input"].alias("input_tokens"), n["output"].alias("output_tokens"), n["cache_creation"].alias("cache_creation_tokens"), n["cache_read"].alias("cache_read_tokens"), n["total"].alias("explicit"))
     parts = F.col("input_tokens") + F.col("output_tokens") + F.col("cache_creation_tokens") + F.col("cache_read_tokens")
     r = r.withColumn("total_tokens", F.when(F.col("explicit") > 0, F.col("explicit")).otherwise(parts)).filter("local_date is not null and total_tokens > 0")

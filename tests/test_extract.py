@@ -70,6 +70,36 @@ def test_turn_records_skip_session_totals(spark, tmp_path):
     assert [r["event_id"] for r in e] == [r["event_id"] for r in read()]
 
 
+ODD = ["1e300", "1" + "0" * 400, "1" + "0" * 5000, "-1", "NaN", "Infinity", "null", "true", '"7x"', "[]", "9007199254740993"]
+
+
+def test_no_number_stops_a_format(spark, tmp_path):
+    """Counts and times that are none, in each format: what is beside them counts; half characters of names do not."""
+    at = '"2026-05-01T10:00:00Z"'
+    for i, x in enumerate(ODD):
+        (tmp_path / f"a{i}.jsonl").write_text(f'{{"timestamp":{at},"message":{{"id":"m{i}","model":"\\ud800x","usage":{{"input_tokens":{x},"output_tokens":3}}}}}}\n')
+        (tmp_path / f"b{i}.jsonl").write_text(f'{{"timestamp":{at},"payload":{{"type":"token_count","info":{{"last_token_usage":{{"input_tokens":{x},"cached_input_tokens":{x},"output_tokens":3}}}}}}}}\n')
+        for j, time in enumerate((at, x)):
+            (tmp_path / f"c{i}{j}.jsonl").write_text(f'{{"timestamp":{time},"model":"\\ud800x","usage":{{"inputTokens":{x},"outputTokens":3}}}}\n')
+            (tmp_path / f"d{i}{j}.jsonl").write_text(f'{{"timestamp":{time},"usage":{{"input_other":{x},"output":3}}}}\n')
+    read = lambda kind, name, **o: extract.extract(lines.read_lines(spark, str(tmp_path), name), kind, provider="p", **o).collect()
+    for rows, times in ((read("message_usage", "a*", key=KEY), 1), (read("turn_deltas", "b*"), 1), (read("cumulative_final", "c*"), 2), (read("turn_records", "d*"), 2)):
+        # 5,000 digits are no number for a JSON parser, which may take the line for broken
+        assert 10 * times <= len(rows) <= 11 * times
+        assert {r.total_tokens for r in rows} == {3} and all(r.occurred_at for r in rows) and {r.model for r in rows} == {None}
+
+
+def test_daily_feeds_and_imports_take_any_number(spark):
+    from tallyworks.sources import records
+
+    bodies = [f'{{"date":"2026-05-01","inputTokens":{x},"outputTokens":3,"totalTokens":{x},"totalCost":{x},"model":"\\ud800"}}' for x in ODD]
+    docs = spark.createDataFrame(list(enumerate(bodies)), "source int, document string")
+    rows = records.daily_rows(docs, "p").collect()
+    assert len(rows) >= 9 and {r.total_tokens for r in rows} <= {3, 2} and {r.reported_total for r in rows} == {None}
+    events = records.import_events(records.import_documents(docs), "s", "json").collect()
+    assert len(events) >= 9 and {r.input_tokens for r in events} == {0}
+
+
 def test_rescans_never_change_totals(spark, tmp_path):
     write(tmp_path / "logs", "a.jsonl", [message(mid=f"m{i}") for i in range(5)])
     path = str(tmp_path / "events")
