@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import handle
 from ..functions.values import fnv1a_base36
+from . import keyindex
+
+#: Files of a store from which its keys are found through an index; fewer are scanned. The rows are the same.
+INDEX_FROM = 64
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -14,10 +20,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _one_of_each(df: DataFrame, keys: list[str], pick: Callable[[Column, Column], Column], order: list[str]) -> DataFrame:
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.groupBy(*[F.col(f"`{k}`").alias(f"_key{i}") for i, k in enumerate(keys)]).agg(pick(row, F.struct(*order)).alias("_row")).select("_row.*")
+
+
 def first_write_wins(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first row of each key in a total order: arrival does not matter."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """The first row of each key in a total order: arrival does not matter.
+
+    Each task keeps one row for a key before the shuffle, so that a key of any number of copies is no load.
+    """
+    return _one_of_each(df, [key], F.min_by, order)
 
 
 def not_stored(df: DataFrame, stored: DataFrame, key: str = "event_id") -> DataFrame:
@@ -35,14 +48,30 @@ def stored_among(stored: DataFrame, keys: DataFrame, key: str, most: int = 1_000
     return stored.select(key).join(F.broadcast(keys) if small else keys, key, "left_semi").distinct()
 
 
-def insert_new(df: DataFrame, path: str, key: str, order: list[str], partition_by: list[str] | None = None) -> dict[str, int]:
-    """Append rows of new keys to the table at path; says how many were inserted and how many were duplicates."""
+def stored_keys(keys: DataFrame, path: str, key: str, index_from: int = INDEX_FROM) -> DataFrame:
+    """Of keys (one column) those that the store at path holds."""
+    spark = keys.sparkSession
+    files = keyindex.store_files(spark, path).persist()
+    try:
+        if files.count() < index_from:
+            return stored_among(spark.read.parquet(path), keys, key)
+        return keyindex.where(keys, path, key, files).select(key).distinct()
+    finally:
+        files.unpersist()
+
+
+def insert_new(df: DataFrame, path: str, key: str, order: list[str], partition_by: list[str] | None = None, index_from: int = INDEX_FROM) -> dict[str, int]:
+    """Append rows of new keys to the table at path; says how many were inserted and how many were duplicates.
+
+    :param index_from: files from which the index of the store's keys is used and kept (see keyindex): a batch
+        then opens only index files that may hold its keys. With fewer files the store's key column is scanned.
+    """
     spark = df.sparkSession
     first = first_write_wins(df, key, order).persist()
     new = first
     if exists(spark, path):
         recover(spark, path)
-        new = first.join(stored_among(spark.read.parquet(path), first.select(key), key), key, "left_anti")
+        new = first.join(stored_keys(first.select(key), path, key, index_from), key, "left_anti")
     new = new.persist()
     try:
         seen, kept = df.count(), new.count()
@@ -93,7 +122,7 @@ def recover(spark: SparkSession, path: str, depth: int | None = None) -> None:
     gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
 
-def insert_or_replace(df: DataFrame, path: str, key: str, order: list[str], partition_by: list[str]) -> dict[str, int]:
+def insert_or_replace(df: DataFrame, path: str, key: str, order: list[str], partition_by: list[str], index_from: int = INDEX_FROM) -> dict[str, int]:
     """Insert rows; one of a stored key takes its place if it differs. Says inserted, replaced and duplicates (the rest).
 
     Of rows of one key the last in ``order`` counts; what only ``order`` says does not make a row differ. Only
@@ -112,9 +141,16 @@ def insert_or_replace(df: DataFrame, path: str, key: str, order: list[str], part
             return {"inserted": n, "replaced": 0, "duplicates": seen - n}
         recover(spark, path, len(partition_by))
         old = spark.read.schema(df.schema).parquet(path)
+        files = keyindex.store_files(spark, path)
+        if files.count() >= index_from:
+            # only files that hold one of the keys are read for what is stored of them
+            names = [r["path"] for r in files.join(keyindex.where(last.select(key), path, key, files).select("file").distinct(), "file", "left_semi").select("path").collect()]
+            holding = spark.read.schema(df.schema).option("basePath", path).parquet(*names) if names else old.limit(0)
+        else:
+            holding = old
         same = [c for c in df.columns if c not in order]
         mine = lambda d: d.select(key, F.struct(*partition_by).alias("_place"), F.xxhash64(F.to_json(F.struct(*same))).alias("_h"))
-        stored = mine(old).join(F.broadcast(last.select(key)) if last.count() <= 1_000_000 else last.select(key), key, "left_semi")
+        stored = mine(holding).join(F.broadcast(last.select(key)) if last.count() <= 1_000_000 else last.select(key), key, "left_semi")
         stored = stored.select(key, F.col("_place").alias("_old"), F.col("_h").alias("_old_h"))
         both = mine(last).join(stored, key, "left").persist()
         new = both.filter("_old_h is null or _old_h <> _h")
@@ -153,8 +189,7 @@ def insert_or_replace(df: DataFrame, path: str, key: str, order: list[str], part
 
 def latest_of_each(updates: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Upsert as a view: the last update of each key."""
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(o) for o in order])
-    return updates.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    return _one_of_each(updates, keys, F.max_by, order)
 
 
 def write_if_changed(df: DataFrame, path: str, order: list[str]) -> str:

@@ -245,11 +245,11 @@ def root_changes(spark, d):
 
 @query(f"WITH {USAGE_SQL} SELECT provider, count(*) AS events, CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM u GROUP BY 1")
 def stored_events(spark, d):
-    """Events inserted in three overlapping batches, some then replaced: each is stored once, as last written."""
+    """Events inserted in overlapping batches, some then replaced: each is stored once, as last written. Keys are found by the store's index."""
     u, path = usage(spark, d).select("event_id", "provider", "total_tokens", "local_date", "k", F.lit(0).alias("written")), scratch(spark, "store")
     for part in ("k % 3 = 0", "k % 3 < 2"):
-        store.insert_new(u.filter(part).withColumn("total_tokens", F.col("total_tokens") + F.when(F.col("k") % 4 == 0, 1).otherwise(0)), path, "event_id", ["event_id"], ["local_date"])
-    store.insert_or_replace(u.withColumn("written", F.lit(1)), path, "event_id", ["written"], ["local_date"])
+        store.insert_new(u.filter(part).withColumn("total_tokens", F.col("total_tokens") + F.when(F.col("k") % 4 == 0, 1).otherwise(0)), path, "event_id", ["event_id"], ["local_date"], index_from=0)
+    store.insert_or_replace(u.withColumn("written", F.lit(1)), path, "event_id", ["written"], ["local_date"], index_from=0)
     return spark.read.parquet(path).groupBy("provider").agg(F.count("*").alias("events"), F.sum("total_tokens").alias("total_tokens"))
 
 
