@@ -58,6 +58,12 @@ def scope(name: str) -> Iterator[None]:
         _scope.reset(before)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Remove the files of shuffles that neither Python nor the JVM refers to any longer: the driver's cleaner does, once it knows."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def release(spark: SparkSession, *scopes: str) -> None:
     """Remove what these scopes have stored (all, if none is named), once no result that reads it is needed any more.
 
@@ -67,8 +73,7 @@ def release(spark: SparkSession, *scopes: str) -> None:
     for name in scopes or ("",):
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}" if name else folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()  # the driver's cleaner removes the files of shuffles that neither Python nor the JVM refers to
-    spark._jvm.System.gc()
+    collect_garbage(spark)
 
 
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stored, text_col
+from .common import collect_garbage, partitions, stored, text_col
 from .fmindex import FMIndex
 from .neardup import mix
 
@@ -194,32 +194,30 @@ def _judge(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
         yield judge(carry)
 
 
-def _contents(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """BLOCKS with the segments asked for -> their words."""
+def _asked(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """BLOCKS with the segments asked for -> SEGMENTS with their words, and without, under a hash of its words, each window of those that fall into windows."""
+    names = [x.split()[0] for x in SEGMENTS.split(", ")]
     for batch in batches:
         for row in batch.to_pylist():
             b = Block(row)
-            start = np.array([r["start"] for r in row["asked"]], np.int64)
-            n = np.array([r["n"] for r in row["asked"]], np.int64)
-            doc_id, key = b.places(start)
-            words = [b" ".join(b.words[i : i + k + window - 1]) for i, k in zip(start.tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r["anchor"] for r in row["asked"]], pa.int64()), doc_id, key, pa.array(np.full(len(start), b.number)), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(words, pa.binary())], ["anchor", "doc_id", "key", "block", "start", "n", "words"])
-
-
-def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """BLOCKS with the segments that fall into windows -> SEGMENTS of one window, under a hash of its words."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            b = Block(row)
-            n = np.array([r["n"] for r in row["asked"]], np.int64)
-            start = np.repeat([r["start"] for r in row["asked"]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            start = np.unique(start)
-            a = b.hashes()
-            one, two = a[start], a[start] ^ BASE
-            with np.errstate(over="ignore"):
-                for i in range(1, window):
-                    one, two = mix(one * BASE + a[start + i]), mix((two + a[start + i]) * INVERSE)
-            yield _rows(b, one, two, start, np.ones(len(start), np.int64), window)
+            whole = [r for r in row["asked"] if r["kind"] == SHARED]
+            if whole:
+                start = np.array([r["start"] for r in whole], np.int64)
+                doc_id, key = b.places(start)
+                words = [b" ".join(b.words[r["start"] : r["start"] + r["n"] + window - 1]) for r in whole]
+                cols = [pa.array([r["anchor"] for r in whole], pa.int64()), pa.nulls(len(whole), pa.int64()), doc_id, key, pa.array(np.full(len(whole), b.number)), pa.array(start, pa.int32()), pa.array([r["n"] for r in whole], pa.int32()), pa.array(words, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, [*names, "words"])
+            parted = [r for r in row["asked"] if r["kind"] == SPLIT]
+            if parted:
+                n = np.array([r["n"] for r in parted], np.int64)
+                start = np.unique(np.repeat([r["start"] for r in parted], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+                a = b.hashes()
+                one, two = a[start], a[start] ^ BASE
+                with np.errstate(over="ignore"):
+                    for i in range(1, window):
+                        one, two = mix(one * BASE + a[start + i]), mix((two + a[start + i]) * INVERSE)
+                single = _rows(b, one, two, start, np.ones(len(start), np.int64), window)
+                yield single.append_column("words", pa.nulls(single.num_rows, pa.binary()))
 
 
 def _earlier(t: pa.Table, window: int) -> pa.Table:
@@ -320,16 +318,19 @@ def remove_repeats(docs: DataFrame, window: int = 20, most: int = MOST, shard_wo
         return blocks.join(light.hint("merge"), "block", how)
 
     told = judged(blocks.mapInArrow(partial(_segments, window=window), SEGMENTS), "ss-judged")
+    collect_garbage(spark)
     runs = told.filter(F.col("kind") == COVERED).select("block", "start", "n")
     counts = told.groupBy("kind").agg(F.sum(F.col("n") + F.lit(window)).alias("words")).collect()
     words = {r["kind"]: r["words"] for r in counts}
-    if words.get(SHARED):
-        shared = asked(told.filter(F.col("kind") == SHARED).select("block", "start", "n", "anchor"), "inner")
-        shard = F.pmod(F.xxhash64("anchor"), F.lit(max(parts, -(-words[SHARED] // shard_words))).cast("long")).alias("shard")
-        contents = shared.mapInArrow(partial(_contents, window=window), "anchor long, doc_id long, key int, block long, start int, n int, words binary").withColumn("shard", shard)
-        runs = runs.union(stored(contents.groupBy("shard").applyInArrow(lambda t: _earlier(t, window), RUNS), "ss-earlier"))
-    if words.get(SPLIT):
-        split = asked(told.filter(F.col("kind") == SPLIT).select("block", "start", "n"), "inner")
-        single = judged(split.mapInArrow(partial(_windows, window=window), SEGMENTS), "ss-windows")
-        runs = runs.union(single.filter(F.col("kind") == COVERED).select("block", "start", "n"))
+    if words.keys() & {SHARED, SPLIT}:
+        open_ = told.filter(F.col("kind") != COVERED)
+        found = stored(asked(open_, "inner").mapInArrow(partial(_asked, window=window), f"{SEGMENTS}, words binary"), "ss-asked")
+        collect_garbage(spark)
+        shard = F.pmod(F.xxhash64("anchor"), F.lit(max(parts, -(-words.get(SHARED, 0) // shard_words))).cast("long")).alias("shard")
+        shared = found.filter("words is not null").drop("content").withColumn("shard", shard)
+        runs = runs.union(stored(shared.groupBy("shard").applyInArrow(lambda t: _earlier(t, window), RUNS), "ss-earlier"))
+        if SPLIT in words:
+            single = judged(found.filter("words is null").drop("words"), "ss-windows")
+            runs = runs.union(single.filter(F.col("kind") == COVERED).select("block", "start", "n"))
+        collect_garbage(spark)
     return asked(runs, "left").mapInArrow(partial(_removed, window=window), RESULT)
