@@ -33,7 +33,7 @@ from .common import partitions, stored, text_col
 #: Bytes to what is left of them: A-Z lower-cased, other ASCII that is no letter or digit a blank; all others stay.
 TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 #: Terms of a shard; postings of a block at most; the price of a block, in mean impacts of its list.
-SHARD_TERMS, LONGEST, PRICE = 3_000_000, 64, 2.0
+SHARD_TERMS, LONGEST, PRICE = 3_000_000, 64, 0.25
 #: Items, and bytes of their texts, that are searched for in one pass over the index: what is broadcast.
 CHUNK_ITEMS, CHUNK_BYTES = 2_000, 4 << 20
 #: A row for each term of a shard (ids: places of its documents, counts), and one with term null: its documents and their lengths.
@@ -173,21 +173,24 @@ class Shard:
         bound = np.cumsum(change)[: self.n_docs]
         by_bound = np.flatnonzero((bound > 0) & (bound >= threshold))
         by_bound = by_bound[np.argsort(-bound[by_bound], kind="stable")]
-        places, scores, at, size = none, none, 0, 8 * k
+        places, scores, at, size = none, none, 0, 2 * k
+        score, closed = np.zeros(self.n_docs, np.int64), np.ones(len(block), bool)
         while at < len(by_bound) and bound[by_bound[at]] >= threshold:
             some = by_bound[at : at + size]
             some = some[bound[some] >= threshold]
-            at, size = at + len(some), 4 * size
+            at, size = at + len(some), 2 * size
             wanted = np.zeros(self.n_docs + 1, np.int64)
             wanted[some + 1] = 1
             before = np.cumsum(wanted)
-            open_ = np.flatnonzero(before[last + 1] > before[first])
+            # a block is opened once, for all its documents
+            open_ = np.flatnonzero(closed & (before[last + 1] > before[first]))
+            closed[open_] = False
             n = hi[open_] - lo[open_]
             posting = np.repeat(lo[open_], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             self.opened += len(posting)
-            score = np.bincount(self.ids[posting], np.repeat(weight[open_], n) * self.impacts[posting], self.n_docs)[some].astype(np.int64)
-            good = score >= max(1, threshold)
-            places, scores = np.r_[places, some[good]], np.r_[scores, score[good]]
+            score += np.bincount(self.ids[posting], np.repeat(weight[open_], n) * self.impacts[posting], self.n_docs).astype(np.int64)
+            good = some[score[some] >= max(1, threshold)]
+            places, scores = np.r_[places, good], np.r_[scores, score[good]]
             if len(scores) >= k:
                 threshold = max(threshold, int(np.partition(scores, -k)[-k]))
         return places, scores
