@@ -13,7 +13,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, running, stored, text_col
@@ -107,8 +107,10 @@ def mix(docs: DataFrame, target_entropy: float = 0.9, most_repeats: float = 4.0,
 
     Returns the columns of docs, then mix_tokens, mix_epoch (from 0), mix_block and mix_order (random order
     within the block); own columns of these names are replaced. A null source is a source of its own.
-    Null text counts as empty (one token, the end). Equal rows are mixed row by row, but share their place
-    in the random order, so that a part pass holds all of them or none. An empty table gives no rows.
+    Null text counts as empty (one token, the end). Equal rows share their place in the random order, one
+    after another; where a block or the quota ends among them they are numbered, so that a part pass holds as
+    many of them as the quota does. A quota is met to within one document; one of nothing takes nothing, and
+    neither does a budget of 0 or less. An empty table gives no rows.
     """
     n_tokens = (F.size(F.regexp_extract_all(text_col(), F.lit(f"({WORD})"))) + 1 if tokens is None else tokens).cast("long")
     own = [c for c in docs.columns if c not in ("mix_tokens", "mix_epoch", "mix_block", "mix_order")]
@@ -130,17 +132,36 @@ def mix(docs: DataFrame, target_entropy: float = 0.9, most_repeats: float = 4.0,
         planned = sizes.select("source", F.round(quota / F.col("tokens"), 9).alias("passes"), quota.alias("quota"))
     planned = stored(planned, "mix-plan")
     order = F.xxhash64(F.lit(seed), F.col("epoch"), F.col("id")).alias("order")
-    passes = lambda x: met(x, planned, ["source"], most_sources).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.ceil("passes").cast("int") - 1))).select("*", order)
-    # where each (source, pass) enters each block, as a bound on the random order
+    some_passes = planned.filter(F.ceil("passes") >= 1)
+    passes = lambda x: met(x, some_passes, ["source"], most_sources).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.ceil("passes").cast("int") - 1))).select("*", order)
+    # where each (source, pass) enters each block, as bounds on the random order; block n_blocks is what the quota leaves out
     each = stored(passes(light), "mix-passes")
     summed = running(each, ["source", "epoch"], ["order"], "tokens", "t")
     before = F.col("epoch") * F.col("t_total") + F.col("t_before")
-    placed = summed.withColumn("block", F.floor(before * n_blocks / F.col("quota"))).filter((F.col("block") < n_blocks) & (F.col("epoch") + F.col("t_before") / F.col("t_total") < F.col("passes")))
-    bounds = placed.groupBy("source", "epoch", "block").agg(F.max("order").alias("last"))
-    # n_blocks bounds at most for each pass
-    bounds = stored(bounds.groupBy("source", "epoch").agg(F.array_sort(F.collect_list(F.struct("block", "last"))).alias("bounds")), "mix-bounds")
-    out = met(passes(d), bounds, ["source", "epoch"], most_sources)
-    out = out.withColumn("block", F.get(F.filter("bounds", lambda b: b["last"] >= F.col("order")), F.lit(0))["block"].cast("int")).filter(F.col("block").isNotNull())
+    block = F.floor(before * n_blocks / F.col("quota"))
+    inside = (block < n_blocks) & (F.col("epoch") + F.col("t_before") / F.col("t_total") < F.col("passes"))
+    placed = summed.withColumn("block", F.when(inside, block).otherwise(n_blocks))
+    bounds = placed.groupBy("source", "epoch", "block").agg(F.min("order").alias("first"), F.max("order").alias("last"))
+    # n_blocks + 1 bounds at most for each pass
+    bounds = bounds.groupBy("source", "epoch").agg(F.array_sort(F.collect_list(F.struct("block", "first", "last"))).alias("bounds"))
+    # orders that more than one block has: equal rows among which a block ends
+    ends = F.zip_with(F.slice("bounds", 1, F.size("bounds") - 1), F.slice("bounds", 2, F.size("bounds")), lambda x, y: F.when(x["last"] == y["first"], x["last"]))
+    bounds = stored(bounds.withColumn("tied", F.array_distinct(F.array_compact(ends))), "mix-bounds")
+    named = met(passes(d), bounds, ["source", "epoch"], most_sources)
+    is_tied = F.array_contains("tied", F.col("order"))
+    plain = named.filter(~is_tied).withColumn("block", F.get(F.filter("bounds", lambda b: b["last"] >= F.col("order")), F.lit(0))["block"])
+    columns = ["doc", "id", "tokens", "epoch", "block"]
+    out = plain.select(*columns)
+    ties = stored(bounds.select("source", "epoch", F.explode("tied").alias("order")), "mix-ties")
+    if not ties.isEmpty():
+        key = ["source", "epoch", "order"]
+        shares_of = met(placed, ties, key, most_sources).groupBy(*key, "block").agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy(*key).orderBy("block"))  # n_blocks + 1 rows at most
+        shares_of = stored(shares_of.withColumn("upto", upto).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("upto", "block"))).alias("shares")), "mix-shares")
+        rows = named.filter(is_tied).drop("bounds", "tied").withColumns({"one": F.lit(1).cast("long"), "any": F.rand(seed)})
+        numbered = met(running(rows, key, ["any"], "one", "copy"), shares_of, key, most_sources)
+        out = out.union(numbered.withColumn("block", F.get(F.filter("shares", lambda x: x["upto"] > F.col("copy_before")), F.lit(0))["block"]).select(*columns))
+    out = out.filter(F.col("block") < n_blocks).withColumn("block", F.col("block").cast("int"))
     mixed = [F.col("tokens").alias("mix_tokens"), F.col("epoch").alias("mix_epoch"), F.col("block").alias("mix_block"), F.xxhash64(F.lit(seed), F.col("block"), F.col("epoch"), F.col("id")).alias("mix_order")]
     return out.select(*[F.col(f"doc.`{c}`").alias(c) for c in own], *mixed)
 

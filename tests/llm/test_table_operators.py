@@ -78,13 +78,11 @@ def brute_mix(spark, rows, size, n_blocks, seed, target, most, budget):
     for s, t in tokens.items():
         mine, quota = [r for r in hashed if r.source == s], w[s] * total
         for e in range(math.ceil(round(quota / t, 6))):
-            before, block = 0, {}
+            before = 0
             for r in sorted(mine, key=lambda r: r.h[e]):
                 b = math.floor((e * t + before) * n_blocks / quota + 1e-9)
-                if r.h[e] not in block:
-                    block[r.h[e]] = b if b < n_blocks and (e * t + before) / quota < 1 - 1e-9 else None
-                if block[r.h[e]] is not None:
-                    out[r.doc_id, r.text, s, e, block[r.h[e]]] += 1
+                if b < n_blocks and (e * t + before) / quota < 1 - 1e-9:
+                    out[r.doc_id, r.text, s, e, b] += 1
                 before += size(r.text)
     return out
 
@@ -119,6 +117,32 @@ def test_mix(spark, options):
         assert {x[:3] for x in found} == set(rows)  # none is left out
 
 
+@pytest.mark.parametrize("budget", [-5, 0, 1, 37, 2000, None])
+def test_shares_where_rows_repeat(spark, budget):
+    """Half of the rows are one row: every source has its weight of the budget to within a document, in all and in each block."""
+    rows = [(1, "one and the same row", "big")] * 1000 + [(i, "w " * (i % 9), "big") for i in range(1000)] + [(i, "v " * 3, "small") for i in range(150)] + [(2, "two words", "tiny")] * 9
+    size, n_blocks = (lambda x: len(x.split()) + 1), 8
+    got = mixing.mix(make(spark, rows).repartition(5), n_blocks=n_blocks, budget=budget).collect()
+    if budget is not None and budget <= 0:
+        assert got == []
+        return
+    tokens = Counter()
+    for _, x, s in rows:
+        tokens[s] += size(x)
+    w = brute_exponent(tokens, 0.9, 4.0, budget)
+    total = budget if budget is not None else max(t / w[s] for s, t in tokens.items())
+    taken, by_block = Counter(), Counter()
+    for r in got:
+        taken[r.source] += r.mix_tokens
+        by_block[r.source, r.mix_block] += r.mix_tokens
+    largest = {s: max(size(x) for _, x, t in rows if t == s) for s in tokens}
+    for s in tokens:
+        assert -1e-3 <= taken[s] - w[s] * total <= largest[s]
+        assert all(abs(by_block[s, b] - w[s] * total / n_blocks) <= largest[s] + 1e-3 for b in range(n_blocks))
+    if budget is None:
+        assert Counter((r.doc_id, r.text, r.source) for r in got if not r.mix_epoch) == Counter(rows)
+
+
 def test_mix_keeps_columns_of_any_name(spark):
     names = ["_id", "_source", "_epochs", "_quota", "_order", "_bounds", "id", "salt", "passes", "epoch", "block", "tokens", "doc", "mix_block", "order", "bounds", "a b.c"]
     docs = make(spark, some_sources()[:50]).select("doc_id", "text", "source", *[F.lit(n).alias(n) for n in names])
