@@ -14,28 +14,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyworks.llm import mixing, neardup, packing, quality
-from tallyworks.llm.common import release, scope, stored
+from tallyworks.llm.common import exists, stored, sweep
 from tallyworks.llm.queries import table, tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-OWN = {"select_quality", "remove_near_duplicates", "mix_sources", "pack_sequences"}
 
 
 def staged(f: Stage) -> Stage:
-    """A stage whose input is written begins without the tables and shuffle files of the others.
-
-    Where the input still reads tables of another stage, because it was not written between, they stay.
-    """
+    """A stage that leaves no tables and shuffle files behind but those that its result, or another DataFrame still held, reads."""
 
     @wraps(f)
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if not any("/pipeline-" in x for x in docs.inputFiles()):
-            release(spark, *(f"pipeline-{n}" for n in sorted(OWN - {f.__name__})))
-        with scope(f"pipeline-{f.__name__}"):
-            return f(spark, docs, sf_dir)
+        out = f(spark, docs, sf_dir)
+        sweep(spark)
+        return out
 
     return stage
 
@@ -78,11 +73,25 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All stages over the documents of sf_dir.
+
+    :param folder: shared folder, one for each input, in which the results of the stages stay: a run whose
+        driver was lost goes on after the last stage that was written whole. Without one they are the
+        application's, and go when nothing reads them any longer.
+
+    The result can be read for as long as it is held, whatever runs begin meanwhile.
+    """
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = stored(docs, name.replace(" ", "-"))
+        title = f"{i + 1}-{name.replace(' ', '-')}"
+        if folder is not None:
+            path = f"{folder.rstrip('/')}/{title}"
+            if not exists(spark, f"{path}/_SUCCESS"):
+                stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+            docs = spark.read.parquet(path)
+        else:
+            docs = stage(spark, docs, sf_dir)
+            docs = stored(docs, title) if i + 1 < len(STAGES) else docs
+        sweep(spark)
     return docs
