@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -71,18 +73,53 @@ def release(spark: SparkSession, *scopes: str) -> None:
     """
     folder = tables_dir(spark)
     for name in scopes or ("",):
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}" if name else folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, f"{folder}/{name}" if name else folder)
     collect_garbage(spark)
 
 
+#: Stored tables: the application, a weak reference to what every DataFrame that reads one holds, and its folder.
+_tables: list[tuple[str, Any, str]] = []
+
+
+def exists(spark: SparkSession, file: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Remove the stored tables, and the shuffle files, that no DataFrame refers to any longer.
+
+    A DataFrame, and whatever is derived from it, keeps the tables it reads (one that lives on as an RDD alone
+    does not).
+    """
+    own = spark.sparkContext.applicationId
+    _tables[:] = [t for t in _tables if t[0] == own]  # those of applications that have ended are gone with them
+    waited = 0
+    while _tables and waited < 3:  # the JVM learns a moment later what Python has let go
+        collect_garbage(spark)
+        gone = [t for t in _tables if t[1].get() is None]
+        for _, _, folder in gone:
+            _delete(spark, folder)
+        _tables[:] = [t for t in _tables if t not in gone]
+        waited = 0 if gone else waited + 1
+        time.sleep(0.1)
+
+
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    files = out._jdf.queryExecution().analyzed().relation().location()
+    _tables.append((spark.sparkContext.applicationId, spark._jvm.java.lang.ref.WeakReference(files), path))
+    return out
 
 
 def partitions(spark: SparkSession) -> int:

@@ -481,18 +481,61 @@ def test_pipeline(spark):
         assert docs.columns == cp.COLUMNS
 
 
-def test_stages_release_what_is_not_needed(spark):
+def test_tables_stay_while_something_reads_them(spark):
+    import gc
+
     import corpus_pipeline as cp
-    from tallyworks.llm.common import stored, tables_dir
+    from tallyworks.llm.common import sweep, tables_dir
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
-    unwritten = cp.remove_near_duplicates(spark, docs, SF)
-    assert cp.mix_sources(spark, unwritten, SF).count() > 0  # its input reads the tables of the stage before
-    written = stored(unwritten, "docs")
     folder = tables_dir(spark).removeprefix("file:")
-    assert "pipeline-remove_near_duplicates" in os.listdir(folder)
-    assert cp.mix_sources(spark, written, SF).count() > 0
-    assert "pipeline-remove_near_duplicates" not in os.listdir(folder)
+    tables = lambda prefix: {x for x in os.listdir(folder) if x.startswith(prefix)}
+    sweep(spark)
+    docs, before = spark.read.parquet(f"{SF}/documents.parquet").limit(60), tables("nd-")
+    left = cp.remove_near_duplicates(spark, docs, SF)
+    assert len(tables("nd-") - before) == 1  # of a dozen, the one that says which documents stay
+    n = left.count()
+    derived = left.select("doc_id")
+    del left
+    gc.collect()
+    assert cp.mix_sources(spark, docs, SF).count() > 0
+    assert derived.count() == n
+
+
+@with_tables
+def test_results_outlive_other_runs_and_runs_resume(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    os.mkdir(tmp_path / "sf")
+    docs.write.parquet(str(tmp_path / "sf/documents.parquet"))
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "sf/labels.parquet"))
+    sf, calls = str(tmp_path / "sf"), []
+
+    def failing(f, name, fail):
+        def stage(*args):
+            calls.append(name)
+            if fail():
+                raise RuntimeError("lost")
+            return f(*args)
+
+        return stage
+
+    lost = [True]
+    monkeypatch.setattr(cp, "STAGES", [(n, failing(f, n, lambda n=n: n == "mixing sources to target weights" and lost[0])) for n, f in cp.STAGES])
+    lost[0] = False
+    one = cp.run(spark, sf)
+    n = one.count()
+    cp.select_quality(spark, docs, sf).count()
+    two = cp.run(spark, sf)
+    assert two.count() == n == one.count()
+    lost[0], folder = True, str(tmp_path / "run")
+    with pytest.raises(RuntimeError):
+        cp.run(spark, sf, folder)
+    lost[0] = False
+    calls.clear()
+    assert cp.run(spark, sf, folder).count() == n and calls == ["mixing sources to target weights", "best-fit packing"]
+    calls.clear()
+    assert cp.run(spark, sf, folder).count() == n and not calls
 
 
 def test_pipeline_against_its_definition(spark, tmp_path):
