@@ -46,32 +46,47 @@ def message_usage(lines: DataFrame, provider: str, key: bytes, adapter: str = "j
     return _events(e.withColumn("source_fingerprint", fingerprint(F.col("file"))).drop("message_id", "request_id", "file"), provider, adapter, version)
 
 
-def turn_deltas(lines: DataFrame, provider: str, adapter: str = "turns", version: str = "1.0.0") -> DataFrame:
-    """Format B: each turn's usage, with the model named in an earlier line of the file.
-
-    Cached input is part of the input. Computed from a file's start; a running total is never read. Lines are
-    ordered within the blocks of a file, and what each block hands on - the model last named, the turns so far -
-    is carried over its blocks, so that a large file is not one task.
-    """
+def _turns(lines: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(usage lines with the model named last and the turn's number, what each file hands on: file, model, turns)."""
     last = "struct<input_tokens:double,cached_input_tokens:double,output_tokens:double>"
     schema = f"type string, timestamp string, payload struct<type:string,model:string,info:struct<last_token_usage:{last}>>"
     j = lines.select("file", "block", "seq", F.from_json("line", schema).alias("j")).select("file", "block", "seq", "j.*")
     context = F.coalesce((F.col("payload.type") == "turn_context") | (F.col("type") == "turn_context"), F.lit(False))
     usage = F.col("payload.info.last_token_usage")
-    cached = values.count_or_zero(usage["cached_input_tokens"])
     whole, out = values.count_or_zero(usage["input_tokens"]), values.count_or_zero(usage["output_tokens"])
     at = values.iso_or_null(F.col("timestamp"))
     is_event = F.coalesce(~context & (F.col("payload.type") == "token_count") & usage.isNotNull() & (whole + out > 0) & at.isNotNull(), F.lit(False))
     named = F.when(context, text.safe_model(F.col("payload.model")))
-    some = j.filter(context | is_event).withColumns({"is_event": is_event, "named": named})
+    some = j.filter(context | is_event).select("file", "block", "seq", is_event.alias("is_event"), named.alias("named"), at.alias("occurred_at_raw"), whole.alias("whole"), out.alias("out"), values.count_or_zero(usage["cached_input_tokens"]).alias("cached"))
     handed = some.groupBy("file", "block").agg(F.max_by("named", F.when(F.col("named").isNotNull(), F.col("seq"))).alias("last_named"), F.count_if("is_event").alias("turns"))
+    if before is not None:  # as a block before all others
+        handed = handed.unionByName(before.select("file", F.lit(-1).cast("long").alias("block"), F.col("model").alias("last_named"), "turns"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    after = handed.groupBy("file").agg(F.max_by("last_named", F.when(F.col("last_named").isNotNull(), F.col("block"))).alias("model"), F.sum("turns").alias("turns"))
     handed = handed.select("file", "block", F.last("last_named", ignorenulls=True).over(earlier).alias("model_before"), F.coalesce(F.sum("turns").over(earlier), F.lit(0)).alias("turns_before"))
     w = Window.partitionBy("file", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = some.withColumns({"model_here": F.last("named", ignorenulls=True).over(w), "turns_here": F.sum(F.col("is_event").cast("long")).over(w)}).filter("is_event")
-    j = own.join(handed, ["file", "block"]).select("file", "is_event", F.coalesce("model_here", "model_before").alias("model"), (F.col("turns_before") + F.col("turns_here")).alias("turn"), at.alias("occurred_at_raw"), F.greatest(whole - cached, F.lit(0)).alias("input_tokens"), out.alias("output_tokens"), F.lit(0).cast("long").alias("cache_creation_tokens"), cached.alias("cache_read_tokens"), (whole + out).alias("total_tokens"), fingerprint(F.col("file")).alias("source_fingerprint"))
-    e = j.filter("is_event").withColumn("event_id", values.short_hash(F.lit(provider), F.col("occurred_at_raw"), F.col("model"), F.col("input_tokens"), F.col("output_tokens"), F.col("cache_read_tokens"), F.col("source_fingerprint"), F.col("turn")))
-    return _events(e.drop("is_event", "turn", "file").withColumn("session_pseudonym", F.lit(None).cast("string")), provider, adapter, version)
+    return own.join(handed, ["file", "block"]), after
+
+
+def turn_state(lines: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """What files hand on after these lines: file, model, turns. See ``before`` of :func:`turn_deltas`."""
+    return _turns(lines, before)[1]
+
+
+def turn_deltas(lines: DataFrame, provider: str, adapter: str = "turns", version: str = "1.0.0", before: DataFrame | None = None) -> DataFrame:
+    """Format B: each turn's usage, with the model named in an earlier line of the file.
+
+    Cached input is part of the input. Computed from a file's start; a running total is never read. Lines are
+    ordered within the blocks of a file, and what each block hands on - the model last named, the turns so far -
+    is carried over its blocks, so that a large file is not one task.
+
+    :param before: what files handed on before these lines (file, model, turns), where the lines are not all.
+    """
+    j = _turns(lines, before)[0]
+    e = j.select(F.coalesce("model_here", "model_before").alias("model"), (F.col("turns_before") + F.col("turns_here")).alias("turn"), "occurred_at_raw", F.greatest(F.col("whole") - F.col("cached"), F.lit(0)).alias("input_tokens"), F.col("out").alias("output_tokens"), F.lit(0).cast("long").alias("cache_creation_tokens"), F.col("cached").alias("cache_read_tokens"), (F.col("whole") + F.col("out")).alias("total_tokens"), fingerprint(F.col("file")).alias("source_fingerprint"))
+    e = e.withColumn("event_id", values.short_hash(F.lit(provider), F.col("occurred_at_raw"), F.col("model"), F.col("input_tokens"), F.col("output_tokens"), F.col("cache_read_tokens"), F.col("source_fingerprint"), F.col("turn")))
+    return _events(e.drop("turn").withColumn("session_pseudonym", F.lit(None).cast("string")), provider, adapter, version)
 
 
 # Names that cumulative lines use, in the order they are tried.
