@@ -221,6 +221,20 @@ class Automaton:
         return out
 
 
+def ranges(keys: np.ndarray, kind: int, n_buckets: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, first, end) of sorted keys, for the buckets that have some: never more than keys, however many buckets there are."""
+    bucket = (keys >> np.uint64(32 if kind == 1 else 32 - SPARE)) * np.uint64(n_buckets) >> np.uint64(32)
+    cuts = np.flatnonzero(np.diff(bucket, prepend=np.uint64(n_buckets)))
+    if not len(cuts):
+        return iter(())
+    return zip(bucket[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True)
+
+
+def tokens_of_bucket(tokens: int, least: int, most: int = 4_000_000) -> int:
+    """Tokens of a range of hashes: they grow with the root of the corpus, up to what a task holds, so that blocks meet fewer ranges."""
+    return max(least, min(most, 40 * math.isqrt(tokens)))
+
+
 def scores(b: Block, a: Automaton, n: int) -> pa.RecordBatch:
     cuts = [*b.first.tolist(), len(b.places)]
 
@@ -238,7 +252,7 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, backoff: tuple[f
 
     :param backoff, power: of b above, for contexts of one symbol, of two and so on; their number plus one is
         the order of the model (trigrams by default).
-    :param block_tokens: tokens of a block. :param bucket_tokens: training n-grams of a range of hashes, about.
+    :param block_tokens: tokens of a block. :param bucket_tokens: training n-grams of a range of hashes, at least (about).
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Null text counts as
     empty: its end alone is scored. A null doc_id hashes as the empty text. Repeated rows are scored, and
@@ -250,7 +264,7 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, backoff: tuple[f
     size = held.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
     least = partitions(docs.sparkSession)
     # tasks stay as large as they are however many texts there come to be
-    n_buckets = max(least, -(-size["tokens"] // bucket_tokens))
+    n_buckets = max(least, -(-size["tokens"] // tokens_of_bucket(size["tokens"], bucket_tokens)))
     bucket_parts, block_parts = max(least, -(-order * n_buckets // 4)), max(least, -(-size["blocks"] // 2))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,9 +273,7 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, backoff: tuple[f
             for r in batch.to_pylist():
                 b = Block(r["doc_ids"], r["lengths"], r["words"], r["places"], folds, fold, order)
                 for kind, keys, counts in b.asks():
-                    top = keys >> np.uint64(32 if kind == 1 else 32 - SPARE)
-                    cuts = np.searchsorted(top * np.uint64(n_buckets) >> np.uint64(32), np.arange(n_buckets + 1, dtype=np.uint64))
-                    rows = [(kind, j, r["block"], squeeze_sorted(keys[i:k]), squeeze(counts[i:k].astype(np.uint32))) for j, (i, k) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if k > i]
+                    rows = [(kind, j, r["block"], squeeze_sorted(keys[i:k]), squeeze(counts[i:k].astype(np.uint32))) for j, i, k in ranges(keys, kind, n_buckets)]
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 

@@ -83,7 +83,7 @@ def compact(spark: SparkSession, cache: str, files: int) -> None:
     fs.delete(fs_path(old), True)
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, normal_form: str | None = None, most_hot: int = 1000) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, normal_form: str | None = None, most_hot: int = 1000, most_sent: int = 1_000_000) -> DataFrame:
     """Count the tokens of every text; returns doc_id, n_bytes, n_tokens.
 
     :param tokenizer: file for tokenizers (.json) or sentencepiece (.model), readable on every executor.
@@ -92,6 +92,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, norm
     :param normal_form: unicodedata form applied before hashing and encoding (None: the text as it is).
     :param most_hot: so many of the most frequent contents are joined by broadcast, so that thousands of
         copies do not meet in one task; the others are joined by a shuffle.
+    :param most_sent: up to so many distinct misses (32 bytes each) are broadcast, and only their contents
+        leave the tasks that read them; beyond, all contents are shuffled, and those of hits dropped then.
+
+    Digests are held against the cache first; where it has all, no content is read again or shuffled.
 
     Null text counts as empty (0 tokens). A null or repeated doc_id is kept, one row for each input row. An
     empty table gives no rows. Other columns are not read. Equal contents are encoded once: a content of
@@ -108,13 +112,17 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, norm
         d = d.withColumn("content", F.col("text"))
     d = d.withColumn("digest", F.unhex(F.sha2(F.col("content").cast("binary"), 256)))
     read = lambda: read_cache(spark, cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
-    # copies are merged before they are held against the cache: an anti join would be pushed below, and ship every copy
-    distinct = d.groupBy("digest").agg(F.first("content").alias("content"))
-    misses = distinct.join(read(), "digest", "left").filter("n_tokens is null").select("digest", "content")
-    new = misses.mapInArrow(_encode(tokenizer), "digest binary, n_tokens long")
-    new.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    counts = read()
     sizes = stored(d.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "token-sizes")
+    misses = stored(sizes.select("digest").distinct().join(read(), "digest", "left_anti"), "token-misses")
+    n_misses = misses.limit(most_sent + 1).count()
+    if n_misses:
+        # contents of misses alone are shuffled, copies merged before; of more misses than can be sent, all contents are
+        texts = d.join(F.broadcast(misses), "digest", "left_semi") if n_misses <= most_sent else d
+        distinct = texts.groupBy("digest").agg(F.first("content").alias("content"))
+        asked = distinct if n_misses <= most_sent else distinct.join(misses, "digest", "left_semi")
+        new = asked.select("digest", "content").mapInArrow(_encode(tokenizer), "digest binary, n_tokens long")
+        new.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
+    counts = read()
     hot = sizes.groupBy("digest").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "digest").limit(most_hot).select("digest")
     hot = F.broadcast(stored(hot, "token-hot"))  # at most ``most_hot`` rows
     often = sizes.join(F.broadcast(stored(counts.join(hot, "digest"), "token-hot-counts")), "digest")

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -350,6 +351,29 @@ def test_token_counts_of_a_normal_form_and_of_frequent_contents(spark, tmp_path)
     assert spark.read.parquet(str(tmp_path / "None1")).count() == 11
 
 
+def test_a_full_cache_shuffles_no_text(spark, tmp_path):
+    path, cache = public_tokenizers.path("piece_bpe_32k.model"), str(tmp_path / "cache")
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefghij klmno") for _ in range(20_000)) for _ in range(40)]
+    docs = make(spark, list(enumerate(texts))).repartition(3).cache()
+    docs.count()
+
+    def shuffled() -> int:
+        sc, jvm = spark.sparkContext._jsc.sc(), spark._jvm
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    written, counts = [shuffled()], []
+    for _ in range(2):
+        counts.append(sorted(map(tuple, tokencount.count_tokens(docs, path, cache=cache).collect())))
+        written.append(shuffled())
+    cold, warm = written[1] - written[0], written[2] - written[1]
+    assert counts[0] == counts[1] and cold > 400_000 and warm < 40_000
+    # more misses than can be sent: the same counts
+    assert sorted(map(tuple, tokencount.count_tokens(docs, path, cache=str(tmp_path / "other"), most_sent=3).collect())) == counts[0]
+
+
 def test_token_counts_of_nothing(none):
     assert tokencount.count_tokens(none, public_tokenizers.path("piece_bpe_32k.model")).collect() == []
 
@@ -357,6 +381,22 @@ def test_token_counts_of_nothing(none):
 # language model
 
 
+def test_ranges_are_as_many_as_keys_at_most():
+    """However many ranges of hashes there are, a block walks those that it has keys of."""
+    rng = np.random.default_rng(1)
+    for kind in (1, 2):
+        keys = np.unique(rng.integers(0, 1 << (63 if kind == 1 else 56), 1000, dtype=np.int64).astype(np.uint64))
+        for n in (1, 7, 1000, 1 << 31):
+            found = list(ngram_lm.ranges(keys, kind, n))
+            assert len(found) <= min(n, len(keys)) and [i for _, i, _ in found] == [0, *[k for _, _, k in found][:-1]] and found[-1][2] == len(keys)
+            top = (keys >> np.uint64(32 if kind == 1 else 32 - ngram_lm.SPARE)).astype(object)
+            assert all(int(x) * n >> 32 == j for j, i, k in found for x in top[i:k])
+    assert list(ngram_lm.ranges(np.zeros(0, np.uint64), 1, 5)) == []
+    # rows from each token fall as the corpus grows
+    rows = lambda t: (t / 1e6) * (t / ngram_lm.tokens_of_bucket(t, 500_000)) / t
+    assert ngram_lm.tokens_of_bucket(10**8, 500_000) == 500_000 and rows(10**10) < 8 * rows(10**9)
+
+
 def brute_scores(rows, backoff, power):
     """The recursive definition, on words."""
     grams = Counter()
