@@ -118,7 +118,18 @@ def invitation_code(sender_full: Column | None = None, receiver_full: Column | N
     return first_failure(rules)
 
 
+#: Steps of verification, in order. Fixed values.
+STEPS = ("usage_observed", "totals_derived", "snapshot_hashed", "snapshot_signed", "identity_linked", "work_linked", "outcome_confirmed")
+
+
+def verification_steps(contexts: DataFrame) -> DataFrame:
+    """The seven steps for each context (id, and a boolean column for each step that may hold): id, ord, step, reached."""
+    reached = lambda s: F.coalesce(F.col(s).cast("boolean"), F.lit(False)) if s in contexts.columns else F.lit(False)
+    steps = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(s).alias("step"), reached(s).alias("reached")) for i, s in enumerate(STEPS)])
+    return contexts.select("id", F.explode(steps).alias("s")).select("id", "s.*")
+
+
 def verification_ladder(spark: SparkSession, context: dict[str, bool]) -> DataFrame:
-    """Seven steps of verification and which of them hold."""
-    steps = ("usage_observed", "totals_derived", "snapshot_hashed", "snapshot_signed", "identity_linked", "work_linked", "outcome_confirmed")
-    return spark.createDataFrame([(i, s, bool(context.get(s))) for i, s in enumerate(steps)], "ord int, step string, reached boolean")
+    """The steps of one context."""
+    flags = [F.lit(bool(context.get(s))).alias(s) for s in STEPS]
+    return verification_steps(spark.range(1).select("id", *flags)).drop("id")

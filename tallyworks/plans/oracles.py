@@ -125,7 +125,10 @@ ORACLES = {
     "provider_slug_normalize": f"SELECT p_partkey, slug, CASE WHEN slug = 'unknown' THEN 'Unknown' ELSE {_TITLE} END AS name FROM (SELECT p_partkey, CASE WHEN contains(x, '/') THEN 'unknown' ELSE {_SLUG} END AS slug FROM (SELECT p_partkey, concat(' ', p_type, CASE WHEN p_partkey % 7 = 0 THEN '/x' ELSE ' ' END) AS x FROM part))",
     "handles": "SELECT p_partkey, substr(trim(regexp_replace(lower(p_name), '[^a-z0-9-]+', '-', 'g'), '-'), 1, 39) AS handle, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS key, upper(concat(substr(regexp_split_to_array(p_name, '\\s+')[1], 1, 1), substr(coalesce(regexp_split_to_array(p_name, '\\s+')[2], ''), 1, 1))) AS initials FROM part",
     "follow_up_classify": "SELECT p_partkey % 10 AS \"group\", count(*) FILTER (p_partkey % 3 = 1) AS revert, count(*) FILTER (p_partkey % 3 <> 1 AND regexp_matches(s, '\\b(fix|bugfix|patch|correct)\\b')) AS corrective, count(*) FILTER (regexp_matches(s, '\\bhot[\\s-]?fix\\b')) AS hotfix, count(*) FILTER (p_partkey % 4 = 0) AS bug_linked FROM (SELECT p_partkey, lower(concat(CASE p_partkey % 3 WHEN 0 THEN 'Fix ' WHEN 1 THEN 'Revert fix ' ELSE 'hot-fix ' END, p_name)) AS s FROM part) GROUP BY 1",
-    "provider_of_model": "SELECT * FROM (VALUES ('gpt-5-codex', 'codex', true), ('o3', 'codex', true), ('o1-mini', 'codex', true), ('Opus-4', 'claude', false), ('sonnet', 'claude', false), ('grok-2', 'grok', true), ('moonshot-v1', 'kimi', false), ('gemini-2', 'gemini', true), ('qwen3', 'qwen', true), ('llama-3', 'unknown', true)) v(model, provider, known)",
+    "provider_of_model": """WITH m AS (SELECT concat(CASE WHEN p_size % 5 = 0 THEN 'my/' ELSE '' END, ['gpt-5-codex', 'o3', 'o1-mini', 'Opus-4', 'sonnet', 'grok-2', 'moonshot-v1', 'gemini-2', 'qwen3', 'llama-3', 'my-Claude', 'x-Kimi'][1 + p_partkey % 12], '-', CAST(p_size AS VARCHAR), ' ', p_brand) AS model FROM part)
+  SELECT model, count(*) AS parts, CASE WHEN lower(model) LIKE '%codex%' OR regexp_matches(lower(model), '^(gpt-|o1|o3|o4)') THEN 'codex' WHEN lower(model) LIKE '%claude%' OR regexp_matches(lower(model), '^(opus|sonnet|haiku)') THEN 'claude' WHEN lower(model) LIKE '%grok%' THEN 'grok'
+    WHEN lower(model) LIKE '%kimi%' OR lower(model) LIKE '%moonshot%' THEN 'kimi' WHEN lower(model) LIKE '%gemini%' THEN 'gemini' WHEN lower(model) LIKE '%qwen%' THEN 'qwen' ELSE 'unknown' END AS provider,
+    regexp_matches(lower(model), '^(claude|gpt|o[0-9]|gemini|llama|mistral|deepseek|qwen|grok|codex|command|sonar)') AS known FROM m GROUP BY model""",
     "durability_windows": """WITH s AS (SELECT l_suppkey AS project, ['24h', '7d', '30d', '90d'][1 + l_linenumber % 4] AS "window", CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS introduced_lines, CAST(sum(CASE WHEN l_returnflag <> 'R' THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS BIGINT) AS remaining_lines FROM lineitem GROUP BY 1, 2)
   SELECT "window", project, introduced_lines, remaining_lines, CASE WHEN introduced_lines > 0 THEN floor(least(100, remaining_lines / introduced_lines * 100) * 10 + 0.5) / 10 END AS remaining_share, CASE "window" WHEN '24h' THEN 1 WHEN '7d' THEN 7 WHEN '30d' THEN 30 ELSE 90 END AS days FROM s""",
     "live_drift": f"""{_D}, p AS (SELECT provider, CAST(sum(fresh_tokens) AS BIGINT) AS f, CAST(sum(cached_tokens) AS BIGINT) AS c, CAST(sum(total_tokens) AS BIGINT) AS t, provider <> 'view' AS simulated, CASE provider WHEN 'click' THEN 0.62 WHEN 'purchase' THEN 0.38 ELSE 0 END AS part FROM d GROUP BY provider)

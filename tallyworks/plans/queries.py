@@ -396,8 +396,13 @@ def follow_up_classify(spark, d):
 
 @query
 def provider_of_model(spark, d):
-    names = ["gpt-5-codex", "o3", "o1-mini", "Opus-4", "sonnet", "grok-2", "moonshot-v1", "gemini-2", "qwen3", "llama-3"]
-    return spark.createDataFrame([(n,) for n in names], "model string").select("model", text.provider_of_model(F.col("model")).alias("provider"), text.known_family(F.col("model")).alias("known"))
+    """Models named by the words, sizes and brands of the parts."""
+    words = ["gpt-5-codex", "o3", "o1-mini", "Opus-4", "sonnet", "grok-2", "moonshot-v1", "gemini-2", "qwen3", "llama-3", "my-Claude", "x-Kimi"]
+    word = F.element_at(F.array(*map(F.lit, words)), (F.col("p_partkey") % len(words) + 1).cast("int"))
+    # in every fifth name the word does not begin it
+    model = F.concat(F.when(F.col("p_size") % 5 == 0, "my/").otherwise(""), word, F.lit("-"), F.col("p_size").cast("string"), F.lit(" "), "p_brand")
+    p = table(spark, d, "part").select(model.alias("model"))
+    return p.groupBy("model").agg(F.count("*").alias("parts")).select("model", "parts", text.provider_of_model(F.col("model")).alias("provider"), text.known_family(F.col("model")).alias("known"))
 
 
 @query

@@ -130,17 +130,30 @@ def document_hashes(spark, d):
     return table(spark, d, "events").select("event_id", publish.document_hash(F.col("props"), content_only=True).alias("hash"))
 
 
-@query("SELECT * FROM (VALUES ('bad claim', 'claims a universal non-claim'), ('no exclusion', 'does not exclude identity'), ('no tier', 'lacks a claim or tier')) v(signal, problem)")
+@query(
+    """WITH s AS (SELECT 'c' || CAST(c_custkey AS VARCHAR) AS signal, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS tier, CASE WHEN c_custkey % 3 = 0 THEN ['Expertise'] WHEN c_custkey % 7 = 0 THEN [] ELSE ['activity_occurred'] END AS allowed, CASE WHEN c_nationkey % 4 = 0 THEN ['expertise'] ELSE ['Identity', 'expertise'] END AS excluded FROM customer)
+SELECT signal, CASE WHEN list_contains(list_transform(allowed, lambda x: lower(x)), 'expertise') THEN 'claims a universal non-claim' WHEN NOT list_contains(list_transform(excluded, lambda x: lower(x)), 'identity') THEN 'does not exclude identity' ELSE 'lacks a claim or tier' END AS problem FROM s
+WHERE list_contains(list_transform(allowed, lambda x: lower(x)), 'expertise') OR NOT list_contains(list_transform(excluded, lambda x: lower(x)), 'identity') OR len(allowed) = 0 OR tier IS NULL"""
+)
 def ladder_check(spark, d):
-    """Of the ladder and three bad signals, those with a problem."""
-    bad = [("bad claim", "t", ["Expertise"], ["identity"]), ("no exclusion", "t", ["activity_occurred"], ["expertise"]), ("no tier", None, ["x"], ["identity"])]
-    own = rules.ladder(spark).select("signal", "tier", "allowed", "excluded")
-    return rules.ladder_problems(own.union(spark.createDataFrame(bad, own.schema)))
+    """Signals of the customers, beside those of the ladder: those with a problem. The ladder's own have none."""
+    k = F.col("c_custkey")
+    allowed = F.when(k % 3 == 0, F.array(F.lit("Expertise"))).when(k % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("activity_occurred")))
+    excluded = F.when(F.col("c_nationkey") % 4 == 0, F.array(F.lit("expertise"))).otherwise(F.array(F.lit("Identity"), F.lit("expertise")))
+    signals = table(spark, d, "customer").select(F.concat(F.lit("c"), k.cast("string")).alias("signal"), F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")).alias("tier"), allowed.alias("allowed"), excluded.alias("excluded"))
+    return rules.ladder_problems(rules.ladder(spark).select("signal", "tier", "allowed", "excluded").union(signals))
 
 
-@query("SELECT * FROM (VALUES (0, 'usage_observed', true), (1, 'totals_derived', true), (2, 'snapshot_hashed', false), (3, 'snapshot_signed', false), (4, 'identity_linked', false), (5, 'work_linked', true), (6, 'outcome_confirmed', false)) v(ord, step, reached)")
+@query(
+    """WITH o AS (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS price, bool_or(o_orderstatus = 'F') AS done, bool_or(o_orderpriority = '1-URGENT') AS urgent FROM orders GROUP BY 1),
+c AS (SELECT c_custkey AS id, coalesce(n, 0) > 0 AS a, coalesce(price, 0) > 0 AS b, c_acctbal > 0 AS c, c_acctbal > 5000 AS d, false AS e, coalesce(done, false) AS f, coalesce(urgent, false) AS g FROM customer LEFT JOIN o ON o_custkey = c_custkey)
+SELECT id, CAST(i AS INTEGER) AS ord, ['usage_observed', 'totals_derived', 'snapshot_hashed', 'snapshot_signed', 'identity_linked', 'work_linked', 'outcome_confirmed'][i + 1] AS step, [a, b, c, d, e, f, g][i + 1] AS reached FROM c, range(7) t(i)"""
+)
 def verification_steps(spark, d):
-    return rules.verification_ladder(spark, {"usage_observed": True, "totals_derived": True, "work_linked": True, "unknown": True})
+    """Steps of verification of the customers, by their orders and balance; what nothing speaks of is not reached."""
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.lit(True).alias("usage_observed"), (F.sum("o_totalprice") > 0).alias("totals_derived"), F.bool_or(F.col("o_orderstatus") == "F").alias("work_linked"), F.bool_or(F.col("o_orderpriority") == "1-URGENT").alias("outcome_confirmed"))
+    c = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") > 0).alias("snapshot_hashed"), (F.col("c_acctbal") > 5000).alias("snapshot_signed"))
+    return rules.verification_steps(c.join(o, "c_custkey", "left").withColumnRenamed("c_custkey", "id"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'unanswered' WHEN c_custkey % 5 = 0 THEN 'withdrawn' WHEN c_custkey % 3 = 0 THEN 'declined' WHEN c_custkey % 2 = 0 THEN 'stale-disclosure' ELSE 'granted' END AS state FROM customer")
