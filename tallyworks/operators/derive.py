@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values
+from . import scan
 
 
 def active_days(daily: DataFrame) -> DataFrame:
@@ -51,12 +52,19 @@ def efficiency(daily: DataFrame) -> DataFrame:
     return s.select(values.share(F.col("cached_tokens"), F.col("total_tokens")).alias("cached_share"), values.share(F.col("fresh_tokens"), F.col("total_tokens")).alias("fresh_share"), values.share(F.col("output_tokens"), F.col("input_tokens") + F.col("output_tokens")).alias("output_share"), F.when(F.col("days") > 0, values.js_round(F.col("total_tokens") / F.col("days"))).alias("per_active_day"))
 
 
-def gaps(events: DataFrame, most_seconds: int = 3600) -> DataFrame:
-    """Rounded seconds between neighbouring events of a session, from 0 to the limit."""
-    by = Window.partitionBy("session_pseudonym").orderBy("occurred_at")
+def gaps(events: DataFrame, most_seconds: int = 3600, most: int = scan.MOST) -> DataFrame:
+    """Rounded seconds between neighbouring events of a session, from 0 to the limit.
+
+    :param most: sessions of more events are read in parts, so that none is one task.
+    """
+    key = ["session_pseudonym"]
+    e = events.filter("session_pseudonym <> ''").select(*key, "occurred_at")
+    small, large = scan.by_size(e, key, most)
     at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    e = events.filter("session_pseudonym <> ''").select("session_pseudonym", "occurred_at").withColumn("before", F.lag("occurred_at").over(by))
-    return e.filter("before is not null").select("session_pseudonym", values.js_round((at("occurred_at") - at("before")) / 1e6).alias("gap")).filter(F.col("gap").between(0, most_seconds))
+    e = small.withColumn("before", F.lag("occurred_at").over(Window.partitionBy(*key).orderBy("occurred_at")))
+    if large is not None:
+        e = e.unionByName(scan.previous(scan.in_parts(large, key, ["occurred_at"]), key, "occurred_at", "before").select(e.columns))
+    return e.filter("before is not null").select(*key, values.js_round((at("occurred_at") - at("before")) / 1e6).alias("gap")).filter(F.col("gap").between(0, most_seconds))
 
 
 def gap_median(events: DataFrame) -> DataFrame:
@@ -94,10 +102,18 @@ def presence_strip(days: DataFrame, reference: str, length: int, width: int) ->
     return days.sparkSession.range(cols).select(F.col("id").cast("int").alias("bucket")).join(hit, "bucket", "left").na.fill({"active": False})
 
 
-def carry_forward(df: DataFrame, keys: list[str], order: list[str], column: str) -> DataFrame:
-    """The column with nulls replaced by the last value before them."""
+def carry_forward(df: DataFrame, keys: list[str], order: list[str], column: str, most: int = scan.MOST) -> DataFrame:
+    """The column with nulls replaced by the last value before them.
+
+    :param most: keys of more rows are read in parts, so that none is one task.
+    """
+    small, large = scan.by_size(df, keys, most)
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(column, F.last(column, ignorenulls=True).over(w))
+    out = small.withColumn(column, F.last(column, ignorenulls=True).over(w))
+    if large is None:
+        return out
+    rows = scan.last_known(scan.in_parts(large, keys, order), keys, column, "_filled")
+    return out.unionByName(rows.select(*[F.col("_filled").alias(c) if c == column else F.col(f"`{c}`") for c in df.columns]))
 
 
 def last_of_each(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
