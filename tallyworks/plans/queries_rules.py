@@ -257,6 +257,19 @@ def rate_limit(spark, d):
     return limits.limit(e, 3, 24 * 3600).groupBy("bucket").agg(F.count_if("allowed").alias("allowed"), F.count("*").alias("asked"))
 
 
+@query(
+    """WITH RECURSIVE e AS (SELECT event_type AS bucket, epoch_us(ts) AS t, CAST(event_id AS VARCHAR) AS id FROM events),
+s AS (SELECT bucket, min(t) AS start FROM e GROUP BY 1 UNION ALL SELECT e.bucket, min(e.t) FROM s JOIN e ON e.bucket = s.bucket AND e.t > s.start + 21600000000 GROUP BY 1),
+w AS (SELECT e.bucket, max(s.start) AS start, e.t, e.id FROM e JOIN s ON s.bucket = e.bucket AND s.start <= e.t GROUP BY e.bucket, e.t, e.id),
+n AS (SELECT bucket, row_number() OVER (PARTITION BY bucket, start ORDER BY t, id) AS n FROM w)
+SELECT bucket, count(*) FILTER (n <= 4) AS allowed, count(*) AS asked FROM n GROUP BY 1"""
+)
+def busy_limits(spark, d):
+    """Limits of few buckets with very many events, each read in parts by many tasks."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("bucket"), F.col("ts").alias("at"), F.col("event_id").alias("id"))
+    return limits.limit(e, 4, 6 * 3600, most_in_task=50).groupBy("bucket").agg(F.count_if("allowed").alias("allowed"), F.count("*").alias("asked"))
+
+
 def _short(x: str, unit: int, digits: int, sign: str) -> str:
     n = 10**digits
     q = f"(({x} * {n} * 2 + {unit}) // (2 * {unit}))"
