@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, clean_texts
+from ..session import scratch
 
 HANDLE = r"^[a-z0-9](?:[a-z0-9-]{0,37}[a-z0-9])?$"
 PRIVATE_HOST = r"^(10\.|127\.|169\.254\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.|0\.0\.0\.0$|localhost$)"
@@ -120,24 +119,62 @@ WEIGHTS = {"folder_is": 340, "folder_has": 170, "package": 260, "text": 55, "dom
 LEAST_SCORE = 120
 
 
-def score_folders(projects: DataFrame, folders: DataFrame, most: int = 12, lot: int = 5000) -> DataFrame:
+#: Letters of the parts by which names are looked up.
+GRAM = 3
+
+
+def _grams(text: Column, n: int) -> Column:
+    """The distinct runs of n characters of a text, in time that grows with it."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    some = F.when(F.size(chars) >= n, F.sequence(F.lit(1), F.size(chars) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(some, lambda i: F.concat(*[F.element_at(chars, i + k) for k in range(n)])))
+
+
+def _candidates(projects: DataFrame, folders: DataFrame) -> DataFrame:
+    """(project, folder) ids where one of the project's names stands in one of the folder's texts.
+
+    An inverted index: each name is looked up by its rarest run of GRAM letters (a shorter name by itself) among
+    the runs of the folders' texts, and then held against the text. Only runs that some name has are kept.
+    """
+    spaced = lambda a: F.replace(a, F.lit("-"), F.lit(" "))
+    name = F.explode(F.concat(F.coalesce("aliases", F.array()), F.transform(F.coalesce("aliases", F.array()), spaced), F.transform(F.coalesce("domains", F.array()), F.lower)))
+    names = projects.select("project", name.alias("word")).filter("word <> ''").distinct()
+    text = F.explode(F.array(*[F.coalesce(c, F.lit("")) for c in ("base", "package", "evidence")]))
+    texts = folders.select("folder", text.alias("text")).filter("text <> ''")
+    # of names: all their runs; of texts: those of the same lengths
+    runs = F.when(F.length("word") >= GRAM, _grams(F.col("word"), GRAM)).otherwise(F.array("word"))
+    of_names = names.select("word", F.explode(runs).alias("run")).distinct()
+    of_texts = texts.select("folder", F.explode(F.array_union(F.array_union(_grams(F.col("text"), 1), _grams(F.col("text"), 2)), _grams(F.col("text"), GRAM))).alias("run")).join(of_names.select("run").distinct(), "run", "left_semi").distinct()
+    path = scratch(folders.sparkSession, "folder-runs")
+    of_texts.write.parquet(path)
+    of_texts = folders.sparkSession.read.parquet(path)
+    counts = of_texts.groupBy("run").agg(F.count("*").alias("n"))
+    rarest = of_names.join(counts, "run", "left").groupBy("word").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run"))["run"].alias("run"))
+    met = of_texts.join(rarest, "run").select("folder", "word").join(texts, "folder").filter(F.contains("text", "word")).select("folder", "word").distinct()
+    return met.join(names, "word").select("project", "folder").distinct()
+
+
+def score_folders(projects: DataFrame, folders: DataFrame, most: int = 12) -> DataFrame:
     """The best folders of each project: name, dir, score.
 
-    projects: name, aliases, domains - each folder is scored against all of them, ``lot`` projects at a time,
-    so that what is broadcast stays small however many there are. folders: dir, base, package, evidence
-    (lower case), files.
+    projects: name, aliases, domains; folders: dir, base, package, evidence (lower case), files. A folder in
+    which no name or domain of a project stands cannot reach LEAST_SCORE: only the others are scored, and
+    found through an index (see :func:`_candidates`). Empty names stand nowhere.
     """
-    lots = -(-projects.count() // lot)
-    if lots > 1:
-        part = F.pmod(F.xxhash64("name"), F.lit(lots))
-        return reduce(DataFrame.union, [score_folders(projects.filter(part == i), folders, most, 1 << 62) for i in range(lots)])
-    j = folders.crossJoin(F.broadcast(projects))  # a short list against all folders
+
+    def kept(df: DataFrame, name: str, key: str) -> DataFrame:
+        path = scratch(df.sparkSession, name)
+        df.withColumn(key, F.monotonically_increasing_id()).write.parquet(path)
+        return df.sparkSession.read.parquet(path)
+
+    p, f = kept(projects.select("name", "aliases", "domains"), "projects", "project"), kept(folders.select("dir", "base", "package", "evidence", "files"), "folders", "folder")
+    j = _candidates(p, f).join(p, "project").join(f, "folder")
     w = WEIGHTS
-    one = lambda a: F.when(F.col("base") == a, w["folder_is"]).when(F.col("base").contains(a), w["folder_has"]).otherwise(0) + F.when(F.col("package").contains(a), w["package"]).otherwise(0) + F.when(F.col("evidence").contains(a) | F.col("evidence").contains(F.replace(a, F.lit("-"), F.lit(" "))), w["text"]).otherwise(0)
-    has = lambda *names: F.arrays_overlap("files", F.array(*map(F.lit, names))).cast("int")
+    one = lambda a: F.when(a == "", 0).otherwise(F.when(F.col("base") == a, w["folder_is"]).when(F.col("base").contains(a), w["folder_has"]).otherwise(0) + F.when(F.col("package").contains(a), w["package"]).otherwise(0) + F.when(F.col("evidence").contains(a) | F.col("evidence").contains(F.replace(a, F.lit("-"), F.lit(" "))), w["text"]).otherwise(0))
+    has = lambda *names: F.coalesce(F.arrays_overlap("files", F.array(*map(F.lit, names))).cast("int"), F.lit(0))
     score = (
-        F.aggregate("aliases", F.lit(0), lambda s, a: s + one(a))
-        + F.aggregate("domains", F.lit(0), lambda s, d: s + F.when(F.col("evidence").contains(F.lower(d)), w["domain"]).otherwise(0))
+        F.aggregate(F.coalesce("aliases", F.array()), F.lit(0), lambda s, a: s + F.coalesce(one(a), F.lit(0)))
+        + F.aggregate(F.coalesce("domains", F.array()), F.lit(0), lambda s, d: s + F.when((d != "") & F.col("evidence").contains(F.lower(d)), w["domain"]).otherwise(0))
         + has("package.json") * w["package_json"] + has("vite.config.ts", "vite.config.js") * w["vite"] + has("next.config.ts", "next.config.js") * w["next"] + has("requirements.txt", "pyproject.toml") * w["python"]
     )
     from .rollup import top_n
@@ -145,19 +182,29 @@ def score_folders(projects: DataFrame, folders: DataFrame, most: int = 12, lot:
     return top_n(j.select("name", "dir", score.alias("score")).filter(F.col("score") >= LEAST_SCORE), ["name"], [F.desc("score"), F.col("dir")], most)
 
 
-def assign_folders(candidates: DataFrame, names: list[str]) -> dict[str, str]:
-    """One folder for each project, first come first served in the order of names (at most 12 candidates each)."""
-    by: dict[str, list[str]] = {}
-    for r in candidates.orderBy("name", F.desc("score"), "dir").collect():  # most x projects rows
-        by.setdefault(r["name"], []).append(r["dir"])
-    used: set[str] = set()
-    out = {}
-    for n in names:
-        free = next((d for d in by.get(n, []) if d not in used), None)
-        if free:
-            out[n] = free
-            used.add(free)
-    return out
+def assign_folders(candidates: DataFrame, order: DataFrame) -> DataFrame:
+    """One folder for each project, first come first served: name, dir.
+
+    candidates: name, dir, score, the best few of each project; order: name, ord, each once. In rounds every
+    project asks for the best folder that is left to it, and a folder keeps of those that ask the first in
+    order, and is left to none behind it; since all folders go by one order, what stands in the end is what
+    serving the projects one after the other gives.
+    """
+    spark = candidates.sparkSession
+
+    def kept(df: DataFrame) -> DataFrame:
+        path = scratch(spark, "folder-choices")
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    left = kept(candidates.select("name", "dir", "score").distinct().join(order.select("name", "ord"), "name"))
+    while True:
+        asked = left.groupBy("name", "ord").agg(F.min_by("dir", F.struct(-F.col("score"), F.col("dir"))).alias("dir"))
+        held = kept(asked.groupBy("dir").agg(F.min("ord").alias("holder")))
+        after = kept(left.join(held, "dir", "left").filter("holder is null or ord <= holder").select("name", "dir", "score", "ord"))
+        if after.count() == left.count():
+            return asked.select("name", "dir")
+        left = after
 
 
 def observed_artifacts(artifacts: DataFrame, projects: DataFrame) -> DataFrame:

@@ -185,18 +185,36 @@ def artifact_backing(spark, d):
     return directory.observed_artifacts(a, p).select("ord", "verification", "rank").join(low, "ord")
 
 
-@query(
-    """WITH f AS (SELECT p_partkey AS k, lower(replace(p_brand, '#', '-')) AS base, p_partkey % 5 = 0 AS pkg FROM part), p AS (SELECT DISTINCT lower(replace(p_brand, '#', '-')) AS a FROM part WHERE p_partkey <= 60),
-s AS (SELECT a AS name, concat('d', CAST(k AS VARCHAR)) AS dir, k, CASE WHEN base = a THEN 340 WHEN contains(base, a) THEN 170 ELSE 0 END + CASE WHEN pkg AND contains(base, a) THEN 260 ELSE 0 END + CASE WHEN contains('text of ' || base, a) OR contains('text of ' || base, replace(a, '-', ' ')) THEN 55 ELSE 0 END + CASE WHEN k % 3 = 0 THEN 30 ELSE 0 END AS score FROM f, p)
-SELECT name, dir, score FROM s WHERE score >= 120 QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, dir) <= 12"""
-)
-def folder_scores(spark, d):
-    """The twelve best folders of each project, by names, packages and texts."""
+_FOLDER_SQL = """f AS (SELECT p_partkey AS k, lower(replace(p_brand, '#', '-')) AS base, p_partkey % 5 = 0 AS pkg FROM part), p AS (SELECT DISTINCT lower(replace(p_brand, '#', '-')) AS a FROM part WHERE p_partkey <= 60),
+s AS (SELECT a AS name, concat('d', CAST(k AS VARCHAR)) AS dir, k, CASE WHEN base = a THEN 340 WHEN contains(base, a) THEN 170 ELSE 0 END + CASE WHEN pkg AND contains(base, a) THEN 260 ELSE 0 END + CASE WHEN contains('text of ' || base, a) OR contains('text of ' || base, replace(a, '-', ' ')) THEN 55 ELSE 0 END + CASE WHEN k % 3 = 0 THEN 30 ELSE 0 END AS score FROM f, p)"""
+
+
+def scored_folders(spark, d):
     base = F.lower(F.replace("p_brand", F.lit("#"), F.lit("-")))
     k = F.col("p_partkey")
     folders = table(spark, d, "part").select(F.concat(F.lit("d"), k.cast("string")).alias("dir"), base.alias("base"), F.when(k % 5 == 0, base).otherwise("").alias("package"), F.concat(F.lit("text of "), base).alias("evidence"), F.when(k % 3 == 0, F.array(F.lit("package.json"))).otherwise(F.array(F.lit("x"))).alias("files"))
     projects = table(spark, d, "part").filter(k <= 60).select(base.alias("name")).distinct().select("name", F.array("name").alias("aliases"), F.array(F.lit("none.example")).alias("domains"))
-    return directory.score_folders(projects, folders, lot=7)
+    return folders, projects
+
+
+@query(f"WITH {_FOLDER_SQL} SELECT name, dir, score FROM s WHERE score >= 120 QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, dir) <= 12")
+def folder_scores(spark, d):
+    """The twelve best folders of each project, by names, packages and texts."""
+    folders, projects = scored_folders(spark, d)
+    return directory.score_folders(projects, folders)
+
+
+@query(
+    """WITH RECURSIVE n AS (SELECT DISTINCT c_nationkey % 40 AS name FROM customer), c AS (SELECT DISTINCT c_custkey % 60 AS name, concat('d', CAST(c_nationkey AS VARCHAR)) AS dir, CAST(c_custkey % 7 AS INTEGER) AS score FROM customer),
+b AS (SELECT name, dir, max(score) AS score FROM c GROUP BY 1, 2),
+a AS (SELECT -1::BIGINT AS ord, NULL::VARCHAR AS dir, []::VARCHAR[] AS used
+  UNION ALL SELECT a.ord + 1, (list(b.dir ORDER BY b.score DESC, b.dir) FILTER (b.dir IS NOT NULL))[1], list_concat(any_value(a.used), coalesce([(list(b.dir ORDER BY b.score DESC, b.dir) FILTER (b.dir IS NOT NULL))[1]], [])) FROM a LEFT JOIN b ON b.name = a.ord + 1 AND NOT list_contains(a.used, b.dir) WHERE a.ord < 59 GROUP BY a.ord)
+SELECT ord AS name, dir FROM a WHERE dir IS NOT NULL"""
+)
+def folder_assignments(spark, d):
+    """One folder for each project, the projects in order, each the best that is left: customers' nations stand for folders."""
+    c = table(spark, d, "customer").groupBy((F.col("c_custkey") % 60).alias("name"), F.concat(F.lit("d"), F.col("c_nationkey").cast("string")).alias("dir")).agg(F.max((F.col("c_custkey") % 7).cast("int")).alias("score"))
+    return directory.assign_folders(c, c.select("name", F.col("name").alias("ord")).distinct())
 
 
 @query(

@@ -5,6 +5,7 @@ import datetime as dt
 import hashlib
 import hmac
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,12 +188,51 @@ def test_directory(spark):
     folders = spark.createDataFrame([("/a", "alpha", "alpha-web", "see alpha.io", ["package.json"]), ("/b", "my-alpha", "x", "", []), ("/c", "c", "", "", ["vite.config.ts"])], "dir string, base string, package string, evidence string, files array<string>")
     got = directory.score_folders(projects, folders)
     assert {r["dir"]: r["score"] for r in got.collect()} == {"/a": 340 + 260 + 55 + 420 + 30, "/b": 170}
-    assert directory.assign_folders(got, ["Alpha"]) == {"Alpha": "/a"}
+    order = spark.createDataFrame([("Alpha", 0)], "name string, ord int")
+    assert [tuple(r) for r in directory.assign_folders(got, order).collect()] == [("Alpha", "/a")]
     arts = spark.createDataFrame([(1, "Alpha", "https://x"), (2, "beta", "https://x"), (3, None, None)], "ord int, linked_project string, url string")
     found = spark.createDataFrame([("ALPHA", True), ("beta", False)], "name string, found boolean")
     assert [r["verification"] for r in directory.observed_artifacts(arts, found).collect()] == ["collector_observed", "link_provided", "self_reported"]
 
 
+def test_folders_are_found_by_an_index(spark):
+    """The scores of every folder against every project, without holding all against all."""
+    rng = random.Random(6)
+    part = lambda n: "".join(rng.choice("ab-é") for _ in range(n))
+    projects = [(f"p{i}", [part(rng.choice([0, 1, 2, 3, 5])) for _ in range(2)], [part(4).upper()] if i % 2 else None) for i in range(12)]
+    folders = [(f"/{i}", part(rng.randrange(5)), rng.choice([part(6), "", None]), part(30).replace("-", rng.choice("- ")), rng.choice([["package.json"], [], None, ["vite.config.js", "x"]])) for i in range(60)]
+    w = directory.WEIGHTS
+    want = []
+    for name, aliases, domains in projects:
+        for d, base, package, evidence, files in folders:
+            score = sum((w["folder_is"] if base == a else w["folder_has"] if a in base else 0) + (w["package"] if a in (package or "") else 0) + (w["text"] if a in evidence or a.replace("-", " ") in evidence else 0) for a in aliases if a)
+            score += sum(w["domain"] for x in domains or [] if x.lower() in evidence) + w["package_json"] * ("package.json" in (files or [])) + w["vite"] * ("vite.config.js" in (files or []))
+            if score >= directory.LEAST_SCORE:
+                want.append((name, d, score))
+    p = spark.createDataFrame(projects, "name string, aliases array<string>, domains array<string>")
+    f = spark.createDataFrame(folders, "dir string, base string, package string, evidence string, files array<string>")
+    got = directory.score_folders(p, f, most=1000)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 50
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_folders_are_served_in_order(spark):
+    rng = random.Random(8)
+    pairs = [(f"p{i}", f"/{rng.randrange(25)}", rng.randrange(5)) for i in range(40) for _ in range(4)]
+    best, used, want = {}, set(), {}
+    for n, d, s in pairs:
+        best[n, d] = max(s, best.get((n, d), 0))
+    for n in [f"p{i}" for i in range(39)]:
+        free = sorted((-s, d) for (m, d), s in best.items() if m == n and d not in used)
+        if free:
+            want[n] = free[0][1]
+            used.add(free[0][1])
+    order = spark.createDataFrame([(f"p{i}", i) for i in range(39)], "name string, ord int")
+    got = directory.assign_folders(spark.createDataFrame([(n, d, s) for (n, d), s in best.items()], "name string, dir string, score int"), order)
+    assert dict(map(tuple, got.collect())) == want
+
+
 def test_store(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
