@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values
-from ..operators import extract, rollup, store
+from ..operators import extract, partials, rollup, store
 from ..session import scratch
 from ..sources import documents, lines, records, roots
 from .views import DAILY_SQL, USAGE_SQL, daily, table, usage
@@ -253,6 +253,18 @@ def stored_events(spark, d):
     return spark.read.parquet(path).groupBy("provider").agg(F.count("*").alias("events"), F.sum("total_tokens").alias("total_tokens"))
 
 
+@query(f"WITH {USAGE_SQL} SELECT local_date AS date, provider, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, count(*) AS rows FROM u WHERE origin = 'local_log' GROUP BY 1, 2")
+def kept_totals(spark, d):
+    """Daily totals of measured events that follow a store through inserts and replacements, each file summed once."""
+    u, path = usage(spark, d).select("event_id", "provider", "total_tokens", "input_tokens", "local_date", "origin", "k", F.lit(0).alias("written")), scratch(spark, "store")
+    totals = partials.Totals(spark, path, scratch(spark, "totals"), ["local_date", "provider"], ["total_tokens", "input_tokens"], F.col("origin") == "local_log")
+    for part in ("k % 3 = 0", "k % 3 < 2"):
+        store.insert_new(u.filter(part).withColumn("total_tokens", F.col("total_tokens") + F.when(F.col("k") % 4 == 0, 1).otherwise(0)), path, "event_id", ["event_id"], ["local_date"])
+        totals.refresh()
+    store.insert_or_replace(u.withColumn("written", F.lit(1)), path, "event_id", ["written"], ["local_date"])
+    return totals.current().withColumnRenamed("local_date", "date")
+
+
 @query("SELECT * FROM (VALUES ('absent', 'empty'), ('first', 'written'), ('again', 'same'), ('changed', 'written')) v(step, result)")
 def idempotent_writes(spark, d):
     n, path = table(spark, d, "nation").repartition(3), scratch(spark, "idempotent")
