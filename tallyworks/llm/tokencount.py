@@ -83,7 +83,7 @@ def compact(spark: SparkSession, cache: str, files: int) -> None:
     fs.delete(fs_path(old), True)
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, normal_form: str | None = None, most_hot: int = 1000, most_sent: int = 1_000_000) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, normal_form: str | None = None, most_hot: int = 1000, most_sent: int = 250_000) -> DataFrame:
     """Count the tokens of every text; returns doc_id, n_bytes, n_tokens.
 
     :param tokenizer: file for tokenizers (.json) or sentencepiece (.model), readable on every executor.
@@ -92,7 +92,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, norm
     :param normal_form: unicodedata form applied before hashing and encoding (None: the text as it is).
     :param most_hot: so many of the most frequent contents are joined by broadcast, so that thousands of
         copies do not meet in one task; the others are joined by a shuffle.
-    :param most_sent: up to so many distinct misses (32 bytes each) are broadcast, and only their contents
+    :param most_sent: up to so many distinct misses (some 150 bytes each in memory) are broadcast, and only their contents
         leave the tasks that read them; beyond, all contents are shuffled, and those of hits dropped then.
 
     Digests are held against the cache first; where it has all, no content is read again or shuffled.
