@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, clean_texts
@@ -53,11 +53,49 @@ def search(members: DataFrame, query: str = "", tool: str | None = None, verifie
     if open_only:
         out = out.filter(_open(out))
     if q := query.strip().lower():
-        place = F.concat_ws(" ", "display_name", "headline", F.coalesce("location", F.lit("")), "work_categories", "tools", "proofs")
-        out = out.filter(F.lower(place).contains(q))
+        out = out.filter(_searched().contains(q))
     return out
 
 
+def _searched() -> Column:
+    """The text of a member that a query is looked for in."""
+    return F.lower(F.concat_ws(" ", "display_name", "headline", F.coalesce("location", F.lit("")), "work_categories", "tools", "proofs"))
+
+
+class SearchIndex:
+    """Members behind an inverted index of the runs of three letters of their texts.
+
+    In the folder stand the members by number, and the numbers of those whose text holds a run, sorted by run:
+    a search reads the lists of its own runs (the scans skip all others by the bounds of their blocks), takes
+    the members that are on every list, and holds the query against their texts. A query of fewer than three
+    letters has no run, and is held against all.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def build(self, members: DataFrame) -> SearchIndex:
+        members.withColumn("member", F.monotonically_increasing_id()).write.parquet(f"{self.folder}/members")
+        runs = self.members().select("member", F.explode(_grams(_searched(), GRAM)).alias("run"))
+        # a run that many members have goes over several files
+        ordered = runs.repartitionByRange("run", "member").sortWithinPartitions("run", "member")
+        ordered.write.option("parquet.block.size", 1 << 20).parquet(f"{self.folder}/runs")
+        return self
+
+    def members(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/members")
+
+    def search(self, query: str = "", **filters) -> DataFrame:
+        """The rows of :func:`search`."""
+        q = query.strip().lower()
+        runs = sorted({q[i : i + GRAM] for i in range(len(q) - GRAM + 1)})
+        if not runs:
+            return search(self.members().drop("member"), query, **filters)
+        lists = self.spark.read.parquet(f"{self.folder}/runs").filter(F.col("run").isin(runs))
+        found = lists.groupBy("member").agg(F.count("*").alias("n")).filter(F.col("n") == len(runs)).select("member")
+        return search(self.members().join(found, "member", "left_semi").drop("member"), query, **filters)
+
+
 def employer_search(members: DataFrame, tool: str | None = None, category: str | None = None, least_days: int = 0, verified: bool = False, open_only: bool = False) -> DataFrame:
     out = members
     for column, wanted in (("tools", tool), ("work_categories", category)):

@@ -111,6 +111,7 @@ ORACLES = {
     "key_history": "SELECT n_name AS key_id, CASE WHEN n_nationkey % 6 = 1 THEN 'revoked' WHEN n_name = (SELECT min(n_name) FROM nation) THEN 'active' ELSE 'rotated' END AS status FROM nation",
     "key_conflicts": "SELECT c_custkey, CASE WHEN c_nationkey < 4 THEN 'KEY_REVOKED' WHEN n_regionkey <> c_custkey % 5 THEN 'KEY_TAKEN' WHEN c_custkey % 2 <> 0 THEN 'KEY_MISMATCH' ELSE 'OK' END AS code FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "directory_search": f"{_M} SELECT handle, signature FROM mem WHERE list_contains(tools, 'tool2') AND signature IN ('valid', 'historical') AND is_open AND contains(lower(concat_ws(' ', display_name, headline, coalesce(location, ''), work_categories[1], tools[1], tools[2], proofs[1])), 'build')",
+    "indexed_search": f"{_M} SELECT handle, signature FROM mem WHERE list_contains(tools, 'tool2') AND signature IN ('valid', 'historical') AND is_open AND contains(lower(concat_ws(' ', display_name, headline, coalesce(location, ''), work_categories[1], tools[1], tools[2], proofs[1])), 'build')",
     "employer_search": f"{_M} SELECT handle, active_days FROM mem WHERE list_contains(tools, 'tool1') AND list_contains(work_categories, 'machinery') AND active_days >= 30 AND signature = 'valid'",
     "facets": f"{_M} SELECT DISTINCT unnest(tools) AS value FROM mem",
     "directory_order": f"{_M} SELECT handle, CASE WHEN c_custkey % 3 <> 0 THEN CAST(active_days AS VARCHAR) END AS published_at FROM mem",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, values
 from ..operators import derive, directory, integrity, merge, publish, rollup, rules, secrets, store
+from ..session import scratch
 from ..sources import records
 from ..streaming import limits
 from .views import daily, members, table, usage
@@ -300,6 +301,13 @@ def directory_search(spark, d):
     return directory.search(members(spark, d), " BUILD", tool="tool2", verified=True, open_only=True).select("handle", "signature")
 
 
+@query
+def indexed_search(spark, d):
+    """The same search through an index of the members' texts."""
+    index = directory.SearchIndex(spark, scratch(spark, "search")).build(members(spark, d))
+    return index.search(" BUILD", tool="tool2", verified=True, open_only=True).select("handle", "signature")
+
+
 @query
 def employer_search(spark, d):
     return directory.employer_search(members(spark, d), tool="tool1", category="machinery", least_days=30, verified=True).select("handle", "active_days")

@@ -195,6 +195,19 @@ def test_directory(spark):
     assert [r["verification"] for r in directory.observed_artifacts(arts, found).collect()] == ["collector_observed", "link_provided", "self_reported"]
 
 
+def test_members_are_found_by_an_index(spark, tmp_path):
+    rng = random.Random(9)
+    part = lambda n: "".join(rng.choice("abÉ😀 x") for _ in range(n))
+    rows = [(f"m{i}", part(6), part(20), rng.choice([None, part(5)]), [part(3)], [part(2), "tool1"], [part(4)] if i % 2 else [], "valid", ["x"] if i % 3 else [], []) for i in range(200)]
+    m = spark.createDataFrame(rows, "handle string, display_name string, headline string, location string, work_categories array<string>, tools array<string>, proofs array<string>, signature string, open_to array<string>, engagement_types array<string>")
+    index = directory.SearchIndex(spark, str(tmp_path / "index")).build(m)
+    for q in ("", "a", "AB", "abx", " xÉa", "é😀b", "tool1", "no such text", rows[5][2][3:12], rows[7][2]):
+        for f in ({}, {"tool": "tool1", "open_only": True}, {"verified": True}):
+            assert sorted(index.search(q, **f).collect()) == sorted(directory.search(m, q, **f).collect())
+    plan = index.search("tool1")._jdf.queryExecution().executedPlan().toString()
+    assert "In(run" in plan  # the lists of its runs alone are read
+
+
 def test_folders_are_found_by_an_index(spark):
     """The scores of every folder against every project, without holding all against all."""
     rng = random.Random(6)
