@@ -89,6 +89,32 @@ def valid_listing(record: object) -> dict | None:
     return kept | {"fieldsAtConsent": [f for f in fields if isinstance(f, str)]}
 
 
+def consent_records(records: DataFrame) -> DataFrame:
+    """The rules of :func:`valid_consent` for a table of records (id, record as JSON text).
+
+    Returns id, valid (switches are booleans, or absent), off (sources switched off), and listing (answer,
+    withdrawn_at, disclosure_id, handle, fields), null for an answer that is not whole. What is no JSON is not valid.
+    """
+    v = F.try_parse_json("record")
+    at = lambda path: F.try_variant_get(v, path, "variant")
+    kind = lambda path: F.schema_of_variant(at(path))
+    listing = lambda k: f"$.directoryListing.{k}"
+    string = lambda k: F.when(kind(listing(k)) == "STRING", F.try_variant_get(v, listing(k), "string"))
+    full = lambda k: F.coalesce(string(k) != "", F.lit(False))
+    switches = lambda part: F.try_variant_get(v, f"$.{part}", "map<string,variant>")
+    good = lambda part: at(f"$.{part}").isNull() | F.coalesce(kind(f"$.{part}").startswith("OBJECT") & F.forall(F.map_values(switches(part)), lambda x: F.schema_of_variant(x) == "BOOLEAN"), F.lit(False))
+    valid = v.isNotNull() & F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)) & good("sources") & good("fields")
+    dated = string("answeredAt").rlike(r"^\d{4}-\d{2}-\d{2}") & F.replace(string("answeredAt"), F.lit("Z"), F.lit("+00:00")).try_cast("timestamp").isNotNull()
+    whole = string("answer").isin(*ANSWERS) & string("answeredVia").isin(*WAYS) & dated & kind(listing("consentVersion")).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & kind(listing("fieldsAtConsent")).startswith("ARRAY")
+    for k in NAMED:
+        whole = whole & full(k)
+    whole = F.coalesce(whole, F.lit(False)) & (at(listing("withdrawnAt")).isNull() | full("withdrawnAt"))
+    texts = F.transform(F.filter(F.try_variant_get(v, listing("fieldsAtConsent"), "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string"))
+    answer = F.struct(string("answer").alias("answer"), string("withdrawnAt").alias("withdrawn_at"), string("disclosureId").alias("disclosure_id"), string("handle").alias("handle"), texts.alias("fields"))
+    off = F.array_sort(F.map_keys(F.map_filter(F.try_variant_get(v, "$.sources", "map<string,boolean>"), lambda k, x: ~x)))
+    return records.select("id", valid.alias("valid"), F.when(valid, F.coalesce(off, F.array().cast("array<string>"))).alias("off"), F.when(valid & whole, answer).alias("listing"))
+
+
 def enabled_sources(config: dict, sources: list[str]) -> list[str]:
     """Sources to open; a source switched off is never read."""
     return [s for s in sources if config["sources"].get(s, True)]

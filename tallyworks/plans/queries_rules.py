@@ -156,6 +156,22 @@ def verification_steps(spark, d):
     return rules.verification_steps(c.join(o, "c_custkey", "left").withColumnRenamed("c_custkey", "id"))
 
 
+_CONSENT = """'{"sources": {"claude": ' || CASE WHEN c_nationkey % 9 = 0 THEN '"yes"' WHEN c_nationkey % 2 = 0 THEN 'true' ELSE 'false' END || ', "codex": false}, "directoryListing": {"answer": "' || CASE WHEN c_nationkey % 5 = 0 THEN 'declined' WHEN c_nationkey = 7 THEN 'yes' ELSE 'granted' END || '", "answeredVia": "tty-prompt", "answeredAt": "2026-01-01T00:00:00Z", "disclosureId": "' || CASE WHEN c_custkey % 4 = 0 THEN 'old' ELSE 'now' END || '", "disclosureSha256": "s", "handle": "' || CASE WHEN c_mktsegment = 'BUILDING' THEN '' ELSE lower(c_name) END || '", "publicUrl": "u", "consentVersion": ' || CASE WHEN c_custkey % 11 = 0 THEN 'true' ELSE '1' END || ', "fieldsAtConsent": ["models", 3, "' || c_mktsegment || '"]' || CASE WHEN c_custkey % 13 = 0 THEN ', "withdrawnAt": ""' WHEN c_custkey % 6 = 0 THEN ', "withdrawnAt": "2026-02-02"' ELSE '' END || CASE WHEN c_custkey % 17 = 0 THEN '}' ELSE '}}' END"""
+
+
+@query(
+    f"""WITH r AS (SELECT c_custkey, CASE WHEN json_valid(x) THEN x END AS j FROM (SELECT c_custkey, {_CONSENT} AS x FROM customer)),
+v AS (SELECT c_custkey, j, j IS NOT NULL AND json_type(j, '$.sources.claude') = 'BOOLEAN' AS ok, coalesce(j ->> '$.directoryListing.answer' IN ('granted', 'declined') AND j ->> '$.directoryListing.handle' <> '' AND json_type(j, '$.directoryListing.consentVersion') <> 'BOOLEAN' AND coalesce(j ->> '$.directoryListing.withdrawnAt', 'none') <> '', false) AS whole FROM r)
+SELECT c_custkey, ok AS valid, CASE WHEN ok THEN CASE WHEN j ->> '$.sources.claude' = 'false' THEN 'claude,codex' ELSE 'codex' END END AS off, CASE WHEN ok AND whole THEN j ->> '$.directoryListing.handle' END AS handle, CASE WHEN ok AND whole THEN concat('models,', j ->> '$.directoryListing.fieldsAtConsent[2]') END AS fields,
+  CASE WHEN NOT (ok AND whole) THEN 'unanswered' WHEN j ->> '$.directoryListing.withdrawnAt' IS NOT NULL THEN 'withdrawn' WHEN j ->> '$.directoryListing.answer' = 'declined' THEN 'declined' WHEN j ->> '$.directoryListing.disclosureId' <> 'now' THEN 'stale-disclosure' ELSE 'granted' END AS state FROM v"""
+)
+def consent_states(spark, d):
+    """Consent records of the customers: some broken, with switches that are none or answers that are not whole."""
+    r = table(spark, d, "customer").selectExpr("c_custkey AS id", f"{_CONSENT} AS record")
+    listing = F.col("listing")
+    return rules.consent_records(r).select(F.col("id").alias("c_custkey"), "valid", F.concat_ws(",", "off").alias("o"), "off", "listing").select("c_custkey", "valid", F.when(F.col("off").isNotNull(), F.col("o")).alias("off"), listing["handle"].alias("handle"), F.when(listing.isNotNull(), F.concat_ws(",", listing["fields"])).alias("fields"), rules.listing_state(listing, "now").alias("state"))
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'unanswered' WHEN c_custkey % 5 = 0 THEN 'withdrawn' WHEN c_custkey % 3 = 0 THEN 'declined' WHEN c_custkey % 2 = 0 THEN 'stale-disclosure' ELSE 'granted' END AS state FROM customer")
 def listing_states(spark, d):
     k = F.col("c_custkey")

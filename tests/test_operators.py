@@ -195,6 +195,26 @@ def test_directory(spark):
     assert [r["verification"] for r in directory.observed_artifacts(arts, found).collect()] == ["collector_observed", "link_provided", "self_reported"]
 
 
+def test_consent_records_of_a_table_follow_the_rules_of_one(spark):
+    whole = {"answer": "granted", "answeredVia": "tty-prompt", "answeredAt": "2026-01-01T00:00:00Z", "disclosureId": "d", "disclosureSha256": "s", "handle": "h", "publicUrl": "u", "consentVersion": 1, "fieldsAtConsent": ["models", 3]}
+    listings = [whole, None, [], {}, "x", *[whole | x for x in ({"answer": "yes"}, {"answeredVia": "web"}, {"answeredAt": "soon"}, {"answeredAt": ""}, {"handle": ""}, {"handle": 7}, {"consentVersion": True}, {"consentVersion": "1"}, {"consentVersion": 1.5}, {"fieldsAtConsent": None}, {"fieldsAtConsent": []}, {"withdrawnAt": ""}, {"withdrawnAt": "2026-02-02"}, {"withdrawnAt": None}, {"answer": "declined"})]]
+    configs = [{"directoryListing": x} for x in listings] + [{}, {"sources": {}}, {"sources": {"a": False, "b": True}, "fields": {"x": True}}, {"sources": {"a": "no"}}, {"sources": []}, {"sources": None}, {"fields": {"x": 1}}, {"fields": {"x": None}}]
+    rows = [(i, json.dumps(c)) for i, c in enumerate(configs)] + [(900, "{broken"), (901, None), (902, "[]"), (903, "3")]
+    got = {r.id: r for r in rules.consent_records(spark.createDataFrame(rows, "id int, record string")).collect()}
+    for i, c in enumerate(configs):
+        try:
+            want = rules.valid_consent(c)
+        except ValueError:
+            assert not got[i].valid and got[i].off is None and got[i].listing is None, c
+            continue
+        assert got[i].valid and got[i].off == sorted(k for k, v in want["sources"].items() if not v)
+        listing = want.get("directoryListing")
+        assert (got[i].listing is None) == (listing is None), c
+        if listing:
+            assert (got[i].listing.answer, got[i].listing.withdrawn_at, got[i].listing.fields) == (listing["answer"], listing.get("withdrawnAt"), listing["fieldsAtConsent"])
+    assert not any(got[i].valid for i in (900, 901, 902, 903))
+
+
 def test_members_are_found_by_an_index(spark, tmp_path):
     rng = random.Random(9)
     part = lambda n: "".join(rng.choice("abÉ😀 x") for _ in range(n))
