@@ -294,7 +294,7 @@ def gate(documents: DataFrame, revoked: DataFrame, most_bytes: int = 512 * 1024,
     get = lambda p: F.get_json_object("document", f"$.{p}")
     flags = F.from_json("document", "privacy struct<rawContentPersisted:boolean,allowlistPublication:boolean>, verification struct<rawLogsPublished:boolean>")
     expected = F.col("expected_key") if "expected_key" in documents.columns else F.lit(None).cast("string")
-    d = documents.withColumns({"state": signature_states(F.col("document")), "key_id": get("signature.keyId"), "public_key": get("signature.publicKey"), "flags": flags, "expected": expected})
+    d = documents.withColumns({"state": signature_states(F.when(F.octet_length("document") <= most_bytes, F.col("document"))), "key_id": get("signature.keyId"), "public_key": get("signature.publicKey"), "flags": flags, "expected": expected})
     d = d.join(marks, "id", "left").join(revoked.select("key_id", F.lit(True).alias("gone")).distinct(), "key_id", "left")
     rules = [
         ("INVALID_JSON", keys.isNull()),
