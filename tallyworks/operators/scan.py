@@ -21,8 +21,11 @@ MOST = 5_000_000
 def by_size(df: DataFrame, keys: list[str], most: int = MOST) -> tuple[DataFrame, DataFrame | None]:
     """(rows of keys that one task can read, rows of the others or None if there are none).
 
-    Of the others there are fewer than one key for each ``most`` rows of the table.
+    Of the others there are fewer than one key for each ``most`` rows of the table. A table that is read from
+    fewer bytes than ``most`` is not counted.
     """
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < most:
+        return df, None
     large = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).drop("_n")
     named = large.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).persist()
     try:

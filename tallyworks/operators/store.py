@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,17 +18,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def _one_of_each(df: DataFrame, keys: list[str], pick: Callable[[Column, Column], Column], order: list[str]) -> DataFrame:
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    return df.groupBy(*[F.col(f"`{k}`").alias(f"_key{i}") for i, k in enumerate(keys)]).agg(pick(row, F.struct(*order)).alias("_row")).select("_row.*")
+def _one_of_each(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The first row of each key; Spark keeps one for a key in each task before the shuffle (its window group limit), so that a key of any number of copies is no load."""
+    w = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(*order)
+    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
 def first_write_wins(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first row of each key in a total order: arrival does not matter.
-
-    Each task keeps one row for a key before the shuffle, so that a key of any number of copies is no load.
-    """
-    return _one_of_each(df, [key], F.min_by, order)
+    """The first row of each key in a total order: arrival does not matter."""
+    return _one_of_each(df, [key], [F.asc(o) for o in order])
 
 
 def not_stored(df: DataFrame, stored: DataFrame, key: str = "event_id") -> DataFrame:
@@ -189,7 +185,7 @@ def insert_or_replace(df: DataFrame, path: str, key: str, order: list[str], part
 
 def latest_of_each(updates: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Upsert as a view: the last update of each key."""
-    return _one_of_each(updates, keys, F.max_by, order)
+    return _one_of_each(updates, keys, [F.desc(o) for o in order])
 
 
 def write_if_changed(df: DataFrame, path: str, order: list[str]) -> str:
