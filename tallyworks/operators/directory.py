@@ -163,9 +163,7 @@ GRAM = 3
 
 def _grams(text: Column, n: int) -> Column:
     """The distinct runs of n characters of a text, in time that grows with it."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    some = F.when(F.size(chars) >= n, F.sequence(F.lit(1), F.size(chars) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(some, lambda i: F.concat(*[F.element_at(chars, i + k) for k in range(n)])))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)))
 
 
 def _candidates(projects: DataFrame, folders: DataFrame) -> DataFrame:

@@ -1,0 +1,22 @@
+"""Faults that show only on larger tables, on inputs small enough for a test."""
+
+import time
+
+from pyspark.sql import functions as F
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan(df, which="optimizedPlan"):
+    return getattr(df._jdf.queryExecution(), which)().toString()
+
+
+def test_runs_of_letters_in_linear_time(spark):
+    from tallyworks.operators.directory import _grams
+
+    df = spark.createDataFrame([("ab😀cd",), ("ab",), (None,), ("abcabc\n",)], "t string")
+    assert [r[0] for r in df.select(_grams(F.col("t"), 3)).collect()] == [["ab😀", "b😀c", "😀cd"], [], None, ["abc", "bca", "cab", "bc\n"]]
+    long = spark.range(1).select(F.concat(*[F.lit("xyz-" * 2500), F.col("id").cast("string"), F.lit("🙂" * 10000)]).alias("t"))
+    start = time.time()
+    assert long.select(F.size(_grams(F.col("t"), 3))).first()[0] == 8
+    assert time.time() - start < 20
