@@ -20,3 +20,13 @@ def test_runs_of_letters_in_linear_time(spark):
     start = time.time()
     assert long.select(F.size(_grams(F.col("t"), 3))).first()[0] == 8
     assert time.time() - start < 20
+
+
+def test_lines_are_parsed_once(spark):
+    from tallyworks.operators import extract
+
+    rows = [("f", "2024-01-01", 0, i, x) for i, x in enumerate(['{"token_usage":{"output":3},"usage":{"output":0}}', '{"scope":"session","usage":{"output":4}}', '{"payload":{"usage":{"scope":"session","output":5}},"data":{"output":6}}', "{usage", '{"usage":{}}'])]
+    lines = spark.createDataFrame(rows, "file string, modified string, block int, seq int, line string").withColumn("modified", F.to_timestamp("modified"))
+    records = extract.turn_records(lines, "kimi")
+    assert plan(records).count("from_json(") == 1 and plan(extract.message_usage(lines, "claude", b"k")).count("from_json(") == 1
+    assert sorted(r.total_tokens for r in records.collect()) == [3, 6]
