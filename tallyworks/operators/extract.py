@@ -71,7 +71,8 @@ def _turns(lines: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataF
     handed = handed.select("file", "block", F.last("last_named", ignorenulls=True).over(earlier).alias("model_before"), F.coalesce(F.sum("turns").over(earlier), F.lit(0)).alias("turns_before"))
     w = Window.partitionBy("file", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = some.withColumns({"model_here": F.last("named", ignorenulls=True).over(w), "turns_here": F.sum(F.col("is_event").cast("long")).over(w)}).filter("is_event")
-    return own.join(handed, ["file", "block"]), after
+    # there may be as many files as lines: never a table to broadcast, however small its scan looks
+    return own.join(handed.hint("merge"), ["file", "block"]), after
 
 
 def turn_state(lines: DataFrame, before: DataFrame | None = None) -> DataFrame:

@@ -140,7 +140,7 @@ def unusable_numbers(spark, d):
         "record": extract.turn_records(of(line(',"usage":{"input_other":', odd, ',"output":3}}')), "kimi"),
     }
     # the number's kind is told by the event's file
-    kinds = e.select(extract.fingerprint(F.concat(F.lit("log-"), F.col("id").cast("string"))).alias("source_fingerprint"), (F.col("id") % 7).alias("odd"))
+    kinds = e.select(extract.fingerprint(F.concat(F.lit("log-"), F.col("id").cast("string"))).alias("source_fingerprint"), (F.col("id") % 7).alias("odd")).hint("merge")  # a row for each event, too many to broadcast
     parts = [x.join(kinds, "source_fingerprint").groupBy("odd").agg(F.count("*").alias("events"), F.sum("total_tokens").alias("total_tokens"), F.sum("input_tokens").alias("input_tokens"), F.count("occurred_at").alias("dated")).withColumn("format", F.lit(name)) for name, x in found.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 

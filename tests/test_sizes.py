@@ -30,3 +30,9 @@ def test_lines_are_parsed_once(spark):
     records = extract.turn_records(lines, "kimi")
     assert plan(records).count("from_json(") == 1 and plan(extract.message_usage(lines, "claude", b"k")).count("from_json(") == 1
     assert sorted(r.total_tokens for r in records.collect()) == [3, 6]
+
+
+def test_tables_of_a_row_for_each_event_are_not_broadcast(spark):
+    from tallyworks.plans.catalog import QUERIES
+
+    assert "Broadcast" not in plan(QUERIES["unusable_numbers"](spark, SF), "executedPlan")
