@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,14 +88,24 @@ def clean_texts(xs: Column, most: int = 24, length: int = 60) -> Column:
 
 
 def compact_number(x: Column) -> Column:
-    """1.23T, 4.56B, 7.8M, 9.1K or a whole number; n/a for null."""
-    a = F.abs(x)
-    short = lambda unit, digits, sign: F.concat(F.format_string(f"%.{digits}f", x.cast("double") / F.lit(unit)), F.lit(sign))
-    return F.when(x.isNull(), "n/a").when(a >= 1e12, short(1e12, 2, "T")).when(a >= 1e9, short(1e9, 2, "B")).when(a >= 1e6, short(1e6, 1, "M")).when(a >= 1e3, short(1e3, 1, "K")).otherwise(x.cast("long").cast("string"))
+    """1.23T, 4.56B, 7.8M, 9.1K or a whole number; n/a for null. Whole numbers are divided as decimals, so that halves go away from zero at any size."""
+    a, whole = F.abs(x), x.try_cast("decimal(24,0)")
+    exact = F.coalesce(whole == x, F.lit(False))
+
+    def short(unit: int, digits: int, sign: str) -> Column:
+        divided = F.round(whole / F.lit(Decimal(unit)), digits).cast("string")
+        return F.concat(F.when(exact, divided).otherwise(F.format_string(f"%.{digits}f", x.cast("double") / F.lit(float(unit)))), F.lit(sign))
+
+    return F.when(x.isNull(), "n/a").when(a >= 1e12, short(10**12, 2, "T")).when(a >= 1e9, short(10**9, 2, "B")).when(a >= 1e6, short(10**6, 1, "M")).when(a >= 1e3, short(10**3, 1, "K")).otherwise(x.cast("long").cast("string"))
+
+
+#: From here on doubles are whole, and a half can not be added to them.
+ALL_WHOLE = 1 << 52
 
 
 def full_number(x: Column) -> Column:
-    return F.coalesce(F.format_number(F.floor(x + 0.5), 0), F.lit("—"))
+    large = F.when((x >= ALL_WHOLE) | (x <= -ALL_WHOLE), x.try_cast("decimal(38,0)"))
+    return F.coalesce(F.format_number(large, 0), F.format_number(F.floor(x + 0.5), 0), F.lit("—"))
 
 
 def currency(x: Column) -> Column:

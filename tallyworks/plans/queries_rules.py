@@ -315,8 +315,9 @@ def _short(x: str, unit: int, digits: int, sign: str) -> str:
   format('{{:,}}', n) AS whole, CASE n % 3 WHEN 0 THEN '—' ELSE concat(o_orderkey * 100 // (n % 3), '.0%') END AS share FROM (SELECT o_orderkey, CAST(o_orderkey AS HUGEINT) * o_orderkey * o_custkey AS n FROM orders)"""
 )
 def number_formats(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") * F.col("o_orderkey") * F.col("o_custkey")).alias("n"))
-    return o.select("o_orderkey", text.compact_number(F.col("n")).alias("compact"), text.full_number(F.col("n")).alias("whole"), text.percent(F.col("o_orderkey"), F.col("n") % 3).alias("share"))
+    key, customer = F.col("o_orderkey").cast("decimal(18,0)"), F.col("o_custkey").cast("decimal(18,0)")
+    o = table(spark, d, "orders").select("o_orderkey", (key * key * customer).alias("n"))  # more than a long holds
+    return o.select("o_orderkey", text.compact_number(F.col("n")).alias("compact"), text.full_number(F.col("n")).alias("whole"), text.percent(F.col("o_orderkey"), (F.col("n") % 3).cast("int")).alias("share"))
 
 
 _FNV = "list_reduce(list_concat([2166136261::BIGINT], list_transform(string_split(u, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"

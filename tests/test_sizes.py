@@ -36,3 +36,15 @@ def test_tables_of_a_row_for_each_event_are_not_broadcast(spark):
     from tallyworks.plans.catalog import QUERIES
 
     assert "Broadcast" not in plan(QUERIES["unusable_numbers"](spark, SF), "executedPlan")
+
+
+def test_numbers_of_any_size_are_written_exactly(spark):
+    from tallyworks.functions import text
+
+    df = spark.sql("select explode(array(13552325512859223BD, 1005000000000005BD, 1664500000001BD, 72900000000000000000123BD, -13552325512859223BD, 1250BD, 7BD)) as n")
+    got = [tuple(r) for r in df.select(text.compact_number(F.col("n")), text.full_number(F.col("n"))).collect()]
+    assert got == [("13552.33T", "13,552,325,512,859,223"), ("1005.00T", "1,005,000,000,000,005"), ("1.66T", "1,664,500,000,001"), ("72900000000.00T", "72,900,000,000,000,000,000,123"), ("-13552.33T", "-13,552,325,512,859,223"), ("1.3K", "1,250"), ("7", "7")]
+    longs = spark.sql("select explode(array(9223372036854775807, 999999, 1005)) as n")
+    assert [tuple(r) for r in longs.select(text.compact_number(F.col("n")), text.full_number(F.col("n"))).collect()] == [("9223372.04T", "9,223,372,036,854,775,807"), ("1000.0K", "999,999"), ("1.0K", "1,005")]
+    doubles = spark.sql("select explode(array(1049.9999D, -2.5D, 1e17D, cast(null as double))) as n")
+    assert [r[0] for r in doubles.select(text.full_number(F.col("n"))).collect()] == ["1,050", "-2", "100,000,000,000,000,000", "—"]
