@@ -14,6 +14,11 @@ MOST_COUNT = (1 << 53) - 1
 FIRST_MS, LAST_MS = -62_135_596_800_000, 253_402_300_799_999
 
 
+def once(x: Column) -> Column:
+    """A column computed once for each row: filters that read a generated column do not compute it again below themselves."""
+    return F.explode(F.array(x))
+
+
 def count_or_zero(x: Column) -> Column:
     """A number as a count: null, NaN, negative values and those above MOST_COUNT are 0."""
     return F.when(x.try_cast("double").between(0, MOST_COUNT), x.try_cast("long")).otherwise(F.lit(0).cast("long"))

@@ -23,11 +23,6 @@ def _events(df: DataFrame, provider: str, adapter: str, version: str) -> DataFra
     return df.withColumns({"provider": F.lit(provider), "adapter": F.lit(adapter), "adapter_version": F.lit(version), "event_schema_version": F.lit(EVENT_VERSION), "measurement_class": F.lit("provider_reported"), "confidence": F.lit("high"), "origin": F.lit("local_log"), "source_label": F.lit(None).cast("string"), "occurred_at": F.try_to_timestamp("occurred_at_raw")})
 
 
-def _once(x: Column) -> Column:
-    """A column computed once for each row: filters that read a generated column do not compute it again below themselves."""
-    return F.explode(F.array(x))
-
-
 def fingerprint(file: Column) -> Column:
     return values.short_hash(file, n=24)
 
@@ -38,7 +33,7 @@ _USAGE = "struct<input_tokens:double,inputTokens:double,output_tokens:double,out
 def message_usage(lines: DataFrame, provider: str, key: bytes, adapter: str = "jsonl", version: str = "1.0.0") -> DataFrame:
     """Format A: a message with its usage in each line. key: of the session pseudonyms."""
     schema = f"timestamp string, sessionId string, requestId string, model string, usage {_USAGE}, message struct<id:string,model:string,usage:{_USAGE}>"
-    j = lines.filter(F.col("line").contains("oken")).select("file", _once(F.from_json("line", schema)).alias("j")).select("file", "j.*")
+    j = lines.filter(F.col("line").contains("oken")).select("file", values.once(F.from_json("line", schema)).alias("j")).select("file", "j.*")
     u = F.coalesce("message.usage", "usage")
     pick = lambda *names: values.count_or_zero(F.coalesce(*[u[n] for n in names]))
     e = j.select(
@@ -55,7 +50,7 @@ def _turns(lines: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataF
     """(usage lines with the model named last and the turn's number, what each file hands on: file, model, turns)."""
     last = "struct<input_tokens:double,cached_input_tokens:double,output_tokens:double>"
     schema = f"type string, timestamp string, payload struct<type:string,model:string,info:struct<last_token_usage:{last}>>"
-    j = lines.select("file", "block", "seq", _once(F.from_json("line", schema)).alias("j")).select("file", "block", "seq", "j.*")
+    j = lines.select("file", "block", "seq", values.once(F.from_json("line", schema)).alias("j")).select("file", "block", "seq", "j.*")
     context = F.coalesce((F.col("payload.type") == "turn_context") | (F.col("type") == "turn_context"), F.lit(False))
     usage = F.col("payload.info.last_token_usage")
     whole, out = values.count_or_zero(usage["input_tokens"]), values.count_or_zero(usage["output_tokens"])
@@ -223,7 +218,7 @@ def turn_records(lines: DataFrame, provider: str, adapter: str = "turn-records",
     root, payload = F.col("j"), F.col("j.payload")
     own = lambda c: F.struct(*[c[n].alias(n) for n in names_])
     places = [F.col(f"j.{p}") for p in ("usage", "token_usage", "tokenUsage", "payload.usage", "payload.token_usage", "payload.tokenUsage")] + [own(payload), F.col("j.message"), F.col("j.data"), own(root)]
-    j = lines.filter(F.col("line").contains("sage") | F.col("line").contains("oken")).select("file", "block", "seq", "modified", _once(F.from_json("line", schema)).alias("j"))
+    j = lines.filter(F.col("line").contains("sage") | F.col("line").contains("oken")).select("file", "block", "seq", "modified", values.once(F.from_json("line", schema)).alias("j"))
     j = j.filter(~session_scoped(root) & ~session_scoped(payload))
     there = F.filter(F.array(*places), lambda x: x.isNotNull())  # most lines have few of the places
     found = F.explode(F.slice(F.filter(F.transform(there, candidate), lambda x: (x["total_tokens"] > 0) & ~x["scoped"]), 1, 1))  # the first, or no row

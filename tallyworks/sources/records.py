@@ -114,7 +114,7 @@ def daily_rows(documents: DataFrame, provider: str) -> DataFrame:
     """
     names = dict.fromkeys([*DAILY_DATES, "provider", "agent", "source", "models", "modelsUsed", "model", "modelName", *[a for x in DAILY_ALIASES.values() for a in x]])
     parsed = F.from_json("record", ",".join(f"`{n}` string" for n in names))  # once, not for each name
-    r = _records(documents.select("source", "document"), DailyRecords, "record string").select("source", "ord", parsed.alias("record"))
+    r = _records(documents.select("source", "document"), DailyRecords, "record string").select("source", "ord", values.once(parsed).alias("record"))
     get = lambda k: F.col("record")[k]
     own = text.provider_slug(F.coalesce(get("provider"), get("agent"), get("source")))
     models = F.coalesce(*[F.from_json(get(k), "array<string>") for k in ("models", "modelsUsed")], *[F.array(get(k)) for k in ("model", "modelName")])
@@ -172,7 +172,8 @@ def import_events(rows: DataFrame, source: str, kind: str, provider: str = "impo
     are skipped. Ids hold the row's ordinal, so that the same file again adds nothing.
     """
     n = {f: values.whole_or_zero(values.lenient_number(F.col(f), spaces=True, negatives=False)) for f in ("input", "output", "cache_read", "cache_creation", "total")}
-    r = rows.select("ord", values.any_date(F.col("date")).alias("local_date"), text.safe_label(F.coalesce("provider", F.lit(provider)), 40, provider).alias("provider"), text.safe_label(F.col("model"), 80, None).alias("model"), n["input"].alias("input_tokens"), n["output"].alias("output_tokens"), n["cache_creation"].alias("cache_creation_tokens"), n["cache_read"].alias("cache_read_tokens"), n["total"].alias("explicit"))
+    read = F.struct(values.any_date(F.col("date")).alias("local_date"), text.safe_label(F.coalesce("provider", F.lit(provider)), 40, provider).alias("provider"), text.safe_label(F.col("model"), 80, None).alias("model"), n["input"].alias("input_tokens"), n["output"].alias("output_tokens"), n["cache_creation"].alias("cache_creation_tokens"), n["cache_read"].alias("cache_read_tokens"), n["total"].alias("explicit"))
+    r = rows.select("ord", read.alias("read")).select("ord", values.once(F.col("read")).alias("read")).select("ord", "read.*")
     parts = F.col("input_tokens") + F.col("output_tokens") + F.col("cache_creation_tokens") + F.col("cache_read_tokens")
     r = r.withColumn("total_tokens", F.when(F.col("explicit") > 0, F.col("explicit")).otherwise(parts)).filter("local_date is not null and total_tokens > 0")
     return r.withColumns(

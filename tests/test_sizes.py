@@ -48,3 +48,10 @@ def test_numbers_of_any_size_are_written_exactly(spark):
     assert [tuple(r) for r in longs.select(text.compact_number(F.col("n")), text.full_number(F.col("n"))).collect()] == [("9223372.04T", "9,223,372,036,854,775,807"), ("1000.0K", "999,999"), ("1.0K", "1,005")]
     doubles = spark.sql("select explode(array(1049.9999D, -2.5D, 1e17D, cast(null as double))) as n")
     assert [r[0] for r in doubles.select(text.full_number(F.col("n"))).collect()] == ["1,050", "-2", "100,000,000,000,000,000", "—"]
+
+
+def test_imported_numbers_are_read_once(spark):
+    from tallyworks.plans.catalog import QUERIES
+
+    text = plan(QUERIES["import_events"](spark, SF))
+    assert not [line for line in text.splitlines() if "Filter" in line and "regexp" in line.lower()]
