@@ -177,17 +177,21 @@ def _candidates(projects: DataFrame, folders: DataFrame) -> DataFrame:
     names = projects.select("project", name.alias("word")).filter("word <> ''").distinct()
     text = F.explode(F.array(*[F.coalesce(c, F.lit("")) for c in ("base", "package", "evidence")]))
     texts = folders.select("folder", text.alias("text")).filter("text <> ''")
+    spark, path = folders.sparkSession, scratch(folders.sparkSession, "folder-texts")
+    # many folders share a text: each text is indexed once
+    texts.select("text").distinct().withColumn("place", F.monotonically_increasing_id()).write.parquet(path)
+    places = spark.read.parquet(path)
     # of names: all their runs; of texts: those of the same lengths
     runs = F.when(F.length("word") >= GRAM, _grams(F.col("word"), GRAM)).otherwise(F.array("word"))
     of_names = names.select("word", F.explode(runs).alias("run")).distinct()
-    of_texts = texts.select("folder", F.explode(F.array_union(F.array_union(_grams(F.col("text"), 1), _grams(F.col("text"), 2)), _grams(F.col("text"), GRAM))).alias("run")).join(of_names.select("run").distinct(), "run", "left_semi").distinct()
-    path = scratch(folders.sparkSession, "folder-runs")
+    of_texts = places.select("place", F.explode(F.array_union(F.array_union(_grams(F.col("text"), 1), _grams(F.col("text"), 2)), _grams(F.col("text"), GRAM))).alias("run")).join(of_names.select("run").distinct(), "run", "left_semi").distinct()
+    path = scratch(spark, "folder-runs")
     of_texts.write.parquet(path)
-    of_texts = folders.sparkSession.read.parquet(path)
+    of_texts = spark.read.parquet(path)
     counts = of_texts.groupBy("run").agg(F.count("*").alias("n"))
     rarest = of_names.join(counts, "run", "left").groupBy("word").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run"))["run"].alias("run"))
-    met = of_texts.join(rarest, "run").select("folder", "word").join(texts, "folder").filter(F.contains("text", "word")).select("folder", "word").distinct()
-    return met.join(names, "word").select("project", "folder").distinct()
+    met = of_texts.join(rarest, "run").select("place", "word").join(places, "place").filter(F.contains("text", "word")).select("text", "word").distinct()
+    return met.join(names, "word").select("project", "text").distinct().join(texts.hint("merge"), "text").select("project", "folder").distinct()  # texts and folders: too many to broadcast
 
 
 def score_folders(projects: DataFrame, folders: DataFrame, most: int = 12) -> DataFrame:
@@ -204,7 +208,7 @@ def score_folders(projects: DataFrame, folders: DataFrame, most: int = 12) -> Da
         return df.sparkSession.read.parquet(path)
 
     p, f = kept(projects.select("name", "aliases", "domains"), "projects", "project"), kept(folders.select("dir", "base", "package", "evidence", "files"), "folders", "folder")
-    j = _candidates(p, f).join(p, "project").join(f, "folder")
+    j = _candidates(p, f).join(p, "project").join(f.hint("merge"), "folder")
     w = WEIGHTS
     one = lambda a: F.when(a == "", 0).otherwise(F.when(F.col("base") == a, w["folder_is"]).when(F.col("base").contains(a), w["folder_has"]).otherwise(0) + F.when(F.col("package").contains(a), w["package"]).otherwise(0) + F.when(F.col("evidence").contains(a) | F.col("evidence").contains(F.replace(a, F.lit("-"), F.lit(" "))), w["text"]).otherwise(0))
     has = lambda *names: F.coalesce(F.arrays_overlap("files", F.array(*map(F.lit, names))).cast("int"), F.lit(0))

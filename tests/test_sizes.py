@@ -55,3 +55,18 @@ def test_imported_numbers_are_read_once(spark):
 
     text = plan(QUERIES["import_events"](spark, SF))
     assert not [line for line in text.splitlines() if "Filter" in line and "regexp" in line.lower()]
+
+
+def test_folders_of_one_text_are_indexed_once(spark):
+    from pathlib import Path
+
+    from tallyworks.operators import directory
+
+    folders = spark.range(200).select(F.concat(F.lit("d"), "id").alias("dir"), F.lit("alpha").alias("base"), F.lit("").alias("package"), F.lit("alpha x").alias("evidence"), F.array(F.lit("x")).alias("files"))
+    projects = spark.createDataFrame([("p", ["alpha"], [])], "name string, aliases array<string>, domains array<string>")
+    place = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(place.glob("folder-runs-*"))
+    got = directory.score_folders(projects, folders)
+    assert got.count() == 12 and {r.score for r in got.collect()} == {395}
+    (runs,) = set(place.glob("folder-runs-*")) - before
+    assert spark.read.parquet(str(runs)).count() == 6  # alp, lph, pha in each of two texts
