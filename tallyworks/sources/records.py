@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import marshal
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,10 +51,10 @@ def objects(document: object) -> Iterator[dict]:
             waiting.extend(reversed(x))
 
 
-def _parsed(document: str | None) -> object:
-    """A document's value; None for one that is no JSON, or nested too deep for a parser."""
+def _parsed(document: str | None, each: Callable[[list[tuple[str, object]]], object] | None = None) -> object:
+    """A document's value, with ``each`` in the place of its objects; None for one that is no JSON, or nested too deep for a parser."""
     try:
-        return json.loads(document) if document else None
+        return json.loads(document, object_pairs_hook=each) if document else None
     except (ValueError, RecursionError):
         return None
 
@@ -79,21 +80,55 @@ class DailyRecords:
 
 def _as_text(x: object) -> str | None:
     """A JSON scalar as text, half characters replaced; None for null, objects and lists."""
-    if x is None or isinstance(x, (str, dict, list)):
+    if x is None or isinstance(x, (str, bytes, dict, list)):
         return x.encode("utf-8", "replace").decode() if isinstance(x, str) else None
     return json.dumps(x)
 
 
+class _Kept(list):
+    """What stays of an object that holds others: packed records and what their objects hold, in document order."""
+
+
+def _packed(x: list | bytes) -> list | bytes:
+    """What of a value holds records; lists of whatever depth become one."""
+    if isinstance(x, (bytes, _Kept)):
+        return x
+    out, waiting = _Kept(), [x]
+    while waiting:
+        y = waiting.pop()
+        if isinstance(y, (bytes, _Kept)):
+            out.append(y)
+        elif isinstance(y, list):
+            waiting.extend(reversed(y))
+    return out
+
+
+def _import_record(pairs: list[tuple[str, object]]) -> list | bytes | None:
+    """What stays of an object while its document is read: its own record, packed, if it has a date and usage, and what its values hold."""
+    x = dict(pairs)
+    plain = {_plain(k): v for k, v in x.items()}
+    kept = _Kept(w for v in x.values() if isinstance(v, (bytes, list)) and (w := _packed(v)))
+    if any(a in plain for a in IMPORT_ALIASES["date"]) and any(a in plain for f in ("input", "output", "total") for a in IMPORT_ALIASES[f]):
+        record = marshal.dumps(tuple(next((t for a in aliases if (t := _as_text(plain.get(a))) is not None), None) for aliases in IMPORT_ALIASES.values()))
+        return _Kept([record, *kept]) if kept else record
+    return kept or None
+
+
 class ImportRecords:
-    """UDTF: documents to objects with a date and usage under any known name: ord, and the text of each known field."""
+    """UDTF: documents to objects with a date and usage under any known name: ord, and the text of each known field.
+
+    Of a document only the packed records are kept while it is read, not its objects.
+    """
 
     def eval(self, document: str):
-        n = 0
-        for x in objects(_parsed(document)):
-            plain = {_plain(k): v for k, v in x.items()}
-            if any(a in plain for a in IMPORT_ALIASES["date"]) and any(a in plain for f in ("input", "output", "total") for a in IMPORT_ALIASES[f]):
-                yield n, *(next((t for a in aliases if (t := _as_text(plain.get(a))) is not None), None) for aliases in IMPORT_ALIASES.values())
+        n, waiting = 0, [_parsed(document, _import_record)]
+        while waiting:
+            x = waiting.pop()
+            if isinstance(x, bytes):
+                yield n, *marshal.loads(x)
                 n += 1
+            elif isinstance(x, list):
+                waiting.extend(reversed(x))
 
 
 def _records(documents: DataFrame, finder: type, columns: str) -> DataFrame:

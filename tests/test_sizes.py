@@ -70,3 +70,20 @@ def test_folders_of_one_text_are_indexed_once(spark):
     assert got.count() == 12 and {r.score for r in got.collect()} == {395}
     (runs,) = set(place.glob("folder-runs-*")) - before
     assert spark.read.parquet(str(runs)).count() == 6  # alp, lph, pha in each of two texts
+
+
+def test_imports_keep_only_records_of_a_document():
+    import tracemalloc
+
+    from tallyworks.sources.records import ImportRecords
+
+    one = '{"Usage_Date":"1998-02-02","tool":"T","promptTokens":%d,"completionTokens":"5","note":{"a":[1,2],"b":"text"}}'
+    document = '{"x":{"items":[' + ",".join(one % i for i in range(20_000)) + "]}}"
+    tracemalloc.start()
+    n = sum(1 for _ in ImportRecords().eval(document))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 20_000 and peak < 2 * len(document)
+    nested = '{"date":"d1","total":1,"date2":{"day":"d2","tokens":2},"list":[[{"time":"d3","input":3}],{"a":{"day":null,"total":{"day":"d5","total":5}}}]}'
+    assert [(r[0], r[1], r[-1]) for r in ImportRecords().eval(nested)] == [(0, "d1", "1"), (1, "d2", "2"), (2, "d3", None), (3, None, None), (4, "d5", "5")]
+    assert [*ImportRecords().eval("{"), *ImportRecords().eval(None), *ImportRecords().eval("[1]")] == []
