@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text, values
 from ..operators import blocks, derive, directory, merge, publish, rollup, rules, secrets, store
 from ..streaming import limits
-from .views import DAILY_SQL, MEMBERS_SQL, USAGE_SQL, daily, members, table, usage
+from .views import DAILY_SQL, MEMBERS_SQL, USAGE_SQL, daily, members, spread, table, usage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -396,7 +396,7 @@ def published_blocks(spark, d):
         F.array(F.struct(F.lit("file").alias("sourceLabel"), (k % 5).alias("totalTokens"))).alias("imported"),
     )
     off = F.element_at(F.array(*map(F.lit, ("estimatedCost", "models", "profileWork", "daily"))), (k % 4 + 1).cast("int"))
-    b = blocks.blocks(members(spark, d).select(k.alias("id"), F.to_json(draft).alias("draft"), F.create_map(off, F.lit(False)).alias("consent")))
+    b = blocks.blocks(spread(members(spark, d), "c_custkey").select(k.alias("id"), F.to_json(draft).alias("draft"), F.create_map(off, F.lit(False)).alias("consent")))
     return b.select(
         "id", F.col("profile.identity.displayName").alias("display_name"), F.col("measurement.estimatedCostUsd").alias("cost"), F.size("providers.claude.models").alias("models"), F.col("profile.work.totalArtifacts").alias("artifacts"), F.col("profile.work.collectorObserved").alias("observed"),
         F.array_join("profile.identity.links.url", ",").alias("links"), F.col("imported.totalTokens").alias("imported"), F.col("durability.projects")[0]["windows"][0]["remainingPct"].alias("remaining"), F.array_join("privacy.fieldsPublished", ",").alias("published"), F.array_join("privacy.fieldsWithheld", ",").alias("withheld"), F.col("timezone").alias("zone"), F.col("generatedAt").alias("made"),

@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores by a key, before work that takes long for a row: a table may come as one file of one part."""
+    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical events made of the events table, each by a fixed rule; a twentieth counts as imported."""
     e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
