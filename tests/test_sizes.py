@@ -87,3 +87,16 @@ def test_imports_keep_only_records_of_a_document():
     nested = '{"date":"d1","total":1,"date2":{"day":"d2","tokens":2},"list":[[{"time":"d3","input":3}],{"a":{"day":null,"total":{"day":"d5","total":5}}}]}'
     assert [(r[0], r[1], r[-1]) for r in ImportRecords().eval(nested)] == [(0, "d1", "1"), (1, "d2", "2"), (2, "d3", None), (3, None, None), (4, "d5", "5")]
     assert [*ImportRecords().eval("{"), *ImportRecords().eval(None), *ImportRecords().eval("[1]")] == []
+
+
+def test_long_work_is_spread_over_cores(spark):
+    from pathlib import Path
+
+    from tallyworks.plans.catalog import QUERIES
+
+    assert QUERIES["published_blocks"](spark, SF).rdd.getNumPartitions() >= 4
+    place = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(place.glob("logs-*"))
+    QUERIES["log_files"](spark, SF)
+    (logs,) = set(place.glob("logs-*")) - before
+    assert len({f.name.split("-")[1] for f in logs.rglob("part-*.txt")}) > 1
