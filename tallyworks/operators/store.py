@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import handle
 from ..functions.values import fnv1a_base36
@@ -11,6 +12,8 @@ from . import keyindex
 
 #: Files of a store from which its keys are found through an index; fewer are scanned. The rows are the same.
 INDEX_FROM = 64
+#: Types whose values are equal just when their hashes' inputs are.
+PLAIN = (T.BooleanType, T.IntegralType, T.StringType, T.BinaryType, T.DateType, T.TimestampType, T.TimestampNTZType, T.DecimalType)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -40,7 +43,7 @@ def stored_among(stored: DataFrame, keys: DataFrame, key: str, most: int = 1_000
     The store is the large side: up to ``most`` keys are sent to it, so that it is scanned for its key column
     and neither shuffled nor sorted.
     """
-    small = keys.limit(most + 1).count() <= most
+    small = keys.count() <= most  # a limit would bring that many keys of each task to one
     return stored.select(key).join(F.broadcast(keys) if small else keys, key, "left_semi").distinct()
 
 
@@ -56,6 +59,20 @@ def stored_keys(keys: DataFrame, path: str, key: str, index_from: int = INDEX_FR
         files.unpersist()
 
 
+def contents(df: DataFrame, columns: list[str]) -> Column:
+    """A hash of a row's columns. Nulls count, zeros keep their sign; only floating and nested columns are written out for it."""
+    parts = []
+    for c in columns:
+        kind = df.schema[c].dataType
+        parts += [F.col(f"`{c}`").isNull(), F.col(f"`{c}`") if isinstance(kind, PLAIN) else F.to_json(F.struct(F.col(f"`{c}`").alias("c")))]
+    return F.xxhash64(*parts)
+
+
+def by_folder(df: DataFrame, partition_by: list[str] | None) -> DataFrame:
+    """Rows of one folder together, large folders in several files: else each task adds a small file to each folder, and all that lists or reads the store later takes as long as there are files."""
+    return df.hint("rebalance", *partition_by) if partition_by else df
+
+
 def insert_new(df: DataFrame, path: str, key: str, order: list[str], partition_by: list[str] | None = None, index_from: int = INDEX_FROM) -> dict[str, int]:
     """Append rows of new keys to the table at path; says how many were inserted and how many were duplicates.
 
@@ -72,7 +89,7 @@ def insert_new(df: DataFrame, path: str, key: str, order: list[str], partition_b
     try:
         seen, kept = df.count(), new.count()
         if kept:
-            w = new.write.mode("append")
+            w = by_folder(new, partition_by).write.mode("append")
             (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
         return {"inserted": kept, "duplicates": seen - kept}
     finally:
@@ -133,7 +150,7 @@ def insert_or_replace(df: DataFrame, path: str, key: str, order: list[str], part
         if not exists(spark, path):
             n = last.count()
             if n:
-                last.write.partitionBy(*partition_by).parquet(path)
+                by_folder(last, partition_by).write.partitionBy(*partition_by).parquet(path)
             return {"inserted": n, "replaced": 0, "duplicates": seen - n}
         recover(spark, path, len(partition_by))
         old = spark.read.schema(df.schema).parquet(path)
@@ -145,7 +162,7 @@ def insert_or_replace(df: DataFrame, path: str, key: str, order: list[str], part
         else:
             holding = old
         same = [c for c in df.columns if c not in order]
-        mine = lambda d: d.select(key, F.struct(*partition_by).alias("_place"), F.xxhash64(F.to_json(F.struct(*same))).alias("_h"))
+        mine = lambda d: d.select(key, F.struct(*partition_by).alias("_place"), contents(df, same).alias("_h"))
         stored = mine(holding).join(F.broadcast(last.select(key)) if last.count() <= 1_000_000 else last.select(key), key, "left_semi")
         stored = stored.select(key, F.col("_place").alias("_old"), F.col("_h").alias("_old_h"))
         both = mine(last).join(stored, key, "left").persist()
@@ -162,7 +179,7 @@ def insert_or_replace(df: DataFrame, path: str, key: str, order: list[str], part
             stay = old.join(F.broadcast(touched.select(*[F.col(c).alias(f"_{c}") for c in partition_by])), on, "left_semi").join(ids, key, "left_anti")
             whole = stay.unionByName(last.join(ids, key, "left_semi").select(*df.columns))
             beside = f"{path}.next"
-            whole.write.mode("overwrite").partitionBy(*partition_by).parquet(beside)
+            by_folder(whole, partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(beside)
             made = set(_folders(spark, beside, len(partition_by)))
             count = touched.count()
             emptied = set()

@@ -100,3 +100,36 @@ def test_long_work_is_spread_over_cores(spark):
     QUERIES["log_files"](spark, SF)
     (logs,) = set(place.glob("logs-*")) - before
     assert len({f.name.split("-")[1] for f in logs.rglob("part-*.txt")}) > 1
+
+
+def _files(path):
+    from pathlib import Path
+
+    return sorted(f.parent.name for f in Path(path).rglob("*.parquet"))
+
+
+def test_a_write_adds_a_file_to_each_folder_and_not_one_of_each_task(spark, tmp_path):
+    from tallyworks.operators import store
+
+    path = str(tmp_path / "store")
+    rows = lambda low, high, at: spark.range(low, high, 1, 8).select(F.col("id").cast("string").alias("k"), F.lit(at).alias("at"), (F.col("id") % 5).alias("day"))
+    days = [f"day={i}" for i in range(5)]
+    assert store.insert_new(rows(0, 4000, 0), path, "k", ["at"], ["day"]) == {"inserted": 4000, "duplicates": 0}
+    assert _files(path) == days
+    assert store.insert_new(rows(2000, 6000, 0), path, "k", ["at"], ["day"]) == {"inserted": 2000, "duplicates": 2000}
+    assert _files(path) == sorted(days * 2)
+    changed = rows(5000, 8000, 1).withColumn("v", F.col("k") + 0)
+    assert store.insert_or_replace(changed, path, "k", ["at"], ["day"]) == {"inserted": 2000, "replaced": 1000, "duplicates": 0}
+    assert _files(path) == days
+    assert store.insert_or_replace(changed, f"{path}2", "k", ["at"], ["day"])["inserted"] == 3000 and _files(f"{path}2") == days
+    assert spark.read.parquet(path).count() == 8000
+
+
+def test_rows_that_differ_are_told_apart(spark):
+    from tallyworks.operators import store
+
+    same = "named_struct('s', 'x', 'i', cast(null as int), 'd', 0.0D, 't', timestamp'2024-01-01 00:00:00.000001', 'a', array(1, null), 'm', map('a', 1))"
+    others = [same.replace(a, b) for a, b in (("'x'", "''"), ("cast(null as int)", "0"), ("0.0D", "-0.0D"), ("0.0D", "cast(null as double)"), ("000001", "000002"), ("null)", "0)"), ("map('a', 1)", "map('a', 2)"))]
+    df = spark.sql(f"select x.* from (select explode(array({', '.join([same, same, *others])})) as x)")
+    hashes = [r[0] for r in df.select(store.contents(df, df.columns)).collect()]
+    assert hashes[0] == hashes[1] and len(set(hashes)) == len(others) + 1
