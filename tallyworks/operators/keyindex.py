@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: Keys of an index file; keys of a filter's block of 64 bytes; runs from which some are merged.
 KEYS_PER_FILE, KEYS_PER_BLOCK, MOST_RUNS = 1 << 20, 32, 12
+#: Keys that one task writes: a large part is written by several, each a range of its hashes.
+KEYS_PER_TASK = 1 << 17
 BLOCK, PROBES = 64, 6
 KEYS = "h long, key string, file string"
 FILTERS = "part long, filter binary"
@@ -109,7 +111,8 @@ def _write(spark: SparkSession, path: str, keys: DataFrame, files: DataFrame, re
     n = keys.count()
     bits = max(0, math.ceil(math.log2(max(1, n) / keys_per_file)))
     blocks = max(0, math.ceil(math.log2(max(1, n) / KEYS_PER_BLOCK / (1 << bits))))
-    parted = keys.withColumn("part", _top(F.col("h"), bits)).repartition(1 << bits, "part").sortWithinPartitions("part", "h")
+    finer = bits + max(0, math.ceil(math.log2(max(1, n) / (1 << bits) / KEYS_PER_TASK)))
+    parted = keys.withColumn("part", _top(F.col("h"), bits)).repartition(1 << finer, _top(F.col("h"), finer)).sortWithinPartitions("part", "h")
     parted.write.partitionBy("part").parquet(f"{root}/keys")
 
     def filters(t: pa.Table) -> pa.Table:

@@ -133,3 +133,16 @@ def test_rows_that_differ_are_told_apart(spark):
     df = spark.sql(f"select x.* from (select explode(array({', '.join([same, same, *others])})) as x)")
     hashes = [r[0] for r in df.select(store.contents(df, df.columns)).collect()]
     assert hashes[0] == hashes[1] and len(set(hashes)) == len(others) + 1
+
+
+def test_a_large_part_of_the_index_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    from tallyworks.operators import keyindex
+
+    monkeypatch.setattr(keyindex, "KEYS_PER_TASK", 100, raising=False)
+    path = str(tmp_path / "t")
+    keys = spark.range(1000).select(F.col("id").cast("string").alias("id"))
+    keys.write.parquet(path)
+    (run,) = keyindex.refresh(spark, path, "id", keyindex.store_files(spark, path))
+    files = _files(f"{keyindex.folder(path)}/{run.name}/keys")
+    assert run.bits == 0 and len(files) > 4
+    assert keyindex.where(keys.union(spark.createDataFrame([("new",)], "id string")), path, "id").select("id").distinct().count() == 1000
