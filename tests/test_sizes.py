@@ -146,3 +146,54 @@ def test_a_large_part_of_the_index_is_written_by_several_tasks(spark, tmp_path,
     files = _files(f"{keyindex.folder(path)}/{run.name}/keys")
     assert run.bits == 0 and len(files) > 4
     assert keyindex.where(keys.union(spark.createDataFrame([("new",)], "id string")), path, "id").select("id").distinct().count() == 1000
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    from tallyworks.sources import lines
+
+    for i in range(60):
+        (tmp_path / f"user{i}").mkdir()
+        (tmp_path / f"user{i}" / "a.jsonl").write_text(f"{i}\n")
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, sc = spark.conf.get(key), spark.sparkContext
+    for i, read in enumerate((lines.list_files, lines.read_lines)):
+        sc.setJobGroup(f"listing-{i}", "")
+        df = read(spark, str(tmp_path))
+        sc.setJobGroup("other", "")
+        jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup(f"listing-{i}")]
+        tasks = [sc.statusTracker().getStageInfo(s).numTasks for j in jobs for s in j.stageIds]
+        assert tasks and max(tasks) <= 3 * sc.defaultParallelism
+        assert df.count() == 60
+    sc._jsc.clearJobGroup()
+    assert spark.conf.get(key) == before
+
+
+def test_files_of_folders_are_written_by_tasks(spark, tmp_path):
+    from tallyworks.sources import lines
+
+    keys = [None, "", "__HIVE_DEFAULT_PARTITION__", "a/b=c", "e %", "x"]
+    rows = [(k, i % 2, None if i == 3 else f"é{i}") for i, k in enumerate(keys * 20)]
+    df = spark.createDataFrame(rows, "k string, n int, line string")
+    for _ in range(2):
+        lines.write_lines(df.repartition(3, "n"), str(tmp_path / "ours"), ["k", "n"])
+        theirs = df.withColumn("k", F.expr("nullif(k, '__HIVE_DEFAULT_PARTITION__')"))  # Spark's writer fails where both stand
+        theirs.repartition(3, "n").withColumnRenamed("line", "value").write.mode("append").partitionBy("k", "n").text(str(tmp_path / "theirs"))
+    tree = lambda name: sorted(str(f.parent.relative_to(tmp_path / name)) for f in (tmp_path / name).rglob("*.txt") if not f.name.startswith("."))
+    back = lambda name: sorted(map(tuple, spark.read.text(str(tmp_path / name)).collect()), key=repr)
+    assert set(tree("ours")) == set(tree("theirs")) and back("ours") == back("theirs") and len(back("ours")) == 240
+    assert len(tree("ours")) == 2 * len(set(tree("ours")))  # a file of each call
+    assert not [f for f in (tmp_path / "ours").rglob("*") if f.is_file() and not f.name.startswith("part-")]
+
+
+def test_log_files_are_written_without_checksums_and_read_once(spark):
+    from pathlib import Path
+
+    from tallyworks.plans.catalog import QUERIES
+
+    place = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(place.glob("logs-*"))
+    df = QUERIES["log_files"](spark, SF)
+    (logs,) = set(place.glob("logs-*")) - before
+    assert plan(df, "executedPlan").split("== Initial Plan ==")[0].count("FileScan text") == 1
+    files = [f for f in logs.rglob("*") if f.is_file()]
+    assert len(files) == df.first()["files"] and all(f.suffix == ".txt" for f in files)  # Hadoop's local files have a .crc each
